@@ -1 +1,278 @@
+"""Registered queries and their DuckDB oracles."""
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import scalars as C
+from .operators import compare as M
+from .operators import relations as R
+from .operators import skeleton as S
+from .operators import topology as T
+from .plans import graph, views
+
 QUERIES, ORACLES = {}, {}
+_PI2 = "6.283185307179586"
+CTES = {
+    "base": views.BASE.replace("<json>", "json_extract_string"),
+    "nodes": views.NODES,
+    "relations": views.RELATIONS,
+    "knn": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, i ORDER BY d, j) AS rk FROM (
+        SELECT a.sample_id, a.node_id AS i, b.node_id AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d
+        FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.node_id <> b.node_id)) WHERE rk <= 7""",
+    "ranked": "SELECT * FROM (SELECT *, max(rk) OVER (PARTITION BY sample_id) AS most FROM knn) WHERE rk >= 2 OR most = 1",
+    "gm": "SELECT sample_id, median(d) AS g FROM ranked GROUP BY sample_id",
+    "lm": "SELECT sample_id, i, median(d) AS l FROM ranked GROUP BY sample_id, i",
+    "nn": """SELECT n.*, cx, cy, scale, (x - cx) / scale AS xn, (y - cy) / scale AS yn FROM nodes n
+        JOIN (SELECT sample_id, avg(x) AS cx, avg(y) AS cy FROM nodes GROUP BY sample_id) USING (sample_id)
+        JOIN (SELECT sample_id, median(d) AS scale FROM knn WHERE rk <= 4 GROUP BY sample_id) USING (sample_id)""",
+    "adaptive": """SELECT k.sample_id, i, j FROM knn k JOIN lm USING (sample_id, i) JOIN gm USING (sample_id)
+        WHERE rk <= least(greatest(round_even(5 * g / CASE WHEN l <= 1e-8 THEN g ELSE l END, 0), 3), 8)""",
+    "cover": f"""SELECT sample_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, i, s ORDER BY rk) AS r FROM (
+        SELECT k.sample_id, i, j, rk, CASE WHEN a.dir IS NULL THEN 0 ELSE
+          CAST(floor(fmod(fmod(atan2(b.y-a.y, b.x-a.x) - a.dir, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT) % 8 END AS s
+        FROM knn k JOIN nodes a ON a.sample_id = k.sample_id AND a.node_id = i JOIN nodes b ON b.sample_id = k.sample_id AND b.node_id = j)) WHERE r = 1""",
+    "ssg": "SELECT * FROM adaptive UNION SELECT * FROM cover",
+    "look": "SELECT sample_id, lower(trim(name)) AS key, min(node_id) AS id, max(node_id) AS last FROM nodes GROUP BY ALL",
+    "resolved": """SELECT r.*, s.id AS src, d.id AS dst, s.id IS NOT NULL AND d.id IS NOT NULL AND rel_type IN ('Gaze','Connection','Navigation','Fusion','Abruptness','Penetration') AS ok
+        FROM relations r LEFT JOIN look s ON s.sample_id = r.sample_id AND s.key = lower(trim(src_name)) LEFT JOIN look d ON d.sample_id = r.sample_id AND d.key = lower(trim(dst_name))""",
+    "realmap": "SELECT * FROM nodes WHERE sample_id = (SELECT min(sample_id) FROM nodes)",
+    "matches": "SELECT n.sample_id AS sample_a, n.node_id AS i, l.last AS j FROM nodes n JOIN (SELECT lower(trim(name)) AS key, max(node_id) AS last FROM realmap GROUP BY ALL) l ON l.key = lower(trim(n.name))",
+    "typed": """SELECT m.*, a.type AS ta, b.type AS tb, CASE WHEN a.layer = 0 THEN 'pt' WHEN a.layer = 1 THEN 'ln' ELSE 'pg' END AS ca, CASE WHEN b.layer = 0 THEN 'pt' WHEN b.layer = 1 THEN 'ln' ELSE 'pg' END AS cb
+        FROM matches m JOIN nodes a ON a.sample_id = sample_a AND a.node_id = i JOIN realmap b ON b.node_id = j""",
+    "pts": "SELECT sample_id, node_id AS src, xn AS px, yn AS py FROM nn WHERE layer = 0",
+    "feat": "SELECT sample_id, node_id AS dst, layer, (ax-cx)/scale AS gx, (ay-cy)/scale AS gy, w/scale AS gw, h/scale AS gh FROM nn WHERE layer > 0",
+    "lined": """SELECT sample_id, src, dst, sqrt((px-gx-t*gw)*(px-gx-t*gw)+(py-gy-t*gh)*(py-gy-t*gh)) AS d, sqrt((px-gx)*(px-gx)+(py-gy)*(py-gy)) AS d0,
+        sqrt((px-gx-gw)*(px-gx-gw)+(py-gy-gh)*(py-gy-gh)) AS d1 FROM (SELECT *, least(greatest(((px-gx)*gw+(py-gy)*gh)/(gw*gw+gh*gh), 0), 1) AS t FROM pts JOIN feat USING (sample_id) WHERE layer = 1)""",
+    "polyd": """SELECT sample_id, src, dst, sqrt(ox*ox+oy*oy) AS d, CASE WHEN ox = 0 AND oy = 0 THEN least(px-gx, gx+gw-px, py-gy, gy+gh-py) ELSE sqrt(ox*ox+oy*oy) END AS b
+        FROM (SELECT *, greatest(gx-px, px-gx-gw, 0) AS ox, greatest(gy-py, py-gy-gh, 0) AS oy FROM pts JOIN feat USING (sample_id) WHERE layer = 2)""",
+    "soft": """SELECT sample_id, src, dst, 'TOPO_in_district' AS tag, exp(-d/0.5) AS w FROM polyd WHERE exp(-d/0.5) > 1e-4
+        UNION ALL SELECT sample_id, src, dst, 'TOPO_touches_boundary', exp(-b/0.5) FROM polyd WHERE exp(-b/0.5) > 1e-4
+        UNION ALL SELECT sample_id, src, dst, 'TOPO_on_line', exp(-d/0.5) FROM lined WHERE exp(-d/0.5) > 1e-4
+        UNION ALL SELECT sample_id, src, dst, 'TOPO_near_endpoint', 0.5*exp(-d0/0.5) FROM lined WHERE exp(-d0/0.5) > 1e-4
+        UNION ALL SELECT sample_id, src, dst, 'TOPO_near_endpoint', 0.5*exp(-d1/0.5) FROM lined WHERE exp(-d1/0.5) > 1e-4""",
+    "zero": "SELECT k.sample_id, i, coalesce(a.dir, atan2(b.yn-a.yn, b.xn-a.xn)) AS z FROM knn k JOIN nn a ON a.sample_id = k.sample_id AND a.node_id = i JOIN nn b ON b.sample_id = k.sample_id AND b.node_id = j WHERE rk = 1",
+    "sig": f"""SELECT sample_id, node_id, slot, g / sum(g) OVER (PARTITION BY sample_id, node_id) AS v FROM (
+        SELECT sample_id, i AS node_id, CAST(r * 8 + s AS INT) AS slot, sum(exp(-0.5 * pow((d / (rad + 1e-8) - 1) / 0.5, 2)) / (d + 1e-3)) AS g FROM (
+          SELECT e.sample_id, e.i, sqrt((b.xn-a.xn)*(b.xn-a.xn)+(b.yn-a.yn)*(b.yn-a.yn)) AS d,
+            CAST(floor(fmod(fmod(atan2(b.yn-a.yn, b.xn-a.xn) - z, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT) % 8 AS s
+          FROM (SELECT sample_id, i, j FROM ssg UNION ALL SELECT sample_id, j, i FROM ssg) e JOIN nn a ON a.sample_id = e.sample_id AND a.node_id = e.i
+          JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = e.j JOIN zero z0 ON z0.sample_id = e.sample_id AND z0.i = e.i), (VALUES (0, 0.75e0), (1, 1e0), (2, 1.5e0)) v(r, rad)
+        WHERE d >= 1e-8 GROUP BY ALL)""",
+}
+_NAMES = list(CTES)
+
+
+def register(name, sql=None, upto=None):
+    """Register a query; its oracle has the views up to and with `upto` before it."""
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            head = "" if upto is None else "WITH " + ", ".join(f"{k} AS MATERIALIZED ({CTES[k]})" for k in _NAMES[:_NAMES.index(upto) + 1]) + " "
+            ORACLES[name] = head + sql
+        return f
+    return put
+
+
+def _rounded(df, *cols, digits=6):
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
+def _real(nodes):
+    first = nodes.agg(F.min("sample_id").alias("_m"))
+    return nodes.join(F.broadcast(first), nodes["sample_id"] == F.col("_m")).drop("_m")
+
+
+@register("assign_node_ids", "SELECT sample_id, event_id, node_id FROM nodes", "nodes")
+def _(spark, d):
+    return S.assign_node_ids(views.base(spark, d).withColumn("feature_seq", F.col("event_id"))).select("sample_id", "event_id", "node_id")
+
+
+@register("type_onehot", "SELECT type, count(*) AS n, [CAST(type='Landmark' AS DOUBLE), CAST(type='Node' AS DOUBLE), CAST(type='Path' AS DOUBLE), CAST(type='Edge' AS DOUBLE), CAST(type='District' AS DOUBLE)] AS v FROM base GROUP BY type", "base")
+def _(spark, d):
+    return views.base(spark, d).groupBy("type").agg(F.count("*").alias("n")).withColumn("v", C.type_onehot(F.col("type")))
+
+
+@register("edge_type_onehot", """SELECT rel_type, count(*) AS n, [CASE WHEN rel_type = 'gaze' THEN 1e0 ELSE 0e0 END] || list_transform(['Gaze','Connection','Navigation','Fusion','Abruptness','Penetration'], lambda r: CAST(r = rel_type AS DOUBLE)) || [0e0, 0e0, 0e0, 0e0] AS v FROM relations GROUP BY rel_type""", "relations")
+def _(spark, d):
+    return views.relations(spark, d).groupBy("rel_type").agg(F.count("*").alias("n")).withColumn("v", C.edge_type_onehot(F.concat(F.lit("REL_"), "rel_type")))
+
+
+@register("filter_layers", "SELECT sample_id, node_id, CASE WHEN layer = 0 THEN 'points' WHEN layer = 1 THEN 'lines' ELSE 'polygons' END AS layer_name FROM nodes", "nodes")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    a, b, c = (S.filter_layers(n, k).select("sample_id", "node_id", F.lit(k).alias("layer_name")) for k in ("points", "lines", "polygons"))
+    return a.unionAll(b).unionAll(c)
+
+
+@register("broad_class", "SELECT CASE layer WHEN 0 THEN 'pt' WHEN 1 THEN 'ln' ELSE 'pg' END AS class, count(*) AS n FROM base GROUP BY 1", "base")
+def _(spark, d):
+    return views.base(spark, d).groupBy(C.broad_class(F.col("type")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@register("representative_point", "SELECT sample_id, node_id, round(x, 6) AS px, round(y, 6) AS py FROM nodes", "nodes")
+def _(spark, d):
+    got = views.nodes(spark, d).withColumn("p", G.representative_point(F.col("geom")))
+    return got.select("sample_id", "node_id", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
+
+
+@register("line_direction", "SELECT sample_id, node_id, round(dir, 6) AS dir FROM nodes", "nodes")
+def _(spark, d):
+    return views.nodes(spark, d).select("sample_id", "node_id", F.round(G.line_direction(F.col("geom")), 6).alias("dir"))
+
+
+@register("line_shape", "SELECT event_id, round(sqrt(w*w+h*h)/(w+h), 6) AS straight, round(1 - sqrt(w*w+h*h)/(w+h), 6) AS curv FROM base WHERE layer = 1", "base")
+def _(spark, d):
+    g = F.col("geom")
+    return views.bent(spark, d).where("layer = 1").select("event_id", F.round(G.line_straightness(g), 6).alias("straight"), F.round(G.line_curvature(g), 6).alias("curv"))
+
+
+@register("polygon_circularity", "SELECT event_id, round(4 * pi() * 0.75 * w * h / pow(2 * (w + h), 2), 6) AS circ FROM base WHERE layer = 2", "base")
+def _(spark, d):
+    return views.bent(spark, d).where("layer = 2").select("event_id", F.round(G.polygon_circularity(F.col("geom")), 6).alias("circ"))
+
+
+@register("knn", "SELECT sample_id, i, j, rk, round(d, 6) AS d FROM knn", "knn")
+def _(spark, d):
+    return _rounded(S.knn(views.nodes(spark, d)), "d")
+
+
+@register("global_median", "SELECT sample_id, round(g, 6) AS g FROM gm", "gm")
+def _(spark, d):
+    return _rounded(S.global_median(S.knn(views.nodes(spark, d))), "g")
+
+
+@register("local_median", "SELECT sample_id, i, round(l, 6) AS l FROM lm", "lm")
+def _(spark, d):
+    return _rounded(S.local_median(S.knn(views.nodes(spark, d))), "l")
+
+
+@register("normalize_coords", "SELECT sample_id, node_id, round(xn, 6) AS xn, round(yn, 6) AS yn, round(scale, 6) AS scale FROM nn", "nn")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return _rounded(S.normalize_coords(n, S.knn(n)).select("sample_id", "node_id", "xn", "yn", "scale"), "xn", "yn", "scale")
+
+
+@register("adaptive_knn_edges", "SELECT * FROM adaptive", "adaptive")
+def _(spark, d):
+    return S.adaptive_knn_edges(S.knn(views.nodes(spark, d)))
+
+
+@register("sector_cover_edges", "SELECT * FROM cover", "cover")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return S.sector_cover_edges(S.knn(n), n)
+
+
+@register("ssg_edges", "SELECT * FROM ssg", "ssg")
+def _(spark, d):
+    return S.ssg_edges(views.nodes(spark, d))
+
+
+@register("angular_signature", "SELECT sample_id, node_id, slot, round(v, 6) AS v FROM sig WHERE v > 1e-5", "sig")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    near = S.knn(n)
+    got = S.angular_signature(S.normalize_coords(n, near), S.ssg_edges(n, near=near), near=near)
+    return _rounded(got.select("sample_id", "node_id", F.posexplode("sig").alias("slot", "v")).where("v > 1e-5"), "v")
+
+
+@register("edge_attributes_ssg", f"""SELECT e.sample_id, e.i AS src, e.j AS dst, round(sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) + 1e-6, 6) AS d,
+    round(cos(atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0)), 6) AS cos_t, round(sin(atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0)), 6) AS sin_t
+    FROM (SELECT sample_id, i, j FROM ssg UNION ALL SELECT sample_id, j, i FROM ssg) e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.i JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.j""", "ssg")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return _rounded(S.edge_attributes_ssg(n, S.ssg_edges(n)), "d", "cos_t", "sin_t").select("sample_id", "src", "dst", "d", "cos_t", "sin_t")
+
+
+@register("resolve_relations", "SELECT sample_id, src, dst, rel_type FROM resolved WHERE ok", "resolved")
+def _(spark, d):
+    return R.resolve_relations(views.relations(spark, d), views.nodes(spark, d))[0]
+
+
+@register("unresolved_relations", "SELECT sample_id, src_name, dst_name, rel_type FROM resolved WHERE NOT ok", "resolved")
+def _(spark, d):
+    return R.resolve_relations(views.relations(spark, d), views.nodes(spark, d))[1]
+
+
+@register("relation_degree", """SELECT sample_id, node_id, round(coalesce(count(*) FILTER (rel_type = 'Gaze'), 0) / (count(rel_type) + 1e-6), 6) AS gaze, round(count(*) FILTER (rel_type = 'Penetration') / (count(rel_type) + 1e-6), 6) AS penetration
+    FROM nodes LEFT JOIN (SELECT sample_id, src AS node_id, rel_type FROM resolved WHERE ok UNION ALL SELECT sample_id, dst, rel_type FROM resolved WHERE ok) USING (sample_id, node_id) GROUP BY sample_id, node_id""", "resolved")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    got = R.relation_degree(R.resolve_relations(views.relations(spark, d), n)[0], n)
+    return _rounded(got.select("sample_id", "node_id", F.col("rel_deg")[0].alias("gaze"), F.col("rel_deg")[5].alias("penetration")), "gaze", "penetration")
+
+
+@register("match_by_name", "SELECT * FROM matches", "matches")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return R.match_by_name(n, _real(n))
+
+
+@register("fidelity", """SELECT s.sample_id AS sample_a, round(coalesce(t, 0), 6) AS type, round(coalesce(p, 0), 6) AS topo, round(0.6 * 0.5 + 0.1 * coalesce(t, 0) + 0.3 * coalesce(p, 0), 6) AS fidelity
+    FROM (SELECT DISTINCT sample_id FROM nodes) s LEFT JOIN (SELECT sample_a, avg(CAST(ta = tb AS DOUBLE)) AS t, avg(CAST(ca = cb AS DOUBLE)) AS p FROM typed GROUP BY sample_a) ON sample_a = sample_id""", "typed")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    r = _real(n)
+    got = R.fidelity(R.match_scores(n, r, R.match_by_name(n, r)).withColumn("struct", F.lit(0.5)))
+    return _rounded(got.drop("struct"), "type", "topo", "fidelity")
+
+
+@register("per_class_scores", """SELECT sample_a, ca AS class, round(m / greatest(a, b), 6) AS score FROM (SELECT sample_a, ca, count(*) AS m FROM typed WHERE ca = cb GROUP BY ALL)
+    JOIN (SELECT sample_id AS sample_a, CASE layer WHEN 0 THEN 'pt' WHEN 1 THEN 'ln' ELSE 'pg' END AS ca, count(*) AS a FROM nodes GROUP BY ALL) USING (sample_a, ca)
+    JOIN (SELECT CASE layer WHEN 0 THEN 'pt' WHEN 1 THEN 'ln' ELSE 'pg' END AS ca, count(*) AS b FROM realmap GROUP BY ALL) USING (ca)""", "typed")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    r = _real(n)
+    return _rounded(R.per_class_scores(n, r, R.match_by_name(n, r)), "score")
+
+
+@register("soft_topology_edges", "SELECT sample_id, src, dst, tag, round(w, 6) AS w FROM soft", "soft")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return _rounded(T.soft_topology_edges(S.normalize_coords(n, S.knn(n))), "w")
+
+
+@register("hard_topology_edges", """SELECT sample_id, src, dst, CASE WHEN d < 0.5 THEN 'TOPO_in_district' ELSE 'TOPO_touches_boundary' END AS tag, 1e0 AS w FROM polyd WHERE d <= 1
+    UNION ALL SELECT sample_id, src, dst, 'TOPO_on_line', 1e0 FROM lined WHERE d < 0.5 UNION ALL SELECT sample_id, src, dst, 'TOPO_near_endpoint', 1e0 FROM lined WHERE least(d0, d1) <= 0.5""", "polyd")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return T.hard_topology_edges(S.normalize_coords(n, S.knn(n)))
+
+
+@register("graph_build", """SELECT sample_id, tag, count(*) AS n FROM (SELECT sample_id, 'SSG' AS tag FROM ssg UNION ALL SELECT sample_id, 'SSG' FROM ssg
+    UNION ALL SELECT sample_id, tag FROM soft UNION ALL SELECT sample_id, 'REL_' || rel_type FROM resolved WHERE ok) GROUP BY ALL""", "soft")
+def _(spark, d):
+    edges = graph.graph_build(views.nodes(spark, d), views.relations(spark, d))[1]
+    return edges.where(F.size("attr") == 22).groupBy("sample_id", "tag").agg(F.count("*").alias("n"))
+
+
+@register("node_features")
+def _(spark, d):
+    return graph.graph_build(views.nodes(spark, d), views.relations(spark, d))[2]
+
+
+@register("mean_pool", "SELECT label AS sample_id, p, round(avg(v), 6) AS v FROM (SELECT label, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
+def _(spark, d):
+    got = M.mean_pool(views.embeddings(spark, d)).select("sample_id", F.posexplode("vec").alias("p", "v"))
+    return _rounded(got.withColumn("p", F.col("p").cast("long")), "v")
+
+
+_POOL = """WITH pool AS (SELECT label AS s, list(v ORDER BY p) AS vec FROM (SELECT label, p, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL) GROUP BY ALL) """
+
+
+@register("cosine_pairs", _POOL + """SELECT a.s AS a, b.s AS b, round((list_cosine_similarity(a.vec, b.vec) + 1) / 2, 5) AS sim FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1""")
+def _(spark, d):
+    pool = M.mean_pool(views.embeddings(spark, d))
+    return _rounded(M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True), "sim", digits=5)
+
+
+@register("sample_assignment")
+def _(spark, d):
+    pool = M.mean_pool(views.embeddings(spark, d))
+    sims = M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True)
+    return M.sample_assignment(sims.withColumns({"group_a": F.lit("A"), "group_b": F.lit("B")}))
+
+
+@register("dedupe_records", """SELECT sample, path FROM (SELECT user_id AS sample, event_type || '/' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS path FROM events) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY path DESC) = 1""")
+def _(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    return M.dedupe_records(ev.select(F.col("user_id").alias("sample"), F.concat_ws("/", "event_type", F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("path")))
