@@ -6,7 +6,8 @@ A byte goes if some `length`-byte string over it also starts anywhere else.
    of windows with one pick are a region.
 2. Regions that occur twice as a whole are repeated in all their windows.
 3. Picks that meet in different regions have one instance of each region opened
-   into single windows, which are counted by a 128-bit hash.
+   into single windows, which are compared by a 128-bit hash: those of a pick in
+   one task up to GROUP regions, beyond that spread by the hash of the window.
 Counts pre-aggregate in their tasks, so no group of copies meets in one task.
 Null text is empty; texts below `length` bytes lose nothing; equal texts are
 counted once with their number.
@@ -23,6 +24,7 @@ from .common import materialize, text_id
 
 LENGTH = 400
 GRAM = 200
+GROUP = 2000  # regions of one pick compared in one task; more are spread by window
 _BLOCK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 
@@ -85,6 +87,22 @@ def covered(size, spans, length=LENGTH):
     return out
 
 
+def _digests(data, length):
+    return [xxhash.xxh3_128_digest(data[i:i + length]) for i in range(len(data) - length + 1)]
+
+
+def _repeated(key, held, length):
+    """(key, rh, starts) of the windows that stand in more than one place of the held regions."""
+    first, hits = {}, [set() for _ in held]
+    for r, (_, data) in enumerate(held):
+        for d, h in enumerate(_digests(data, length)):
+            other = first.setdefault(h, (r, d))
+            if other != (r, d):
+                hits[r].add(d)
+                hits[other[0]].add(other[1])
+    return [(key, rh, sorted(h)) for (rh, _), h in zip(held, hits) if h]
+
+
 def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
     """(tid, spans): per text with any, the inclusive start spans of its repeated windows."""
     def find(batches):
@@ -97,29 +115,47 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
     found = materialize(found.groupBy("tid", "key", "rh", "a", "z").agg(F.count("*").alias("n")), "regions")
     stats = found.groupBy("key", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "a", "z")).alias("rep"))
     stats = materialize(stats, "region_counts")
-    mixed = stats.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    open_ = stats.join(mixed, "key", "left_semi").select("key", "rh", "rep.tid", "rep.a", "rep.z")
-    wanted = open_.groupBy("tid").agg(F.collect_list(F.struct("key", "rh", "a", "z")).alias("rs"))
+    mixed = stats.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", (F.col("k") > GROUP).alias("large"))
+    open_ = stats.join(mixed, "key").select("key", "rh", "large", "rep.tid", "rep.a", "rep.z")
+    wanted = open_.groupBy("tid").agg(F.collect_list(F.struct("key", "rh", "large", "a", "z")).alias("rs"))
 
-    def windows(batches):
+    def slices(batches):
         for pdf in batches:
             out = []
-            for tid, text, rs in zip(pdf["tid"], pdf["text"], pdf["rs"]):
+            for text, rs in zip(pdf["text"], pdf["rs"]):
                 data = text.encode()
-                for r in rs:
-                    out += [(xxhash.xxh3_128_digest(data[s:s + length]), r["key"], r["rh"], s - r["a"]) for s in range(r["a"], r["z"] + 1)]
-                    if len(out) > 100_000:
-                        yield pd.DataFrame(out, columns=["wh", "key", "rh", "d"])
-                        out = []
-            yield pd.DataFrame(out, columns=["wh", "key", "rh", "d"])
+                out += [(r["key"], r["rh"], r["large"], data[r["a"]:r["z"] + length]) for r in rs]
+            yield pd.DataFrame(out, columns=["key", "rh", "large", "data"])
 
     one = texts.join(wanted, "tid").dropDuplicates(["tid"])
-    opened = one.mapInPandas(windows, "wh binary, key long, rh binary, d long")
-    opened = materialize(opened, "windows")
+    opened = materialize(one.mapInPandas(slices, "key long, rh binary, large boolean, data binary"), "slices")
+
+    def meet(batches):
+        """Rows come sorted by key: repeated windows among the at most GROUP regions of each key."""
+        key, held = None, []
+        for pdf in batches:
+            out = []
+            for k, rh, data in zip(pdf["key"], pdf["rh"], pdf["data"]):
+                if k != key:
+                    out += _repeated(key, held, length)
+                    key, held = k, []
+                held.append((rh, data))
+            yield pd.DataFrame(out, columns=["key", "rh", "ds"])
+        yield pd.DataFrame(_repeated(key, held, length), columns=["key", "rh", "ds"])
+
+    few = opened.where("NOT large").select("key", "rh", "data").repartition("key").sortWithinPartitions("key")
+    few = few.mapInPandas(meet, "key long, rh binary, ds array<long>")
+
+    def windows(batches):
+        for pdf in batches:
+            for key, rh, data in zip(pdf["key"], pdf["rh"], pdf["data"]):
+                yield pd.DataFrame({"wh": _digests(data, length), "key": key, "rh": rh, "d": np.arange(len(data) - length + 1)})
+
+    many = materialize(opened.where("large").mapInPandas(windows, "wh binary, key long, rh binary, d long"), "windows")
     place = F.struct("key", "rh", "d")
-    twice = opened.groupBy("wh").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("wh")
-    hit = opened.join(twice, "wh", "left_semi").select("key", "rh", "d")
-    partial = hit.groupBy("key", "rh").agg(F.collect_set("d").alias("ds"))
+    twice = many.groupBy("wh").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("wh")
+    hit = many.join(twice, "wh", "left_semi").groupBy("key", "rh").agg(F.collect_set("d").alias("ds"))
+    partial = few.unionByName(hit)
     whole = stats.where("n > 1").select("key", "rh", F.lit(True).alias("whole"))
     marks = materialize(whole.join(partial, ["key", "rh"], "full"), "marks")
     got = found.join(marks, ["key", "rh"]).select("tid", "a", "z", F.coalesce("whole", F.lit(False)).alias("whole"), "ds")

@@ -211,6 +211,12 @@ def test_suffix(docs, odd, empty):
     assert suffix.strip_repeats(odd).count() == odd.count()
 
 
+def test_suffix_large_groups(docs, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", 2)
+    frame = docs.limit(80)
+    assert Counter(tuple(r) for r in suffix.removed(frame, 40, 20).collect()) == brute_removed(frame.collect(), 40)
+
+
 def test_suffix_blocks(monkeypatch):
     data = (LONG[:9000] * 2).encode()
     a = {(k, s - z) for k, _, s, z in suffix.regions(data)}
