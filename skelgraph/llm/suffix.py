@@ -8,7 +8,9 @@ A byte goes if some `length`-byte string over it also starts anywhere else.
 3. Picks that meet in different regions have one instance of each region opened
    into single windows, which are compared by a 128-bit hash: those of a pick in
    one task up to GROUP regions, beyond that spread by the hash of the window.
-Counts pre-aggregate in their tasks, so no group of copies meets in one task.
+A place is told apart by two 64-bit hashes, of its pick and of its region, so
+only keys that occur twice are looked at again. Counts pre-aggregate in their
+tasks, so no group of copies meets in one task.
 Null text is empty; texts below `length` bytes lose nothing; equal texts are
 counted once with their number.
 """
@@ -61,8 +63,8 @@ def _sliding_min(v, width):
 
 
 def regions(data: bytes, length=LENGTH, gram=GRAM):
-    """(key, hash of the region, first start, last start) of each run of windows with one pick."""
-    out = []
+    """(keys, region hashes, places) of the runs of windows with one pick; a place is 256 * first start + last - first."""
+    keys, hashes, places = [], [], []
     for lo in range(0, len(data) - length + 1, _BLOCK):
         part = data[lo:lo + _BLOCK + length - 1]
         h = _mix(_rolling(np.frombuffer(part, np.uint8), gram))
@@ -70,10 +72,12 @@ def regions(data: bytes, length=LENGTH, gram=GRAM):
         pick = (_sliding_min(packed, length - gram + 1) & np.uint64((1 << 23) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
         last = np.append(first[1:], len(pick)) - 1
-        keys = h[pick[first]].view(np.int64)
-        for k, a, z in zip(keys.tolist(), first.tolist(), last.tolist()):
-            out.append((k, xxhash.xxh3_128_digest(part[a:z + length]), lo + a, lo + z))
-    return out
+        keys.append(h[pick[first]].view(np.int64))
+        hashes.append(np.array([xxhash.xxh3_64_intdigest(part[a:z + length]) for a, z in zip(first.tolist(), last.tolist())], np.uint64).view(np.int64))
+        places.append((first + lo) * 256 + last - first)
+    if not keys:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(keys), np.concatenate(hashes), np.concatenate(places)
 
 
 def covered(size, spans, length=LENGTH):
@@ -105,30 +109,36 @@ def _repeated(key, held, length):
 
 def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
     """(tid, spans): per text with any, the inclusive start spans of its repeated windows."""
+    if length - gram > 255:
+        raise ValueError("a region has at most 256 windows")
+
     def find(batches):
         for pdf in batches:
-            out = [(t, *r) for t, x in zip(pdf["tid"], pdf["text"]) for r in regions(x.encode(), length, gram)]
-            yield pd.DataFrame(out, columns=["tid", "key", "rh", "a", "z"])
-
-    texts = docs.select(text_id().alias("tid"), F.col("text"))
-    found = texts.where(F.octet_length("text") >= length).mapInPandas(find, "tid binary, key long, rh binary, a long, z long")
-    found = materialize(found.groupBy("tid", "key", "rh", "a", "z").agg(F.count("*").alias("n")), "regions")
-    stats = found.groupBy("key", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "a", "z")).alias("rep"))
-    stats = materialize(stats, "region_counts")
-    mixed = stats.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", (F.col("k") > GROUP).alias("large"))
-    open_ = stats.join(mixed, "key").select("key", "rh", "large", "rep.tid", "rep.a", "rep.z")
-    wanted = open_.groupBy("tid").agg(F.collect_list(F.struct("key", "rh", "large", "a", "z")).alias("rs"))
+            got = [regions(x.encode(), length, gram) for x in pdf["text"]]
+            yield pd.DataFrame({"tid": pdf["tid"], "key": [g[0] for g in got], "rh": [g[1] for g in got], "place": [g[2] for g in got]})
+
+    texts = docs.select(text_id().alias("tid"), F.col("text")).where(F.octet_length("text") >= length)
+    found = texts.mapInPandas(find, "tid binary, key array<long>, rh array<long>, place array<long>")
+    found = materialize(found.groupBy("tid").agg(F.count("*").alias("n"), F.first(F.arrays_zip("key", "rh", "place")).alias("r")), "regions")
+    each = found.select("tid", "n", F.explode("r").alias("r")).select("tid", "n", "r.key", "r.rh", "r.place")
+    keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("all > 1")
+    again = materialize(each.join(keys.select("key", F.expr("lo <> hi").alias("mixed")), "key"), "again")
+    stats = again.where("mixed").groupBy("key", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "place")).alias("rep"))
+    stats = materialize(stats, "mixed")
+    sizes = stats.groupBy("key").agg((F.count("*") > GROUP).alias("large"))
+    open_ = stats.join(sizes, "key").select("key", "rh", "large", "rep.tid", "rep.place")
+    wanted = materialize(open_.groupBy("tid").agg(F.collect_list(F.struct("key", "rh", "large", "place")).alias("rs")), "wanted")
 
     def slices(batches):
         for pdf in batches:
             out = []
             for text, rs in zip(pdf["text"], pdf["rs"]):
                 data = text.encode()
-                out += [(r["key"], r["rh"], r["large"], data[r["a"]:r["z"] + length]) for r in rs]
+                out += [(r["key"], r["rh"], r["large"], data[r["place"] // 256:r["place"] // 256 + r["place"] % 256 + length]) for r in rs]
             yield pd.DataFrame(out, columns=["key", "rh", "large", "data"])
 
     one = texts.join(wanted, "tid").dropDuplicates(["tid"])
-    opened = materialize(one.mapInPandas(slices, "key long, rh binary, large boolean, data binary"), "slices")
+    opened = materialize(one.mapInPandas(slices, "key long, rh long, large boolean, data binary"), "slices")
 
     def meet(batches):
         """Rows come sorted by key: repeated windows among the at most GROUP regions of each key."""
@@ -144,24 +154,27 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
         yield pd.DataFrame(_repeated(key, held, length), columns=["key", "rh", "ds"])
 
     few = opened.where("NOT large").select("key", "rh", "data").repartition("key").sortWithinPartitions("key")
-    few = few.mapInPandas(meet, "key long, rh binary, ds array<long>")
+    few = few.mapInPandas(meet, "key long, rh long, ds array<long>")
 
     def windows(batches):
         for pdf in batches:
             for key, rh, data in zip(pdf["key"], pdf["rh"], pdf["data"]):
-                yield pd.DataFrame({"wh": _digests(data, length), "key": key, "rh": rh, "d": np.arange(len(data) - length + 1)})
+                wh = np.array([xxhash.xxh3_64_intdigest(data[i:i + length]) for i in range(len(data) - length + 1)], np.uint64).view(np.int64)
+                yield pd.DataFrame({"wh": wh, "key": key, "rh": rh, "d": np.arange(len(wh))})
 
-    many = materialize(opened.where("large").mapInPandas(windows, "wh binary, key long, rh binary, d long"), "windows")
-    place = F.struct("key", "rh", "d")
-    twice = many.groupBy("wh").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("wh")
-    hit = many.join(twice, "wh", "left_semi").groupBy("key", "rh").agg(F.collect_set("d").alias("ds"))
+    many = materialize(opened.where("large").mapInPandas(windows, "wh long, key long, rh long, d long"), "windows")
+    place = F.struct("rh", "d")
+    twice = many.groupBy("key", "wh").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key", "wh")
+    hit = many.join(twice, ["key", "wh"], "left_semi").groupBy("key", "rh").agg(F.collect_set("d").alias("ds"))
     partial = few.unionByName(hit)
     whole = stats.where("n > 1").select("key", "rh", F.lit(True).alias("whole"))
     marks = materialize(whole.join(partial, ["key", "rh"], "full"), "marks")
-    got = found.join(marks, ["key", "rh"]).select("tid", "a", "z", F.coalesce("whole", F.lit(False)).alias("whole"), "ds")
-    span = F.when(F.col("whole"), F.array(F.struct(F.col("a").alias("a"), F.col("z").alias("z")))).otherwise(
-        F.transform("ds", lambda d: F.struct((F.col("a") + d).alias("a"), (F.col("a") + d).alias("z"))))
-    return got.select("tid", span.alias("spans")).groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    start = F.shiftright("place", 8)
+    full = F.array(F.struct(start.alias("a"), (start + F.col("place") % 256).alias("z")))
+    some = F.transform("ds", lambda d: F.struct((start + d).alias("a"), (start + d).alias("z")))
+    got = again.where("NOT mixed").select("tid", full.alias("spans")).unionByName(
+        again.where("mixed").join(marks, ["key", "rh"]).select("tid", F.when(F.col("whole"), full).otherwise(some).alias("spans")))
+    return got.groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _joined(docs, length, gram):
