@@ -1,11 +1,15 @@
 """Exact removal of repeated byte strings.
 
 A byte goes if some `length`-byte string over it also starts anywhere else.
-1. Winnowing: every `length`-byte window picks the least hash among its inner
+1. Sparse suffixes. Winnowing: every `length`-byte window picks the least hash among its inner
    `gram`-byte strings, so equal windows pick equal grams at equal places. Runs
-   of windows with one pick are a region.
-2. Regions that occur twice as a whole are repeated in all their windows.
-3. Picks that meet in different regions have one instance of each region opened
+   of windows with one pick are a region. The suffix at the pick stands for them.
+2. A `Family` of logarithmic levels holds the suffixes of the batches in order of
+   the hash of their first `gram` bytes: a batch becomes a level, and levels of
+   one rank merge into one of the next, so n batches leave at most log2(n) + 1.
+   Suffixes that share those bytes with any other are looked at again.
+3. Regions that occur twice as a whole are repeated in all their windows.
+4. Picks that meet in different regions have one instance of each region opened
    into single windows, which are compared by a 128-bit hash: those of a pick in
    one task up to GROUP regions, beyond that spread by the hash of the window.
 A place is told apart by two 64-bit hashes, of its pick and of its region, so
@@ -26,6 +30,7 @@ from .common import materialize, text_id
 
 LENGTH = 400
 GRAM = 200
+BATCHES = 4  # batches that one call adds to the family
 GROUP = 2000  # regions of one pick compared in one task; more are spread by window
 _BLOCK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -107,7 +112,42 @@ def _repeated(key, held, length):
     return [(key, rh, sorted(h)) for (rh, _), h in zip(held, hits) if h]
 
 
-def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
+class Family:
+    """Logarithmic family of sorted sparse-suffix levels: (key, n, lo, hi), one row per key.
+
+    `n` places share the first bytes behind `key`; `lo` and `hi` are the least and
+    the greatest hash of their regions, `hi` null if they are one. `levels` are
+    (rank, rows), highest rank first; an empty batch is a level like any other.
+    """
+
+    def __init__(self):
+        self.levels = []
+
+    @staticmethod
+    def _sorted(rows):
+        hi = F.max(F.coalesce("hi", "lo"))
+        out = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), hi.alias("hi"))
+        return materialize(out.withColumn("hi", F.when(F.col("hi") != F.col("lo"), F.col("hi"))).sortWithinPartitions("key"), "level")
+
+    def add(self, entries: DataFrame):
+        """Index a batch of (key, rh, n) and merge levels of equal rank."""
+        rank, level = 0, self._sorted(entries.select("key", "n", F.col("rh").alias("lo"), F.lit(None).cast("long").alias("hi")))
+        while self.levels and self.levels[-1][0] == rank:
+            rank, level = rank + 1, self._sorted(self.levels.pop()[1].unionByName(level))
+        self.levels.append((rank, level))
+
+    def matches(self, entries: DataFrame) -> DataFrame:
+        """Merge-scan: the entries whose key has another place in any level, and whether its regions differ (`mixed`)."""
+        rows = self.levels[0][1]
+        if len(self.levels) > 1:
+            for _, level in self.levels[1:]:
+                rows = rows.unionByName(level)
+            rows = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"))
+        keys = rows.where("n > 1").select("key", F.expr("hi IS NOT NULL AND hi <> lo").alias("mixed"))
+        return entries.join(keys, "key")
+
+
+def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataFrame:
     """(tid, spans): per text with any, the inclusive start spans of its repeated windows."""
     if length - gram > 255:
         raise ValueError("a region has at most 256 windows")
@@ -121,8 +161,10 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
     found = texts.mapInPandas(find, "tid binary, key array<long>, rh array<long>, place array<long>")
     found = materialize(found.groupBy("tid").agg(F.count("*").alias("n"), F.first(F.arrays_zip("key", "rh", "place")).alias("r")), "regions")
     each = found.select("tid", "n", F.explode("r").alias("r")).select("tid", "n", "r.key", "r.rh", "r.place")
-    keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("all > 1")
-    again = materialize(each.join(keys.select("key", F.expr("lo <> hi").alias("mixed")), "key"), "again")
+    family = Family()
+    for b in range(batches):
+        family.add(each.where(F.pmod(F.xxhash64("tid"), F.lit(batches)) == b))
+    again = materialize(family.matches(each), "again")
     stats = again.where("mixed").groupBy("key", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "place")).alias("rep"))
     stats = materialize(stats, "mixed")
     sizes = stats.groupBy("key").agg((F.count("*") > GROUP).alias("large"))

@@ -217,6 +217,17 @@ def test_suffix_large_groups(docs, monkeypatch):
     assert Counter(tuple(r) for r in suffix.removed(frame, 40, 20).collect()) == brute_removed(frame.collect(), 40)
 
 
+def test_suffix_family(docs, spark):
+    frame = docs.limit(80)
+    spans = [{bytes(r.tid): sorted(map(tuple, r.spans)) for r in suffix.repeats(frame, 40, 20, n).collect()} for n in (1, 3, 4)]
+    assert spans[0] and spans[0] == spans[1] == spans[2]
+    family, rows = suffix.Family(), [(k % 7, k % 3, 1) for k in range(21)]
+    for i in range(0, 21, 3):
+        family.add(spark.createDataFrame(rows[i:i + 3], "key long, rh long, n long"))
+    assert [rank for rank, _ in family.levels] == [2, 1, 0]
+    assert family.matches(spark.createDataFrame([(3, 0, 1), (9, 0, 1)], "key long, rh long, n long")).collect() == [(3, 0, 1, True)]
+
+
 def test_suffix_blocks(monkeypatch):
     data = (LONG[:9000] * 2).encode()
     whole = set(suffix.regions(data)[0].tolist())
