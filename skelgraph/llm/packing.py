@@ -11,6 +11,7 @@ Null text is empty (its end token only); null source is a queue of its own; over
 `MAX_QUEUES` sources, queues are hashes of the source. Order in a queue: hash
 chunk, doc_id, tokens; repeated rows are packed as often as they occur.
 """
+import re
 import zlib
 
 import numpy as np
@@ -26,12 +27,14 @@ END = 1
 MAX_QUEUES = 1024
 CHUNK_ROWS = 2000
 _models = {}
+MEMO = 500_000  # entries of a memo before it starts anew
 # Fixed value: the word pattern of the tokenizer file.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 
 
 class WordIds:
-    """Ids of whole texts as little-endian 16-bit bytes, word by word with a memo."""
+    """Ids of whole texts as little-endian 16-bit bytes, one white-space-free run at a time with a memo."""
 
     def __init__(self, path):
         import os
@@ -43,29 +46,59 @@ class WordIds:
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids above 16 bits")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo = {}
+        self.memo, self.words = {}, {}
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _whole(self, text):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _learn(self, runs):
+        """Ids of unseen runs from those of their words; None if one needs the library on the whole text."""
+        norm = self.tok.normalizer.normalize_str(" ".join(runs)).split(" ")
+        if len(norm) != len(runs):
+            return None
+        cut = [_WORDS.findall(n) for n in norm]
+        words = self.words
+        if len(words) > MEMO:
+            words.clear()
+        new = list({w for c in cut for w in c if w not in words})
+        if new:
+            line = " ".join(new)
+            if self.tok.normalizer.normalize_str(line) != line:
+                return None
+            ids = np.array(self.tok.encode(line, add_special_tokens=False).ids, "<u2")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()  # the last token of a word carries the end mark
+            if len(ends) != len(new):
+                return None
+            raw = ids.tobytes()
+            words.update(zip(new, [raw[2 * a:2 * z] for a, z in zip([0, *ends], ends)]))
+        got = [b"".join(map(words.__getitem__, c)) for c in cut]
+        for w in new:
+            if len(w) > 100:
+                del words[w]
+        return got
+
     def ids(self, text):
+        """Normalizer and word pattern never look across white space, so runs of other characters encode alone."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or _SEPARATORS.search(text):
             return self._whole(text)
-        norm = self.tok.normalizer.normalize_str
-        words = _WORDS.findall(norm(text))
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
+        runs, memo = text.split(), self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [w for w in set(runs) if w not in memo]
         if new:
-            if len(memo) > 400_000:
-                memo.clear()
-                new = list(set(words))
-            if any(norm(w) != w for w in new):
+            got = self._learn(new)
+            if got is None:
                 return self._whole(text)
-            for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u2").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            memo.update(zip(new, got))
+        out = b"".join(map(memo.__getitem__, runs))
+        for w in new:
+            if len(w) > 100:
+                del memo[w]
+        return out
 
 
 def tokenizer(path) -> WordIds:
