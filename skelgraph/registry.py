@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .functions import scalars as C
 from .operators import compare as M
+from .operators import losses as L
 from .operators import relations as R
+from .operators import report as P
 from .operators import skeleton as S
 from .operators import topology as T
 from .plans import graph, views
@@ -276,3 +278,92 @@ def _(spark, d):
 def _(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet")
     return M.dedupe_records(ev.select(F.col("user_id").alias("sample"), F.concat_ws("/", "event_type", F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("path")))
+
+
+@register("rotate", "SELECT sample_id, node_id, round(x*cos(sample_id*1e-1) - y*sin(sample_id*1e-1), 6) AS x, round(x*sin(sample_id*1e-1) + y*cos(sample_id*1e-1), 6) AS y FROM nodes", "nodes")
+def _(spark, d):
+    return _rounded(P.rotate(views.nodes(spark, d), F.col("sample_id") * 0.1).select("sample_id", "node_id", "x", "y"), "x", "y")
+
+
+@register("anisotropic_scale", "SELECT sample_id, node_id, round(x * 1.1e0, 6) AS x, round(y * (9e-1 + (sample_id % 3) * 1e-1), 6) AS y FROM nodes", "nodes")
+def _(spark, d):
+    got = P.anisotropic_scale(views.nodes(spark, d), F.lit(1.1), F.lit(0.9) + (F.col("sample_id") % 3) * 0.1)
+    return _rounded(got.select("sample_id", "node_id", "x", "y"), "x", "y")
+
+
+@register("write_records", "SELECT sample_id, count(*) AS n, string_agg(name, '|' ORDER BY node_id) AS names, count(dir) AS n_dir FROM nodes GROUP BY sample_id", "nodes")
+def _(spark, d):
+    got = P.records(views.nodes(spark, d))
+    return got.select("sample_id", F.size("nodes.name").cast("long").alias("n"), F.concat_ws("|", "nodes.name").alias("names"), F.size(F.filter("nodes.dir", lambda x: x.isNotNull())).cast("long").alias("n_dir"))
+
+
+def _sims(spark, d):
+    pool = M.mean_pool(views.embeddings(spark, d))
+    return M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True)
+
+
+@register("similarity_matrix", _POOL + """SELECT a, max(CASE WHEN b = 1 THEN sim END) AS "1", max(CASE WHEN b = 3 THEN sim END) AS "3" FROM (
+    SELECT a.s AS a, b.s AS b, round((list_cosine_similarity(a.vec, b.vec) + 1) / 2, 5) AS sim FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1) GROUP BY a""")
+def _(spark, d):
+    return P.similarity_matrix(_rounded(_sims(spark, d), "sim", digits=5), [1, 3])
+
+
+@register("topk_mismatches", _POOL + """, c AS (SELECT a.s AS i, b.s AS j, (list_cosine_similarity(a.vec, b.vec) + 1) / 2 AS w FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1)
+    SELECT side, index, side || index AS name, round(w, 5) AS best_coupling FROM (SELECT 'a' AS side, i AS index, max(w) AS w FROM c GROUP BY i UNION ALL SELECT 'b', j, max(w) FROM c GROUP BY j)
+    QUALIFY row_number() OVER (PARTITION BY side ORDER BY w, index) <= 3""")
+def _(spark, d):
+    names = views.embeddings(spark, d).select(F.col("sample_id").alias("node_id"), F.lit(None).cast("string").alias("name")).distinct()
+    return _rounded(P.topk_mismatches(_sims(spark, d).toDF("i", "j", "w"), names, names, 3), "best_coupling", digits=5)
+
+
+_Z = "WITH z AS (SELECT label, vec_id % 8 AS part, vec_id, embedding::DOUBLE[] AS v FROM embeddings) "
+
+
+@register("nt_xent", _Z + """SELECT batch_id, round(avg(l), 5) AS loss FROM (SELECT a.label AS batch_id, a.vec_id, ln(sum(exp(list_cosine_similarity(a.v, list_reverse(b.v)) * 5)))
+    - max(CASE WHEN a.vec_id = b.vec_id THEN list_cosine_similarity(a.v, list_reverse(b.v)) * 5 END) AS l FROM z a JOIN z b USING (label) GROUP BY ALL) GROUP BY batch_id""")
+def _(spark, d):
+    vec = F.col("vec").cast("array<double>")
+    z = views.embeddings(spark, d).select(F.col("sample_id").alias("batch_id"), F.col("vec_id").alias("i"), vec.alias("z1"), F.reverse(vec).alias("z2"))
+    return _rounded(L.nt_xent(z), "loss", digits=5)
+
+
+@register("supcon", _Z + """, s AS (SELECT a.part, a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, list_cosine_similarity(a.v, b.v) * 5 AS s FROM z a JOIN z b USING (part)),
+    t AS (SELECT part, i, ln(sum(CASE WHEN i <> j THEN exp(s - 5) ELSE 0 END) + 1e-9) AS e, sum(CASE WHEN i <> j AND same THEN s ELSE 0 END) AS sp, sum(CASE WHEN i <> j AND same THEN 1 ELSE 0 END)::DOUBLE AS np FROM s GROUP BY ALL)
+    SELECT part AS batch_id, round(-avg((sp - np * e) / (np + 1e-9)), 5) AS loss FROM t GROUP BY part""")
+def _(spark, d):
+    z = views.embeddings(spark, d).select((F.col("vec_id") % 8).alias("batch_id"), F.col("vec_id").alias("i"), F.col("vec").cast("array<double>").alias("z"), F.col("sample_id").alias("label"))
+    return _rounded(L.supcon(z), "loss", digits=5)
+
+
+@register("node_align_loss", """WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS loss FROM e a JOIN e b ON b.label = a.label + 1 AND b.i = a.i""")
+def _(spark, d):
+    e = views.embeddings(spark, d).withColumn("vec", F.col("vec").cast("array<double>"))
+    pairs = e.select(F.col("sample_id").alias("sample_a"), F.col("node_id").alias("i"), (F.col("sample_id") + 1).alias("sample_b"), F.col("node_id").alias("j"))
+    return _rounded(L.node_align_loss(e, e, pairs), "loss")
+
+
+_SCORED = "(SELECT event_id % 9 / 2e0 - 2e0 AS logit, event_id * 37 % 101 / 1e2 AS label FROM events)"
+
+
+def _scored(spark, d):
+    e = F.col("event_id")
+    return spark.read.parquet(f"{d}/events.parquet").select((e % 9 / 2.0 - 2.0).alias("logit"), (e * 37 % 101 / 100.0).alias("label"))
+
+
+@register("pair_loss", f"""WITH s AS (SELECT *, 1 / (1 + exp(-logit)) AS s FROM {_SCORED})
+    SELECT 'bce' AS kind, round(avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 6) AS loss FROM s UNION ALL SELECT 'mse', round(avg((s - label) * (s - label)), 6) FROM s
+    UNION ALL SELECT 'margin', round(avg(CASE WHEN label > 5e-1 THEN greatest(2e-1 - s, 0) ELSE greatest(s - 8e-1, 0) END), 6) FROM s""")
+def _(spark, d):
+    s = _scored(spark, d)
+    return _rounded(L.pair_loss(s).unionByName(L.pair_loss(s, "mse")).unionByName(L.pair_loss(s, "margin")), "loss")
+
+
+@register("fit_platt")
+def _(spark, d):
+    return P.fit_platt(_scored(spark, d))
+
+
+@register("fit_isotonic")
+def _(spark, d):
+    return P.fit_isotonic(_scored(spark, d))
