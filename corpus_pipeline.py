@@ -19,8 +19,8 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def repeats(spark, docs, sf_dir):
-    """Documents without the bytes of strings that also stand elsewhere."""
-    out = suffix.strip_repeats(docs)
+    """Documents without passages of over 50 words that also stand elsewhere."""
+    out = suffix.strip_passages(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 

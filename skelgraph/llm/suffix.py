@@ -17,8 +17,11 @@ only keys that occur twice are looked at again. Counts pre-aggregate in their
 tasks, so no group of copies meets in one task.
 Null text is empty; texts below `length` bytes lose nothing; equal texts are
 counted once with their number.
+The same search runs over words (`strip_passages`): a text becomes the 64-bit
+hashes of its words, so that lengths, grams and places count words.
 """
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,9 @@ from .common import materialize, text_id
 LENGTH = 400
 GRAM = 200
 BATCHES = 4  # batches that one call adds to the family
+PASSAGE = 51  # words: the pipeline takes out repeats of more than 50
+PASSAGE_GRAM = 26
+UNSPACED = 40  # characters without white space from which the byte rule holds as well
 GROUP = 2000  # regions of one pick compared in one task; more are spread by window
 _BLOCK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -67,18 +73,27 @@ def _sliding_min(v, width):
     return np.minimum(v[:len(v) - (width - have)], v[width - have:]) if have < width else v
 
 
-def regions(data: bytes, length=LENGTH, gram=GRAM):
+def words(text) -> bytes:
+    """The 64-bit hashes of the words between white space."""
+    found = text.split()
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found)).tobytes()
+
+
+CODES = {1: str.encode, 8: words}  # by unit, the bytes of one byte or word
+
+
+def regions(data: bytes, length=LENGTH, gram=GRAM, unit=1):
     """(keys, region hashes, places) of the runs of windows with one pick; a place is 256 * first start + last - first."""
     keys, hashes, places = [], [], []
-    for lo in range(0, len(data) - length + 1, _BLOCK):
-        part = data[lo:lo + _BLOCK + length - 1]
-        h = _mix(_rolling(np.frombuffer(part, np.uint8), gram))
+    for lo in range(0, len(data) // unit - length + 1, _BLOCK):
+        part = data[lo * unit:(lo + _BLOCK + length - 1) * unit]
+        h = _mix(_rolling(np.frombuffer(part, np.uint8 if unit == 1 else np.uint64), gram))
         packed = (h & np.uint64(~((1 << 23) - 1) & (2 ** 64 - 1))) | np.arange(len(h), dtype=np.uint64)
         pick = (_sliding_min(packed, length - gram + 1) & np.uint64((1 << 23) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
         last = np.append(first[1:], len(pick)) - 1
         keys.append(h[pick[first]].view(np.int64))
-        hashes.append(np.array([xxhash.xxh3_64_intdigest(part[a:z + length]) for a, z in zip(first.tolist(), last.tolist())], np.uint64).view(np.int64))
+        hashes.append(np.array([xxhash.xxh3_64_intdigest(part[a * unit:(z + length) * unit]) for a, z in zip(first.tolist(), last.tolist())], np.uint64).view(np.int64))
         places.append((first + lo) * 256 + last - first)
     if not keys:
         return (np.zeros(0, np.int64),) * 3
@@ -96,15 +111,15 @@ def covered(size, spans, length=LENGTH):
     return out
 
 
-def _digests(data, length):
-    return [xxhash.xxh3_128_digest(data[i:i + length]) for i in range(len(data) - length + 1)]
+def _digests(data, length, unit=1):
+    return [xxhash.xxh3_128_digest(data[i * unit:(i + length) * unit]) for i in range(len(data) // unit - length + 1)]
 
 
-def _repeated(key, held, length):
+def _repeated(key, held, length, unit=1):
     """(key, rh, starts) of the windows that stand in more than one place of the held regions."""
     first, hits = {}, [set() for _ in held]
     for r, (_, data) in enumerate(held):
-        for d, h in enumerate(_digests(data, length)):
+        for d, h in enumerate(_digests(data, length, unit)):
             other = first.setdefault(h, (r, d))
             if other != (r, d):
                 hits[r].add(d)
@@ -147,14 +162,16 @@ class Family:
         return entries.join(keys, "key")
 
 
-def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataFrame:
-    """(tid, spans): per text with any, the inclusive start spans of its repeated windows."""
+def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES, unit=1) -> DataFrame:
+    """(tid, spans): per text with any, the inclusive start spans of its repeated windows, in bytes (unit 1) or words (unit 8)."""
     if length - gram > 255:
         raise ValueError("a region has at most 256 windows")
 
+    code = CODES[unit]
+
     def find(batches):
         for pdf in batches:
-            got = [regions(x.encode(), length, gram) for x in pdf["text"]]
+            got = [regions(code(x), length, gram, unit) for x in pdf["text"]]
             yield pd.DataFrame({"tid": pdf["tid"], "key": [g[0] for g in got], "rh": [g[1] for g in got], "place": [g[2] for g in got]})
 
     texts = docs.select(text_id().alias("tid"), F.col("text")).where(F.octet_length("text") >= length)
@@ -175,8 +192,8 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataF
         for pdf in batches:
             out = []
             for text, rs in zip(pdf["text"], pdf["rs"]):
-                data = text.encode()
-                out += [(r["key"], r["rh"], r["large"], data[r["place"] // 256:r["place"] // 256 + r["place"] % 256 + length]) for r in rs]
+                data = code(text)
+                out += [(r["key"], r["rh"], r["large"], data[r["place"] // 256 * unit:(r["place"] // 256 + r["place"] % 256 + length) * unit]) for r in rs]
             yield pd.DataFrame(out, columns=["key", "rh", "large", "data"])
 
     one = texts.join(wanted, "tid").dropDuplicates(["tid"])
@@ -189,11 +206,11 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataF
             out = []
             for k, rh, data in zip(pdf["key"], pdf["rh"], pdf["data"]):
                 if k != key:
-                    out += _repeated(key, held, length)
+                    out += _repeated(key, held, length, unit)
                     key, held = k, []
                 held.append((rh, data))
             yield pd.DataFrame(out, columns=["key", "rh", "ds"])
-        yield pd.DataFrame(_repeated(key, held, length), columns=["key", "rh", "ds"])
+        yield pd.DataFrame(_repeated(key, held, length, unit), columns=["key", "rh", "ds"])
 
     few = opened.where("NOT large").select("key", "rh", "data").repartition("key").sortWithinPartitions("key")
     few = few.mapInPandas(meet, "key long, rh long, ds array<long>")
@@ -201,7 +218,7 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataF
     def windows(batches):
         for pdf in batches:
             for key, rh, data in zip(pdf["key"], pdf["rh"], pdf["data"]):
-                wh = np.array([xxhash.xxh3_64_intdigest(data[i:i + length]) for i in range(len(data) - length + 1)], np.uint64).view(np.int64)
+                wh = np.array([xxhash.xxh3_64_intdigest(data[i * unit:(i + length) * unit]) for i in range(len(data) // unit - length + 1)], np.uint64).view(np.int64)
                 yield pd.DataFrame({"wh": wh, "key": key, "rh": rh, "d": np.arange(len(wh))})
 
     many = materialize(opened.where("large").mapInPandas(windows, "wh long, key long, rh long, d long"), "windows")
@@ -219,9 +236,9 @@ def repeats(docs: DataFrame, length=LENGTH, gram=GRAM, batches=BATCHES) -> DataF
     return got.groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _joined(docs, length, gram):
+def _joined(docs, length, gram, unit=1):
     docs = docs.withColumn("_tid", text_id())
-    spans = repeats(docs, length, gram).withColumnsRenamed({"tid": "_tid", "spans": "_spans"})
+    spans = repeats(docs, length, gram, unit=unit).withColumnsRenamed({"tid": "_tid", "spans": "_spans"})
     return docs.join(spans, "_tid", "left").drop("_tid")
 
 
@@ -258,3 +275,30 @@ def strip_repeats(docs: DataFrame, length=LENGTH, gram=GRAM) -> DataFrame:
 
     cols = docs.columns
     return _joined(docs, length, gram).withColumn("text", keep("text", "_spans")).select(*cols)
+
+
+def strip_passages(docs: DataFrame, length=PASSAGE, gram=PASSAGE_GRAM) -> DataFrame:
+    """`docs` without the words of runs of `length` words that also stand elsewhere, whatever their bytes and white space.
+
+    Texts with UNSPACED characters in one piece, where a passage need not have words,
+    lose repeated strings of LENGTH bytes among themselves as well.
+    """
+    @F.pandas_udf("string")
+    def keep(texts: pd.Series, spans: pd.Series, strings: pd.Series) -> pd.Series:
+        out = []
+        for t, s, b in zip(texts, spans, strings):
+            if s is not None or b is not None:
+                data, runs = t.encode(), [(x["a"], x["z"] + LENGTH - 1) for x in b] if b is not None else []
+                if s is not None:
+                    at = np.cumsum([0] + [len(c.encode()) for c in t]) if len(data) != len(t) else range(len(t) + 1)
+                    found = [m.span() for m in re.finditer(r"\S+", t)]
+                    runs += [(int(at[found[a][0]]), int(at[found[z - 1][1]]) - 1) for a, z in covered(len(found), [(x["a"], x["z"]) for x in s], length)]
+                t = _keep(data, covered(len(data), runs, 1)).decode(errors="ignore")
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    cols = docs.columns
+    strings = _joined(docs.where(F.col("text").rlike(rf"\S{{{UNSPACED}}}")).select("text"), LENGTH, GRAM).where("_spans IS NOT NULL")
+    strings = strings.dropDuplicates(["text"]).select(text_id().alias("_sid"), F.col("_spans").alias("_strings"))
+    out = _joined(docs, length, gram, 8).join(strings, text_id() == F.col("_sid"), "left")
+    return out.withColumn("text", keep("text", "_spans", "_strings")).select(*cols)
