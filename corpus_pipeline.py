@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, near-dedup, repeated strings, decontamination, packing."""
 from pyspark.sql import functions as F
 
-from skelgraph.llm import decontam, langid, packing, simhash, suffix
+from skelgraph.llm import decontam, langid, nearcopies, packing, suffix
 from skelgraph.llm.common import materialize, table
 from skelgraph.llm.queries import vocabulary
 
@@ -13,9 +13,8 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each class; rows without doc_id stay."""
-    keep = simhash.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents that are near copies (five-word Jaccard 0.8 or more) of no kept one with a smaller doc_id; rows without doc_id stay."""
+    return nearcopies.distinct(docs).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeats(spark, docs, sf_dir):

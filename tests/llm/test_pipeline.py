@@ -68,3 +68,28 @@ def test_strings_without_words_go_by_bytes(spark):
     got = {r.doc_id: r.text for r in suffix.strip_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: han[0], 2: han[2] + " ", 3: None, 4: ""}
     assert suffix.strip_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(11)
+    rows = []
+    for base in range(20):
+        words = passage(rnd, 200)
+        for swaps in (0, 1, 2, 3, 8, 40):
+            own = list(words)
+            for k in rnd.sample(range(200), swaps):
+                own[k] = f"z{rnd.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(own), "en", "a", 0))
+    rows += [(500, rows[0][1], "en", "a", 0), (None, rows[0][1], "en", "a", 0)]
+    kept = []
+    for r in rows[:-1]:
+        if not any(brute_jaccard(r[1], k[1]) >= 0.8 for k in kept):
+            kept.append(r)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), None).collect()
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert ids == [k[0] for k in kept] and 20 < len(ids) < 100 and len(got) == len(ids) + 1
