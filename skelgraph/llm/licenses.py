@@ -1,9 +1,11 @@
 """Licence scan by a positional rare-token index, in SQL functions only.
 
-Each document's words are met with the templates' vocabulary; its `TOP` licence
-words of highest inverse document frequency look up template postings, and equal
-differences of positions vote for a template at a place. A template with enough
-votes counts if its mandatory phrase stands at a place in the document. The base
+Each template looks up its own `TOP` words of highest inverse document frequency
+among those the document holds; their places name the places of the template,
+where all its words are checked. A template of which SHARE stands there counts if
+its mandatory phrase stands at a place in the document. At a place of at least SHARE
+the words not looked up are too few (len - TOP < SHARE * len), so no label depends on
+the other templates' words or on the corpus; scores below SHARE may. The base
 phrases are found at every place. Null text is empty: no words, no labels, score
 0. Words tied in frequency go by name. Extra columns pass through.
 """
@@ -41,7 +43,7 @@ def hits(docs: DataFrame) -> DataFrame:
     vocab = ", ".join(f"'{w}'" for w in _VOCAB)
     out = docs.withColumn("_w", words())
     return (out.withColumn("n_words", F.size("_w").cast("long"))
-            .withColumn("_h", F.expr(f"filter(transform(_w, (w, i) -> named_struct('w', w, 'i', i)), h -> h.w IN ({vocab}))")).drop("_w"))
+            .withColumn("_h", F.expr(f"filter(transform(_w, (w, i) -> named_struct('w', w, 'i', i)), h -> h.w IN ({vocab}))")))
 
 
 def _places(phrase):
@@ -60,26 +62,21 @@ def frequencies(docs: DataFrame) -> dict:
 def scan(docs: DataFrame, top=TOP, share=SHARE) -> DataFrame:
     """All columns of `docs`, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     df = frequencies(docs)
-    order = sorted(_VOCAB, key=lambda w: (df.get(w, 0), w))  # rarest first
-    rank = F.create_map(*[x for k, w in enumerate(order) for x in (F.lit(w), F.lit(k))])
-    posts = F.create_map(*[x for w in _VOCAB for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("p"))
-                         for t, (_, line, _) in enumerate(TEMPLATES) for i, v in enumerate(line.split()) if v == w] or [F.struct(F.lit(-1).alias("t"), F.lit(0).alias("p"))]))])
     out = hits(docs)
-    out = out.withColumns({f"_b{k}": _places(p) for k, (_, p) in enumerate(BASE)})
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform("_h", lambda h: rank[h["w"]]))), 1, top)
-    out = out.withColumn("_rare", rare)
-    votes = F.flatten(F.transform(F.filter("_h", lambda h: F.array_contains(F.col("_rare"), rank[h["w"]])),
-                                  lambda h: F.transform(posts[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at")))))
-    out = out.withColumn("_v", votes)
+    out = out.withColumns({f"_b{k}": _places(p) for k, (_, p) in enumerate(BASE)} | {"_p": F.array_distinct(F.col("_h.w"))})
     scores = []
-    for t, (_, line, need) in enumerate(TEMPLATES):
-        # a vote of one rare word names a place; all words of the template are then checked there
-        n = len(line.split())
-        at = F.array_distinct(F.transform(F.filter("_v", lambda v: v["t"] == t), lambda v: v["at"]))
-        pos = F.create_map(*[x for i, w in enumerate(line.split()) for x in (F.lit(i), F.lit(w))])
-        best = F.array_max(F.transform(at, lambda a: F.size(F.filter("_h", lambda h: (h["i"] >= a) & (h["i"] < a + n) & (pos[h["i"] - a] == h["w"]))) / F.lit(n)))
+    for _, line, need in TEMPLATES:
+        own = line.split()
+        if len(own) - top >= share * len(own):
+            raise ValueError("too few words looked up for this template")
+        order = sorted(set(own), key=lambda w: (df.get(w, 0), w))  # rarest first
+        rare = F.slice(F.filter(_strings(order), lambda w: F.array_contains("_p", w)), 1, top)
+        posts = F.create_map(*[x for w in order for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(own) if v == w]))])
+        at = F.array_distinct(F.flatten(F.transform(rare, lambda w: F.flatten(F.transform(F.filter("_h", lambda h: h["w"] == w), lambda h: F.transform(posts[w], lambda i: h["i"] - i))))))
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(own)])
+        best = F.array_max(F.transform(at, lambda a: F.size(F.filter(pairs, lambda p: F.get("_w", a + p["i"]) == p["w"])) / F.lit(len(own))))
         scores.append(F.when(F.size(_places(need)) > 0, F.coalesce(best, F.lit(0.0))).otherwise(0.0))
-    out = out.withColumn("_s", F.when(F.size("_v") > 0, F.array(*scores)).otherwise(F.array(*[F.lit(0.0) for _ in scores])))
+    out = out.withColumn("_s", F.array(*scores))
     base = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(x)) for k, (x, _) in enumerate(BASE)]))
     own = F.array_compact(F.array(*[F.when(F.col("_s")[t] >= share, F.lit(x)) for t, (x, _, _) in enumerate(TEMPLATES)]))
     places = F.concat(*[F.col(f"_b{k}") for k in range(len(BASE))])
@@ -87,4 +84,4 @@ def scan(docs: DataFrame, top=TOP, share=SHARE) -> DataFrame:
         "n_base": F.size(places).cast("long"), "first_word": F.array_min(places).cast("long"), "last_word": F.array_max(places).cast("long"),
         "base_labels": F.array_join(F.array_sort(base), ","), "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ","),
         "score": F.greatest(F.array_max("_s"), F.when(F.size(places) > 0, 1.0).otherwise(0.0)).cast("double")})
-    return out.drop("_h", "_rare", "_v", "_s", *[f"_b{k}" for k in range(len(BASE))])
+    return out.drop("_w", "_h", "_p", "_s", *[f"_b{k}" for k in range(len(BASE))])
