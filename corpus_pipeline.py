@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from skelgraph.llm import decontam, langid, nearcopies, packing, suffix
-from skelgraph.llm.common import materialize, table
+from skelgraph.llm.common import materialize, table, text_id
 from skelgraph.llm.queries import vocabulary
 
 
@@ -24,9 +24,11 @@ def repeats(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents that contain no benchmark item."""
-    bad = decontam.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain the text of no benchmark row, whatever the ids of both."""
+    items = table(spark, sf_dir, "benchmark").select(text_id().alias("item_id"), "text").distinct()
+    docs = docs.withColumn("_tid", text_id())
+    bad = decontam.contained(docs, items, doc_col="_tid").select(F.col("doc_id").alias("_tid")).distinct()
+    return docs.join(materialize(bad, "contaminated"), "_tid", "left_anti").drop("_tid")
 
 
 def pack(spark, docs, sf_dir):

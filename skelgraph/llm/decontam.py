@@ -1,6 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are partitioned by shingle count into powers of two. For each class the
+Items of up to `BINS` shingles are exact: one that is contained misses few of its
+shingles, so one of its n - ceil(threshold * n) + 1 rarest stands in the document.
+Longer ones are partitioned by shingle count into powers of two. For each class the
 document is cut into half-overlapping windows of four times the class size, so a
 contained item has a Jaccard similarity of at least about 0.2 with some window
 however long the document is. One-permutation MinHash gives `BINS` minima per
@@ -8,9 +10,11 @@ window and item; an item with an equal minimum is a candidate, verified by exact
 containment of its shingle strings in the whole document. Words are runs of
 letters and digits, lower-cased; fewer than five words are one shingle. Items or
 documents without words match nothing; items are searched in blocks of bounded
-size, every document against every block.
+size, every document against every block. Rows with one item_id are one item with
+the shingles of all (each row of a long one names it as a candidate); rows
+without item_id have none to report (the pipeline goes by rows and takes them too).
 """
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -46,16 +50,35 @@ def minima(hashes):
 
 class Index:
     def __init__(self, items, threshold=THRESHOLD):
-        self.threshold, self.sets, self.sig = threshold, {}, defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            found = list(dict.fromkeys(shingles(text)))
-            if found:
-                self.sets[item] = found
-                size = 1 << max(0, len(found) - 1).bit_length()
-                for m in minima(_hashes(found)):
-                    self.sig[size][int(m)].add(item)
+        """`items` are (item, texts)."""
+        self.threshold, self.sets, self.sig, self.exact = threshold, {}, defaultdict(lambda: defaultdict(set)), defaultdict(set)
+        long_rows = {}
+        for item, texts in items:
+            rows = [list(dict.fromkeys(shingles(t))) for t in texts]
+            whole = list(dict.fromkeys(s for row in rows for s in row))
+            if whole:
+                self.sets[item] = whole
+                if len(whole) > BINS:
+                    long_rows[item] = [row for row in rows if row]
+        short = {item: _hashes(whole).tolist() for item, whole in self.sets.items() if item not in long_rows}
+        common = Counter(h for own in short.values() for h in own)
+        for item, own in short.items():
+            need = next(k for k in range(1, len(own) + 1) if k / len(own) >= min(threshold, 1))
+            for h in sorted(own, key=lambda x: (common[x], x))[:len(own) - need + 1]:
+                self.exact[h].add(item)
+        for item, rows in long_rows.items():
+            for row in rows:
+                if len(row) <= BINS:
+                    for h in _hashes(row).tolist():
+                        self.exact[h].add(item)
+                else:
+                    for m in minima(_hashes(row)):
+                        self.sig[1 << (len(row) - 1).bit_length()][int(m)].add(item)
         self.keys = {s: np.array(sorted(d), np.uint64) for s, d in self.sig.items()}
-        self.all = np.unique(np.concatenate(list(self.keys.values()))) if self.keys else np.zeros(0, np.uint64)
+        self.all = np.unique(np.concatenate([np.array(list(self.exact), np.uint64), *self.keys.values()]))
+        self.long = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.keys.values()]))
+        self.low = np.zeros(1 << 20, bool)
+        self.low[self.all & np.uint64((1 << 20) - 1)] = True
 
     def search(self, text):
         """[(item, containment)] of the items that the text contains."""
@@ -63,11 +86,15 @@ class Index:
         if not found or not len(self.all):
             return []
         h = _hashes(found)
-        hits = np.flatnonzero(np.isin(h, self.all))  # only windows around these can share a minimum
+        hits = np.flatnonzero(self.low[h & np.uint64((1 << 20) - 1)])
+        hits = hits[np.isin(h[hits], self.all)]
         if not len(hits):
             return []
         cand = set()
-        for size, keys in self.keys.items():
+        for k in np.unique(h[hits]).tolist():
+            cand |= self.exact.get(k, set())
+        hits = hits[np.isin(h[hits], self.long)]  # only windows around these can share a minimum
+        for size, keys in self.keys.items() if len(hits) else ():
             step = 2 * size
             windows = np.unique(np.concatenate([hits // step, np.maximum(hits // step - 1, 0)]))
             for w in windows:
@@ -92,8 +119,11 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold=THRESHOLD, doc_co
     kind, item_kind = docs.schema[doc_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     parts = []
     for b in range(blocks):
-        mine = benchmark.where("item_id IS NOT NULL").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index_items = [(r[0], r[1]) for r in mine.select("item_id", "text").collect()]  # about BLOCK_ITEMS short texts
+        mine = benchmark.where("item_id IS NOT NULL").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        texts = defaultdict(list)
+        for item, text in mine.select("item_id", "text").collect():  # about BLOCK_ITEMS short texts
+            texts[bytes(item) if isinstance(item, bytearray) else item].append(text)
+        index_items = list(texts.items())
 
         def run(batches, items=index_items):
             index = Index(items, threshold)
