@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; where none is named, a temporary one for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -28,9 +30,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(text: str, size: int):
-    for i in range(0, len(text), size):
-        yield text[i:i + size]
+def discard(*frames: DataFrame):
+    """Remove the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            if "/skelgraph/" in path:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def batches_of(batches, column, size):
+    """Arrow batches cut so that each holds about `size` bytes of a string column, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for rec in batches:
+        if not len(rec):
+            continue
+        ends = np.cumsum(pc.binary_length(rec[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(rec):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield rec.slice(at, to - at)
+            at = to
 
 
 def text_id(col="text"):

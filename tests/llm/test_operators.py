@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from skelgraph.llm import decontam, extract, langid, licenses, media, packing, queries, simhash, suffix, tokencount, urlfilter
+from skelgraph.llm import decontam, extract, langid, licenses, media, packing, queries, simhash, suffix, tokencount, urlfilter, wordbpe
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,7 +69,7 @@ def test_extract(spark):
 
 
 def check_packing(rows, frame):
-    tok = packing.tokenizer(queries.vocabulary("word_bpe_49k.json")).tok
+    tok = wordbpe.model(queries.vocabulary("word_bpe_49k.json")).tok
     byid = defaultdict(list)
     for r in rows:
         byid[r.doc_id].append(r)
@@ -97,16 +98,38 @@ def test_packing(docs, odd, empty):
     check_packing(packing.pack(docs, path).collect(), docs.collect())
     check_packing(packing.pack(odd, path).collect(), odd.collect())
     assert packing.pack(empty, path).count() == 0
-
-
-def test_packing_schedule_keeps_targets():
-    s = packing.Schedule([100_003, 7, 50_000, 1, 33], 256)
-    last = [0] * 5
-    for w in range(1, -(-s.all // 256) + 1):
-        q = s.given(w)
-        assert sum(q) == min(256 * w, s.all) and all(a <= b for a, b in zip(last, q))
-        assert all(abs(x - t * min(256 * w, s.all) / s.all) <= 2 for x, t in zip(q, s.totals))
-        last = q
+    one = packing.pack(docs.withColumnsRenamed({"n_chars": "queue"}), path, weights={"a": 3}).collect()
+    check_packing(one, docs.collect())
+
+
+def test_packing_schedule_keeps_targets(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    totals = [100_003, 7, 50_000, 1, 33, 20_000]
+    for weights in (None, [1, 1, 1, 1, 1, 1], [5, 1, 0, 2, 0, 90]):
+        s = packing.Schedule(totals, weights, 256)
+        given = np.concatenate([s.block(b)[0][:-1] for b in range(-(-s.windows // 16))] + [[totals]])
+        assert (np.diff(given, axis=0) >= 0).all() and (given.sum(1) == np.minimum(np.arange(s.windows + 1) * 256, s.all)).all()
+        if weights is None:  # no deficit ever reaches two tokens
+            assert (abs(given - np.outer(given.sum(1), totals) / s.all) <= 2).all()
+        elif weights[2]:  # equal shares until the small queues are dry
+            assert (abs(given[20] - [(5120 - 41) / 3, 7, (5120 - 41) / 3, 1, 33, (5120 - 41) / 3]) <= 2).all()
+        else:  # the queues of weight zero come when the others are dry
+            others = sum(totals[k] for k in (0, 1, 3, 5))
+            assert (given[:others // 256, [2, 4]] == 0).all() and abs(given[10][5] - (2560 - 8) * 90 / 95) < 2  # two of 8 tokens are dry by then
+        for q in range(6):
+            pos, window, offset = s.spans(q, totals[q] // 3, totals[q])
+            assert pos[0] == totals[q] // 3 and (np.diff(pos) > 0).all() and (given[window, q] <= pos).all() and (pos < given[window + 1, q]).all()
+
+
+def test_packing_ids_equal_the_library():
+    bpe, rnd = wordbpe.model(queries.vocabulary("word_bpe_49k.json")), random.Random(1)
+    parts = ["a", "aa", "aaa", "the", "'s", "'S", "'ll", " ", "  ", "\n", "\t", "\u0301", "é", "É", "İ", "ß", "Σ", "ς", "ﬁ", "東京", "0", "½", "٣", "!", "...", "_", "<|endoftext|>", "<|STARTOFTEXT|>",
+             "\x1c", "\x85", "\u200b", "\u3000", "😀", "x" * 70, "zq" * 40, "\x00", "ǅ", "Ⅷ", "क्षि"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + ["a" * 5000, "ab" * 3000 + " x", ""]
+    for k in range(0, len(texts), 500):
+        ids, offsets = bpe.encode(pa.array(texts[k:k + 500], pa.string()), 1)
+        for t, a, z in zip(texts[k:k + 500], offsets[:-1], offsets[1:]):
+            assert ids[a:z].tolist() == [*bpe.tok.encode(t, add_special_tokens=False).ids, 1], repr(t)
 
 
 def test_decontamination(spark, docs, odd, empty):

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from skelgraph.llm import packing, queries, suffix
+from skelgraph.llm import queries, suffix, wordbpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["the", "a", "of", "über", "house", "river", "stone", "we", "in", "small", "light", "to", "x"]
@@ -56,7 +56,7 @@ def test_passages_of_over_50_words_go(spark, corpus):
     assert want[0] == texts[0] and want[4] != texts[4]  # 49 words stay, 51 go
     got = {r.doc_id: r for r in corpus_pipeline.repeats(spark, docs, corpus).collect()}
     assert [got[i].text for i in range(len(want))] == want and all(r.n_chars == len(r.text) for r in got.values())
-    tok = packing.tokenizer(queries.vocabulary("word_bpe_49k.json")).tok
+    tok = wordbpe.model(queries.vocabulary("word_bpe_49k.json")).tok
     packed = {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, corpus).collect()}
     assert packed == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(want)}
 
