@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,21 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read it back."""
+    """Cut the lineage: write to the shared folder, let go of the shuffle files behind it, and read it back."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "skelgraph", uuid.uuid4().hex, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame):
-    """Remove the files of materialized frames that nothing reads any more."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        for path in {os.path.dirname(f) for f in df.inputFiles()}:
-            if "/skelgraph/" in path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def remove(spark: SparkSession, *folders: str):
+    """Delete folders below the shared one that nothing reads any more."""
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def batches_of(batches, column, size):

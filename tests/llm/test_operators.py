@@ -226,29 +226,62 @@ def brute_removed(rows, length):
     return out
 
 
+SMALL = suffix.Search(40, 20, 1)
+
+
+def brute_passages(rows, length=51):
+    """(passages, words in them) of each text."""
+    split = [(r.text or "").split() for r in rows]
+    seen = Counter(tuple(w[i:i + length]) for w in split for i in range(len(w) - length + 1))
+    out = []
+    for w in split:
+        gone = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i:i + length])] > 1:
+                gone[i:i + length] = True
+        out.append((int((gone[1:] & ~gone[:-1]).sum() + gone[0]), int(gone.sum())))
+    return out
+
+
 def test_suffix(docs, odd, empty):
-    for frame, length, gram in ((docs, 400, 200), (odd, 400, 200), (docs.limit(60), 40, 20)):
+    for frame, search in ((docs, suffix.STRINGS), (odd, suffix.STRINGS), (docs.limit(60), SMALL)):
         frame = frame.cache()
-        assert Counter(tuple(r) for r in suffix.removed(frame, length, gram).collect()) == brute_removed(frame.collect(), length)
+        rows = frame.collect()
+        got = suffix.removed(frame, search).collect()
+        assert Counter(tuple(r)[:5] for r in got) == brute_removed(rows, search.length)
+        assert Counter((r.doc_id, r.n_passages, r.n_passage_words) for r in got) == Counter((r.doc_id, *p) for r, p in zip(rows, brute_passages(rows)))
     assert suffix.removed(empty).count() == 0
-    assert suffix.strip_repeats(odd).count() == odd.count()
+    clash = odd.withColumnsRenamed({"lang": "tid", "source": "spans", "n_chars": "row"})
+    assert suffix.strip_repeats(clash).columns == clash.columns and suffix.strip_repeats(clash).count() == odd.count()
 
 
 def test_suffix_large_groups(docs, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", 2)
     frame = docs.limit(80)
-    assert Counter(tuple(r) for r in suffix.removed(frame, 40, 20).collect()) == brute_removed(frame.collect(), 40)
+    assert Counter(tuple(r)[:5] for r in suffix.removed(frame, SMALL).collect()) == brute_removed(frame.collect(), 40)
 
 
-def test_suffix_family(docs, spark):
+def test_suffix_family(docs, spark, tmp_path):
     frame = docs.limit(80)
-    spans = [{bytes(r.tid): sorted(map(tuple, r.spans)) for r in suffix.repeats(frame, 40, 20, n).collect()} for n in (1, 3, 4)]
+    spans = [{bytes(r.tid): sorted(map(tuple, r.spans)) for r in suffix.repeats(frame, suffix.F.lit(3), SMALL, batches=n).collect()} for n in (1, 3, 5)]
     assert spans[0] and spans[0] == spans[1] == spans[2]
-    family, rows = suffix.Family(), [(k % 7, k % 3, 1) for k in range(21)]
-    for i in range(0, 21, 3):
-        family.add(spark.createDataFrame(rows[i:i + 3], "key long, rh long, n long"))
-    assert [rank for rank, _ in family.levels] == [2, 1, 0]
-    assert family.matches(spark.createDataFrame([(3, 0, 1), (9, 0, 1)], "key long, rh long, n long")).collect() == [(3, 0, 1, True)]
+    family = suffix.Family(spark, f"file://{tmp_path}", 4)
+    rows, seen = [(0, 1), (1, 1), (2, 2)], []
+    for batch in (rows, [], [(2, 1), (3, 1)], [(9, 3)], [(1, 1)]):
+        seen.append(sorted(r.key for r in family.add(spark.createDataFrame(batch, "key long, n long")).collect()))
+    assert seen == [[2], [], [2], [9], [1]] and [rank for rank, _ in family.levels] == [2, 0]
+    family.save()
+    later = suffix.Family.open(spark, f"file://{tmp_path}")
+    assert later.levels == family.levels and later.buckets == 4
+    assert sorted(r.key for r in later.add(spark.createDataFrame([(0, 1), (7, 1)], "key long, n long")).collect()) == [0]
+    assert sorted(map(tuple, later.level(later.levels[0][1]).collect())) == [(0, 1), (1, 1), (2, 3), (3, 1), (9, 3)]
+
+
+def test_suffix_levels_are_scanned_without_a_shuffle(spark, tmp_path):
+    family = suffix.Family(spark, f"file://{tmp_path}", 4)
+    path = family._write(spark.range(100).select(suffix.F.col("id").alias("key"), suffix.F.lit(1).cast("long").alias("n")))
+    plan = family.level(path).hint("merge").join(family.level(path), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_suffix_blocks(monkeypatch):
