@@ -223,7 +223,8 @@ def repeats(docs: DataFrame, kinds, strings=STRINGS, passages=PASSAGES, batches=
     twice = met[0]
     for m in met[1:]:
         twice = twice.unionAll(m)
-    again = materialize(each.join(twice.distinct(), "key", "left_semi"), "again")
+    twice = materialize(twice.distinct(), "twice")  # so that the join is free to split a key of many suffixes
+    again = materialize(each.join(twice, "key", "left_semi"), "again")
     remove(docs.sparkSession, found.folder, family.folder, *[m.folder for m in met])
     stats = materialize(again.groupBy("key", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "place")).alias("rep")), "stats")
     sizes = stats.groupBy("key").agg(F.count("*").alias("regions")).where("regions > 1")
