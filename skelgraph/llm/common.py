@@ -63,6 +63,13 @@ def batches_of(batches, column, size):
             at = to
 
 
+def attach(rows: DataFrame, result, names) -> DataFrame:
+    """`rows` with the fields `names` of a struct column; they replace columns of the same name."""
+    keep, own = [c for c in rows.columns if c not in names], f"result_{uuid.uuid4().hex}"
+    out = rows.select(*[F.col(f"`{c}`") for c in keep], result.alias(own))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(own)[n].alias(n) for n in names])
+
+
 def text_id(col="text"):
     """128 bits of the SHA-256 of a text: the same for equal texts."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(col), F.lit("")).cast("binary"), 256), 1, 32))

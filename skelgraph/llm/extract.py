@@ -1,8 +1,16 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-Pass 1 classes each block by stop-word density, length and link density; pass 2
-gives undecided blocks the label of the nearest decided ones. Null or empty html
-gives ''. Every kept block is whole, and blocks are joined by one line feed.
+Pass 1 classes each block by length, stop-word density and link density: long blocks
+of many stop words and few links are good, long ones of few stop words and blocks of
+links are bad, the rest is open. Pass 2 gives open blocks the label of the nearest
+decided neighbours. Blocks in containers that name themselves menu, header, footer,
+sidebar, notice, advert, form or comments are never asked. `article` and `main` are
+hints: they hold the page's text only if they hold most of its good text, and in them
+links and few stop words leave a block open, and open blocks between two labels are kept. Density is waived
+where the stop words do not know the language: pages that do not declare one of theirs
+(`LANGUAGES`) and hold few of them, or have no good block at all. Null or empty html gives ''. Every kept block is
+whole, and blocks are joined by one line feed; time is in proportion to the page. Rows
+may repeat or tie; `text` and `n_chars` replace columns of these names, others stay.
 """
 import html
 import re
@@ -11,31 +19,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import attach
+
 # Frequent function words of the supported languages.
 STOP_WORDS = frozenset("""
-the of and to in is that for it was on with as be at by this are from or have an not you
-de la le et les des en un une du que qui dans est pour pas sur au par avec il elle ce
-der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es an er
-el los las y una por con no su para se del al como más o lo
+the of and to in is that for it was on with as be at by this are from or have an not you he she they we his her its which but had were been their has would
+de la le et les des en un une du que qui dans est pour pas sur au par avec il elle ce se ne plus aux ont son sa ses
+der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es an er sie wie oder wird bei aus nach einer um am
+el los las y una por con no su para se del al como más o lo pero sus le ya fue este ha si sin sobre
 """.split())
+LANGUAGES = ("en", "fr", "de", "es")
+LONG, HIGH, LOW, LINKS, KNOWN = 70, 0.25, 0.1, 0.33, 0.05
 _SKIP = "script style noscript template svg iframe object textarea select head".split()
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 _HOLDS = _BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 _BAD = frozenset("nav footer aside form button menu dialog".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|masthead|menu|modal|nav\w*|"
-                    r"newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+                    r"newsletter|notices?|popup|promo\w*|related(?!-work)|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^<>]*>"
                     % "|".join(_SKIP), re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|lang)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _pinned(tag, attrs, inside):
+    """Does this container name itself boilerplate?"""
     if tag in _BAD or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
@@ -45,15 +58,15 @@ def _pinned(tag, attrs, inside):
 
 
 def blocks(page: str):
-    """(text, link characters, pinned as boilerplate, inside an article) of each block in page order."""
-    out, parts, links = [], [], 0
+    """(declared language, [(text, link characters, pinned as boilerplate, inside an article)]) in page order."""
+    out, parts, links, lang = [], [], 0, ""
     stack, anchor, at = [], 0, 0  # stack: (tag, pinned, inside)
 
     def close():
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, links, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+            out.append((text, links, *(stack[-1][1:] if stack else (False, False))))
         parts, links = [], 0
 
     def add(raw):
@@ -77,6 +90,8 @@ def blocks(page: str):
         elif tag in _BLOCK:
             close()
             anchor = 0
+            if tag == "html" and not m.group(2):
+                lang = next((a or b or c for name, a, b, c in _ATTR.findall(m.group(4)) if name.lower() == "lang"), lang)
             if tag in _HOLDS:
                 if m.group(2):
                     for k in range(len(stack) - 1, -1, -1):
@@ -85,57 +100,78 @@ def blocks(page: str):
                             break
                 elif not m.group(4).endswith("/"):
                     _, bad, inside = stack[-1] if stack else ("", False, False)
-                    inside = inside or tag in ("article", "main")
-                    stack.append((tag, bad or _pinned(tag, m.group(4), inside), inside))
+                    bad = bad or _pinned(tag, m.group(4), inside)
+                    stack.append((tag, bad, inside or (tag in ("article", "main") and not bad)))
         elif tag in ("button", "label", "option") and not m.group(2):
             parts.append(" ")
     add(page[at:])
     close()
-    return out
+    return lang[:2].lower(), out
 
 
-def classify(found, stop_low=0.30, length_low=70, max_link=0.33):
-    """One boolean per block: is it main text?"""
-    article = any(inside and not bad for _, _, bad, inside in found)
+def first_pass(lang, found, stop_words=STOP_WORDS):
+    """True, False or None (open) for each block."""
+    counts = []
+    for text, _, bad, _ in found:
+        words = _WORD.findall(text.lower())
+        counts.append((sum(w in stop_words for w in words), len(words)))
+    asked = [c for c, b in zip(counts, found) if not b[2]]
+    known = lang in LANGUAGES or sum(c[0] for c in asked) >= KNOWN * sum(c[1] for c in asked)
     labels = []
-    for text, links, bad, inside in found:
-        if bad or (article and not inside) or links > max_link * len(text):
+    for (stops, n), (text, links, bad, inside) in zip(counts, found):
+        density = stops / n if n else 0.0
+        if bad:
             labels.append(False)
-            continue
-        words = _WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0
-        long = len(text) >= length_low
-        labels.append(True if long and density >= stop_low else None if inside or not long or density >= stop_low / 2 else False)
-    scope = [k for k, b in enumerate(found) if not b[2] and (b[3] or not article)]  # neighbours are of the same scope
-    before, last = {}, None
+        elif links > LINKS * len(text):
+            labels.append(None if inside else False)
+        elif len(text) < LONG:
+            labels.append(None)
+        elif not known or density >= HIGH:
+            labels.append(True)
+        else:
+            labels.append(None if inside or density >= LOW else False)
+    if not any(labels):  # no text like the stop words': length and links decide alone
+        labels = [True if len(b[0]) >= LONG and not b[2] and b[1] <= LINKS * len(b[0]) else x for x, b in zip(labels, found)]
+    return labels
+
+
+def second_pass(found, labels):
+    """One boolean per block: open ones take the label of the nearest decided neighbours that are not pinned."""
+    good = [sum(len(b[0]) for b, x in zip(found, labels) if x and b[3] == side) for side in (False, True)]
+    holds = good[1] > 0 and good[1] >= good[0]  # the article holds most of the good text, so what is outside is not text
+    scope = [k for k, b in enumerate(found) if not b[2] and (b[3] or not holds)]
+    before, after, last = {}, {}, None
     for k in scope:
         before[k] = last
         last = k if labels[k] is not None else last
-    after, last = {}, None
+    last = None
     for k in reversed(scope):
         after[k] = last
         last = k if labels[k] is not None else last
-    out = list(labels)
+    out = [False] * len(found)
     for k in scope:
-        if labels[k] is None:
-            b, a = before[k], after[k]
-            near = [labels[x] for x in (b, a) if x is not None]
-            if len(near) == 2 and near[0] != near[1]:
-                out[k] = article or (near[0] if k - b < a - k else near[1] if a - k < k - b else True)
-            else:
-                out[k] = near[0] if near and not article else True
-    return [bool(x) for x in out]
+        b, a = before[k], after[k]
+        near = [x for x in (b, a) if x is not None]
+        if labels[k] is not None:
+            out[k] = labels[k]
+        elif len(near) == 2 and labels[b] != labels[a]:
+            out[k] = labels[b if k - b < a - k else a] if k - b != a - k and not found[k][3] else True
+        else:
+            out[k] = labels[near[0]] if near else True
+    return out
 
 
-def main_text(page) -> str:
-    found = blocks(page) if page else []
-    return "\n".join(b[0] for b, good in zip(found, classify(found)) if good)
+def main_text(page, stop_words=STOP_WORDS) -> str:
+    lang, found = blocks(page) if page else ("", [])
+    return "\n".join(b[0] for b, good in zip(found, second_pass(found, first_pass(lang, found, stop_words))) if good)
 
 
-def extract(pages: DataFrame, html_col="html") -> DataFrame:
+def extract(pages: DataFrame, html_col="html", stop_words=STOP_WORDS) -> DataFrame:
     """All columns of `pages`, with text and n_chars."""
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(main_text)
+        return x.map(lambda page: main_text(page, stop_words))
 
-    return pages.withColumn("text", run(F.coalesce(F.col(html_col), F.lit("")))).withColumn("n_chars", F.length("text").cast("long"))
+    text = run(F.coalesce(F.col(html_col), F.lit("")))
+    pages = pages.drop(*{"n_chars"} - {html_col})
+    return attach(pages, F.struct(text.alias("text")), ["text"]).withColumn("n_chars", F.length("text").cast("long"))

@@ -2,7 +2,8 @@
 
 Null or letterless text: ``und``, score 0. Unlabelled and null-text rows do not
 teach. Ties: grams of equal count rank by code; languages of equal distance go
-by name. Repeated rows count as often as they occur; extra columns are ignored.
+by name. Repeated rows count as often as they occur; extra columns are
+kept, but for `lang_pred` and `score`, which are replaced.
 """
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import attach
+
 PROFILE = 400
 SAMPLE_ROWS = 200_000  # bound on the labelled rows that teach the profiles
 MAX_LANGUAGES = 2_000
@@ -114,8 +117,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_p", predict(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return attach(docs, predict(F.col("text")), ["lang_pred", "score"])
 
 
 def held_out():

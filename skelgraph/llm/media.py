@@ -1,17 +1,25 @@
 """Telephony audio columns: G.711 expansion by tables, IMA ADPCM blocks, resampling.
 
-Bytes are stored unchanged as 8-bit companded samples in a WAV form; decoding
-expands them by table to 16-bit PCM. Null text is empty and becomes one frame of
-padding; equal texts give equal values; extra columns pass through.
+`decode_media` expands a binary column of WAV files, mu-law, A-law, IMA ADPCM or PCM,
+by what their headers say of format, channels and block size, and adds resampled 16-bit
+PCM. `store_text` stores texts as such media: their bytes, unchanged, are the companded
+8-bit samples or the bytes of ADPCM blocks of one frame, in the format that a checksum
+deals the payload, so that equal texts give equal values. Null text is empty and
+becomes one frame of padding; null, cut or foreign media give null PCM, a short last
+block or sample what it holds. Rows are worked off in slices of bounded bytes; long
+ones alone. Rows may repeat. New columns replace those of their names, others stay.
 """
 import hashlib
 import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
+
+from .common import batches_of
 
 FRAME = 576
 RATE = 8000
@@ -41,73 +49,132 @@ IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 _EXPAND = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
-def ima_decode(data: bytes, block=256):
-    """Mono IMA ADPCM: all blocks advance together, one nibble column at a time."""
-    b = np.frombuffer(data[:len(data) // block * block], np.uint8).reshape(-1, block)
-    pred = b[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
-    index = np.minimum(b[:, 2].astype(np.int64), 88)
-    out = np.empty((len(b), 1 + 2 * (block - 4)), np.int16)
+_SLICE = 1 << 20
+
+
+def ima_decode(data: bytes, block=256, channels=1):
+    """IMA ADPCM to interleaved samples: all blocks and channels advance together, one nibble at a time."""
+    whole = len(data) // block * block
+    rest = len(data) - whole
+    b = np.frombuffer(data[:whole], np.uint8).reshape(-1, block)
+    head = b[:, :4 * channels].reshape(-1, channels, 4)
+    words = (block - 4 * channels) // (4 * channels)  # of 8 nibbles for each channel in turn
+    body = b[:, 4 * channels:4 * channels * (1 + words)].reshape(-1, words, channels, 4).swapaxes(1, 2).reshape(-1, channels, 4 * words)
+    pred = np.ascontiguousarray(head[:, :, :2]).view("<i2")[:, :, 0].astype(np.int64)
+    index = np.minimum(head[:, :, 2].astype(np.int64), 88)
+    out = np.empty((len(b), 1 + 8 * words, channels), np.int16)
     out[:, 0] = pred
-    for k in range(2 * (block - 4)):
-        nib = (b[:, 4 + k // 2] >> (4 * (k & 1))).astype(np.int64) & 15
+    for k in range(8 * words):
+        nib = (body[:, :, k // 2] >> (4 * (k & 1))).astype(np.int64) & 15
         step = IMA_STEPS[index]
         diff = (step >> 3) + (nib & 1) * (step >> 2) + (nib >> 1 & 1) * (step >> 1) + (nib >> 2 & 1) * step
         pred = np.clip(pred + np.where(nib & 8, -diff, diff), -32768, 32767)
         index = np.clip(index + IMA_MOVES[nib & 7], 0, 88)
         out[:, 1 + k] = pred
-    return out.reshape(-1)
+    out = out.reshape(-1)
+    if rest >= 4 * channels:  # a short last block
+        out = np.concatenate([out, ima_decode(data[whole:], rest, channels)])
+    return out
 
 
-def resample(pcm, rate, to):
-    """Linear interpolation to another rate, in 16-bit samples."""
-    n = len(pcm) * to // rate
-    return np.round(np.interp(np.arange(n) * (rate / to), np.arange(len(pcm)), pcm)).astype(np.int16) if len(pcm) else pcm
+def resample(pcm, rate, to, channels=1):
+    """Linear interpolation of interleaved 16-bit samples to another rate."""
+    wide = pcm[:len(pcm) // channels * channels].reshape(-1, channels)
+    n = len(wide) * to // rate
+    if not n:
+        return np.zeros(0, np.int16)
+    at = np.arange(n) * (rate / to)
+    return np.stack([np.round(np.interp(at, np.arange(len(wide)), wide[:, c])) for c in range(channels)], 1).astype(np.int16).reshape(-1)
 
 
-def wav(payload: bytes, code=MULAW, rate=RATE, bits=8) -> bytes:
-    fmt = struct.pack("<HHIIHHH", code, 1, rate, rate * bits // 8, bits // 8, bits, 0)
-    fact = struct.pack("<I", len(payload) * 8 // bits)
-    pad = b"\0" * (len(payload) & 1)
-    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<I", 4) + fact + b"data" + struct.pack("<I", len(payload)) + payload + pad
+def wav(payload: bytes, code=MULAW, rate=RATE, bits=8, block=None, channels=1) -> bytes:
+    """A WAV file of stored bytes; `block` is the size of an ADPCM block."""
+    if code == IMA:
+        per = 1 + (block - 4 * channels) * 2 // channels
+        fmt = struct.pack("<HHIIHHHH", code, channels, rate, rate * block // per, block, 4, 2, per)
+        samples = len(payload) // block * per
+    else:
+        align = channels * bits // 8
+        fmt = struct.pack("<HHIIHHH", code, channels, rate, rate * align, align, bits, 0)
+        samples = len(payload) // align
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples)
+    body += b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 def read_wav(media: bytes):
-    """(format code, rate, stored sample bytes)."""
-    at, code, rate, data = 12, None, None, b""
+    """(format code, channels, rate, block size, stored sample bytes); None if it is no WAV file."""
+    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+        return None
+    at, head, data = 12, None, b""
     while at + 8 <= len(media):
         name, size = media[at:at + 4], struct.unpack("<I", media[at + 4:at + 8])[0]
         part = media[at + 8:at + 8 + size]
-        if name == b"fmt ":
-            code, _, rate = struct.unpack("<HHI", part[:8])
+        if name == b"fmt " and len(part) >= 16:
+            code, channels, rate, _, block = struct.unpack("<HHIIH", part[:14])
+            head = (code, channels, rate, block)
         elif name == b"data":
             data = part
         at += 8 + size + (size & 1)
-    return code, rate, data
+    return None if head is None else (*head, data)
 
 
 def decode(media: bytes):
-    """(rate, 16-bit PCM)."""
-    code, rate, data = read_wav(media)
-    if code == IMA:
-        return rate, ima_decode(data)
-    return rate, _EXPAND[code][np.frombuffer(data, np.uint8)] if code in _EXPAND else np.frombuffer(data, "<i2")
-
-
-def store_text(docs: DataFrame, to_rate=16000) -> DataFrame:
-    """All columns of `docs`, with the stored `media`, its resampled `pcm` and the digests of both."""
-    @F.pandas_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm binary")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            raw = t.encode()
-            media = wav(raw + b"\xff" * (FRAME - len(raw) % FRAME if len(raw) % FRAME or not raw else 0))
-            back = read_wav(media)[2]
-            rate, pcm = decode(media)
-            out = resample(pcm, rate, to_rate)
-            x = pcm.astype(np.int64)
-            feature = f"n={len(out)};rms={int(np.sqrt((x * x).mean()))};peak={int(np.abs(x).max())};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};pcm={zlib.crc32(out.tobytes()):08x}"
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, media, out.tobytes()))
-        return pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm"])
-
-    return docs.withColumn("_m", run(F.coalesce(F.col("text"), F.lit("")))).select(*[c for c in docs.columns], "_m.*")
+    """(rate, channels, interleaved 16-bit PCM); None if it is no WAV file of a known format."""
+    got = read_wav(media)
+    if got is None or not got[1] or not got[2]:
+        return None
+    code, channels, rate, block, data = got
+    if code == IMA and block > 4 * channels:
+        return rate, channels, ima_decode(data, block, channels)
+    if code in _EXPAND:
+        return rate, channels, _EXPAND[code][np.frombuffer(data, np.uint8)]
+    return (rate, channels, np.frombuffer(data[:len(data) // 2 * 2], "<i2")) if code == PCM else None
+
+
+def _mapped(docs, size_of, fields, work):
+    """`docs` with columns `fields` made by `work` from slices of about _SLICE bytes of column `size_of`."""
+    names = [n for n, _ in fields]
+    docs = docs.drop(*set(names) - {size_of})
+    keep = [c for c in docs.columns if c not in names]
+    schema = StructType([docs.schema[c] for c in keep])
+    for n, kind in fields:
+        schema = schema.add(n, kind)
+
+    def run(batches):
+        for rec in batches_of(batches, size_of, _SLICE):
+            made = list(zip(*[work(x) for x in rec[size_of].to_pylist()]))
+            kinds = {StringType: pa.string(), BinaryType: pa.binary(), LongType: pa.int64(), IntegerType: pa.int32()}
+            cols = [pa.array(m, kinds[type(k)]) for m, (_, k) in zip(made, fields)]
+            yield pa.RecordBatch.from_arrays([*[rec[c] for c in keep], *cols], names=[*keep, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def decode_media(docs: DataFrame, to_rate=16000, media_col="media") -> DataFrame:
+    """All columns of `docs`, with `pcm` (16-bit, little-endian, interleaved, at `to_rate`), its `channels` and `source_rate`."""
+    def work(media):
+        got = decode(media) if media is not None else None
+        return (None, None, None) if got is None else (resample(got[2], got[0], to_rate, got[1]).astype("<i2").tobytes(), got[1], got[0])
+
+    return _mapped(docs, media_col, [("pcm", BinaryType()), ("channels", IntegerType()), ("source_rate", IntegerType())], work)
+
+
+def store_text(docs: DataFrame, to_rate=16000, digests_only=False) -> DataFrame:
+    """All columns of `docs`, with the digests of the stored `media` and its resampled `pcm`, and both unless `digests_only`."""
+    def work(text):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (FRAME - len(raw) % FRAME if len(raw) % FRAME or not raw else 0)
+        code = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
+        media = wav(payload, code, block=FRAME if code == IMA else None)
+        back = read_wav(media)[4]
+        rate, _, pcm = decode(media)
+        out = resample(pcm, rate, to_rate).astype("<i2").tobytes()
+        x = pcm.astype(np.int64)
+        feature = f"format={code};n={len(out) // 2};rms={int(np.sqrt((x * x).mean()))};peak={int(np.abs(x).max())};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(out), hashlib.sha256(out).hexdigest())
+        return row if digests_only else (*row, media, out)
+
+    long, text = LongType(), StringType()
+    fields = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text), ("pcm_bytes", long), ("pcm_sha256", text)]
+    return _mapped(docs, "text", fields if digests_only else [*fields, ("media", BinaryType()), ("pcm", BinaryType())], work)

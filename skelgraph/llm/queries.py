@@ -1,6 +1,4 @@
 """The ten registered queries, with production parameters over whole tables."""
-import hashlib  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from . import decontam, extract, langid, licenses, media, packing, simhash, suffix, tokencount, urlfilter
@@ -48,7 +46,7 @@ def op7_suffix(spark, sf_dir):
 
 
 def op8_media(spark, sf_dir):
-    return media.store_text(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "media", "pcm")
+    return media.store_text(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True).drop("text")
 
 
 def op9_licenses(spark, sf_dir):

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -68,6 +69,41 @@ def test_extract(spark):
         assert r.text == "\n".join(x for x in want if x)
 
 
+GOOD = "The long story of that and this is for it. " * 4
+
+
+def test_extract_rules_decide_without_article():
+    page = ("<html lang=en><body><div>Home</div><h1>Title</h1><p>" + GOOD + "</p><p>Short</p><p>" + GOOD + "</p><p>" + "keyword tag cloud item " * 8 + "</p>"
+            "<ul><li><a href=x>One link</a></li><li><a href=y>Two links</a></li></ul><div>Imprint</div></body></html>")
+    text = extract.main_text(page)
+    assert text == "\n".join(["Home", "Title", GOOD.strip(), "Short", GOOD.strip()])  # what is near a good block stays with it
+    assert "keyword" in extract.main_text(page, frozenset()) and "keyword" not in text
+    assert extract.first_pass("en", extract.blocks(page)[1]) == [None, None, True, None, True, False, False, False, None]
+    foreign = "<body><h1>Привет</h1><p>" + "Длинный рассказ о том и этом для всех людей. " * 4 + "</p><nav>Меню</nav></body>"
+    assert extract.main_text(foreign).startswith("Привет\nДлинный") and "Меню" not in extract.main_text(foreign)
+
+
+def test_extract_articles_are_hints():
+    story = "<p>" + GOOD + "</p>"
+    assert extract.main_text(f"<body>{story}<article class='comment'>{story}x</article></body>") == GOOD.strip()
+    assert extract.main_text(f"<body><article><p>Teaser</p></article>{story}</body>").endswith(GOOD.strip())
+    whole = f"<article>{story}<p>See <a>long reference title</a></p><li><a>Reference one</a></li><div class='related-work'>Of the work</div></article><p>{GOOD}</p>"
+    assert extract.main_text(whole) == "\n".join([GOOD.strip(), "See long reference title", "Reference one", "Of the work"])
+
+
+def test_extract_is_linear_in_bad_pages():
+    began = time.time()
+    for page in ("<a " * 350_000, "<!" * 500_000, '<a "' * 250_000, "<script " * 125_000, "<p>" * 300_000):
+        extract.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_extract_clashes_and_repeats(spark):
+    rows = spark.createDataFrame([(1, f"<p>{GOOD}", "old", 5)] * 2, "page_id long, html string, text string, n_chars int")
+    got = extract.extract(rows)
+    assert got.columns == ["page_id", "html", "text", "n_chars"] and [r.text for r in got.collect()] == [GOOD.strip()] * 2
+
+
 def check_packing(rows, frame):
     tok = wordbpe.model(queries.vocabulary("word_bpe_49k.json")).tok
     byid = defaultdict(list)
@@ -296,13 +332,32 @@ def test_media(docs, odd, empty):
         for r in media.store_text(frame).collect():
             raw = (r.text or "").encode()
             want = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
-            assert media.read_wav(r.media) == (media.MULAW, 8000, want)
+            code, channels, rate, block, back = media.read_wav(r.media)
+            assert (channels, rate, back) == (1, 8000, want) and code == (7, 6, 17)[zlib.crc32(want) % 3] and block == (576 if code == 17 else 1)
             assert (r.payload_sha256, r.tail_crc32, r.media_bytes) == (hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]), len(r.media))
+            assert (r.pcm_bytes, r.pcm_sha256) == (len(r.pcm), hashlib.sha256(r.pcm).hexdigest()) and len(r.pcm) == 4 * (len(want) if code != 17 else len(want) // 576 * 1145)
     assert media.store_text(empty).count() == 0
+    clash = odd.withColumnsRenamed({"lang": "media", "source": "feature"})
+    assert sorted(media.store_text(clash).columns) == sorted(["doc_id", "text", "n_chars", *media.store_text(odd).drop(*odd.columns).columns])
     mu, al = media.mulaw_table(), media.alaw_table()
     assert (mu[0], mu[127], mu[128], mu[255]) == (-32124, 0, 32124, 0) and (al[0xD5], al[0x55], al[0x2A], al[0xAA]) == (8, -8, -32256, 32256)
 
 
+def test_decode_media(spark):
+    rnd = np.random.default_rng(2)
+    data = rnd.integers(0, 256, 1200, dtype=np.uint8).tobytes()
+    two = b"".join(x for k in range(0, 512, 4) for x in (data[k:k + 4], data[600 + k:604 + k]))
+    files = {"mu": media.wav(data), "al": media.wav(data, media.ALAW), "ima": media.wav(data[:600], media.IMA, block=512), "two": media.wav(two, media.IMA, block=1024, channels=2),
+             "pcm": media.wav(data, media.PCM, bits=16), "none": None, "text": b"no media", "cut": media.wav(data)[:30], "empty": b""}
+    got = {r.k: r for r in media.decode_media(spark.createDataFrame([*files.items(), ("mu", files["mu"])], "k string, media binary"), 8000).collect()}
+    ima = np.concatenate([media.ima_decode(data[:512], 512), media.ima_decode(data[512:600], 88)])
+    assert got["mu"].pcm == media.mulaw_table()[list(data)].astype("<i2").tobytes() and got["al"].pcm == media.alaw_table()[list(data)].astype("<i2").tobytes()
+    assert got["ima"].pcm == ima.astype("<i2").tobytes() and got["pcm"].pcm == data
+    left, right = (media.ima_decode(data[a:a + 512], 512) for a in (0, 600))
+    assert got["two"].channels == 2 and got["two"].pcm == np.stack([left, right], 1).astype("<i2").tobytes()
+    assert [got[k].pcm for k in ("none", "text", "empty")] == [None] * 3 and got["cut"].pcm in (None, b"")
+
+
 def test_ima_blocks_match_one_by_one():
     rnd = np.random.default_rng(0)
     b = rnd.integers(0, 256, 256 * 3, dtype=np.uint8)
