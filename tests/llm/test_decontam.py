@@ -21,8 +21,8 @@ def tables(spark, tmp_path):
 def test_rows_with_one_id_are_one_item(spark, tables, monkeypatch):
     docs, path = tables
     items = spark.read.parquet(f"{path}/benchmark.parquet")
-    for block in (20_000, 1):
-        monkeypatch.setattr(decontam, "BLOCK_ITEMS", block)
+    for bits in (27, 7):  # a full bitmap passes more, and changes nothing
+        monkeypatch.setattr(decontam, "MAX_BITS", bits)
         assert [tuple(r) for r in decontam.contained(docs, items).collect()] == [(1, 1, 1.0)]
 
 
@@ -32,12 +32,37 @@ def test_pipeline_goes_by_rows(spark, tables):
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(None, FAR)]
 
 
-def test_short_items_are_exact():
-    rnd = random.Random(5)
-    words = [f"v{i}" for i in range(3000)]
-    for n in (5, 6, 9, 20, 60):
-        items = [(i, [" ".join(rnd.choice(words) for _ in range(n))]) for i in range(300)]
-        index = decontam.Index(items)
-        for item, (text,) in items[:150]:
-            fill = [" ".join(rnd.choice(words) for _ in range(400)) for _ in range(2)]
-            assert (item, 1.0) in index.search(f"{fill[0]} {text} {fill[1]}")
+def planted(rnd, n, swaps, per):
+    """Documents with one item each, of n words of which `swaps` were changed."""
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [[rnd.choice(vocab) for _ in range(n)] for _ in range(per)]
+    docs = []
+    for own in items:
+        own = list(own)
+        for k in rnd.sample(range(n), swaps):
+            own[k] = "changed"
+        docs.append(" ".join([*(rnd.choice(vocab) for _ in range(rnd.randint(50, 4000))), *own, *(rnd.choice(vocab) for _ in range(rnd.randint(50, 4000)))]))
+    return [" ".join(i) for i in items], docs
+
+
+def test_recall_by_length_and_containment(spark):
+    """All short items and at least 0.9 of the long ones, at containment 0.8 to 1."""
+    rnd, items, docs, group = random.Random(5), [], [], []
+    for n in (5, 6, 9, 20, 60, 68, 100, 250, 700):
+        for swaps in sorted({0, (n - 4) // 50, (n - 4) // 26}):
+            a, b = planted(rnd, n, swaps, 12)
+            items, docs, group = items + a, docs + b, group + [(n, swaps)] * 12
+    want = {}
+    for k, (item, doc) in enumerate(zip(items, docs)):
+        own, have = set(decontam.shingles(item)), set(decontam.shingles(doc))
+        if len(own & have) / len(own) >= 0.8:
+            want[k] = len(own & have) / len(own)
+    got = decontam.contained(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = {r.doc_id: r.containment for r in got.collect() if r.doc_id == r.item_id}
+    recall = {g: [0, 0] for g in group}
+    for k in want:
+        recall[group[k]][0] += k in found
+        recall[group[k]][1] += 1
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in found) and set(found) <= set(want) and min(want.values()) < 0.9
+    assert all(hit == n for (words, _), (hit, n) in recall.items() if words <= 68), recall
+    assert all(hit >= 0.9 * n for hit, n in recall.values()), recall
