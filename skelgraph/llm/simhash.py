@@ -4,8 +4,9 @@ Distinct fingerprints are tiled by the population counts of their four 16-bit
 quarters. Two tiles are compared only if the counts differ by at most the radius
 in sum, since that sum never exceeds the Hamming distance. Tiles are cut into
 blocks of bounded size, links are reduced to a forest inside each block pair, and
-classes come from rounds of minimum-label contraction. Null text is an empty
-text (fingerprint zero); null doc_id rows share the class of their fingerprint.
+classes come from rounds of contraction. Null text is an empty text (fingerprint
+zero); null doc_id rows share the class of their fingerprint; repeated rows give a row
+each. Extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 import itertools
 
@@ -100,12 +101,22 @@ def links(fps: DataFrame, radius=2, block=BLOCK) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each class, for every node on an edge (a, b)."""
-    edges = materialize(edges.where("a <> b"), "edges")
+    """(node, root): the least node of each class, for every node on an edge (a, b).
+
+    In each round every node goes to its neighbour, or itself, of the least random
+    priority, then twice on along such steps; edges are drawn anew between the goals.
+    An expected constant share of the nodes goes in a round, whatever the diameter.
+    """
+    edges = materialize(edges.where("a <> b").select("a", "b"), "edges")
     maps = []
     while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "step")
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        priority = F.struct(F.xxhash64("b", F.lit(len(maps))).alias("p"), F.col("b").alias("to"))
+        least = both.unionAll(both.select("a", F.col("a").alias("b"))).groupBy("a").agg(F.min(priority).alias("m"))
+        step = materialize(least.select(F.col("a").alias("node"), "m.to"), "step")
+        for _ in range(2):
+            onward = step.select(F.col("node").alias("to"), F.col("to").alias("on"))
+            step = materialize(step.join(onward, "to").select("node", F.col("on").alias("to")), "step")
         maps.append(step)
         edges = (edges.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a")
                  .join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b").where("x <> y")
@@ -115,9 +126,10 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = maps[-1].withColumnRenamed("to", "root")
     for step in reversed(maps[:-1]):  # a later map holds only what was still on an edge
-        nxt = out.withColumnsRenamed({"node": "to"})
-        out = step.join(nxt, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return out
+        out = step.join(out.withColumnsRenamed({"node": "to"}), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    out = materialize(out, "roots")
+    names = out.groupBy("root").agg(F.min("node").alias("least"))
+    return out.join(names, "root").select("node", F.col("least").alias("root"))
 
 
 def classes(docs: DataFrame, radius=2, width=3) -> DataFrame:
@@ -127,5 +139,5 @@ def classes(docs: DataFrame, radius=2, width=3) -> DataFrame:
     comp = components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = reps.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(ids, "root").select("fp", "component_id")
+    label = materialize(rooted.join(ids, "root").select("fp", "component_id"), "labels")  # then a hot fingerprint can be split
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

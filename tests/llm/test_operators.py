@@ -232,6 +232,17 @@ def test_simhash_links_on_dense_fingerprints(spark, monkeypatch):
     assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values()))
 
 
+def test_components_of_long_chains_and_stars(spark, monkeypatch):
+    written = []
+    real = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.append(name) or real(df, name))
+    chain = [(k, k + 1) for k in range(0, 300)]
+    star = [(1000, 1001 + k) for k in range(50)] + [(3000, 2000 + k) for k in range(50)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain + star + [(7, 7)], "a long, b long").coalesce(2)).collect()}
+    assert {got[k] for k in range(301)} == {0} and {got[1000 + k] for k in range(51)} == {1000} and {got[x] for x in [*range(2000, 2050), 3000]} == {2000}
+    assert written.count("edges") - 1 <= 8
+
+
 def test_token_counts(docs, odd, empty):
     path = queries.vocabulary("piece_bpe_32k.model")
     c = tokencount.counter(path)
