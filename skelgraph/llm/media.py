@@ -49,7 +49,18 @@ IMA_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 _EXPAND = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
-_SLICE = 1 << 20
+def _ima_tables():
+    """What each nibble adds at each step index, and the index after it, at 16 * index + nibble."""
+    step, nib = IMA_STEPS[:, None], np.arange(16)[None, :]
+    add = (step >> 3) + (nib & 1) * (step >> 2) + (nib >> 1 & 1) * (step >> 1) + (nib >> 2 & 1) * step
+    index = np.clip(np.arange(89)[:, None] + IMA_MOVES[nib & 7], 0, 88)
+    return np.where(nib & 8, -add, add).astype(np.int32).ravel(), (16 * index).astype(np.int32).ravel()
+
+
+_ADD, _NEXT = _ima_tables()
+
+
+_SLICE = 2 << 20
 
 
 def ima_decode(data: bytes, block=256, channels=1):
@@ -60,18 +71,17 @@ def ima_decode(data: bytes, block=256, channels=1):
     head = b[:, :4 * channels].reshape(-1, channels, 4)
     words = (block - 4 * channels) // (4 * channels)  # of 8 nibbles for each channel in turn
     body = b[:, 4 * channels:4 * channels * (1 + words)].reshape(-1, words, channels, 4).swapaxes(1, 2).reshape(-1, channels, 4 * words)
-    pred = np.ascontiguousarray(head[:, :, :2]).view("<i2")[:, :, 0].astype(np.int64)
-    index = np.minimum(head[:, :, 2].astype(np.int64), 88)
-    out = np.empty((len(b), 1 + 8 * words, channels), np.int16)
-    out[:, 0] = pred
+    pred = np.ascontiguousarray(head[:, :, :2]).view("<i2")[:, :, 0].astype(np.int32)
+    at = 16 * np.minimum(head[:, :, 2].astype(np.int32), 88)
+    out = np.empty((1 + 8 * words, len(b), channels), np.int16)
+    out[0] = pred
+    body = np.ascontiguousarray(body.transpose(2, 0, 1))
     for k in range(8 * words):
-        nib = (body[:, :, k // 2] >> (4 * (k & 1))).astype(np.int64) & 15
-        step = IMA_STEPS[index]
-        diff = (step >> 3) + (nib & 1) * (step >> 2) + (nib >> 1 & 1) * (step >> 1) + (nib >> 2 & 1) * step
-        pred = np.clip(pred + np.where(nib & 8, -diff, diff), -32768, 32767)
-        index = np.clip(index + IMA_MOVES[nib & 7], 0, 88)
-        out[:, 1 + k] = pred
-    out = out.reshape(-1)
+        code = at + ((body[k // 2] >> (4 * (k & 1))) & 15)
+        pred = np.clip(pred + _ADD[code], -32768, 32767)
+        at = _NEXT[code]
+        out[1 + k] = pred
+    out = np.ascontiguousarray(out.transpose(1, 0, 2)).reshape(-1)
     if rest >= 4 * channels:  # a short last block
         out = np.concatenate([out, ima_decode(data[whole:], rest, channels)])
     return out
@@ -119,21 +129,38 @@ def read_wav(media: bytes):
     return None if head is None else (*head, data)
 
 
+def decode_all(files):
+    """(rate, channels, interleaved 16-bit PCM) of each file, None if it is no WAV file of a known format; ADPCM blocks of all files advance together."""
+    out, blocks = [None] * len(files), {}
+    for k, media in enumerate(files):
+        got = read_wav(media) if media is not None else None
+        if got is None or not got[1] or not got[2]:
+            continue
+        code, channels, rate, block, data = got
+        if code == IMA and block > 4 * channels:
+            blocks.setdefault((block, channels), []).append((k, rate, data))
+        elif code in _EXPAND:
+            out[k] = (rate, channels, _EXPAND[code][np.frombuffer(data, np.uint8)])
+        elif code == PCM:
+            out[k] = (rate, channels, np.frombuffer(data[:len(data) // 2 * 2], "<i2"))
+    for (block, channels), held in blocks.items():
+        whole = [len(d) // block for _, _, d in held]
+        pcm = ima_decode(b"".join(d[:n * block] for (_, _, d), n in zip(held, whole)), block, channels)
+        per, at = (1 + 8 * ((block - 4 * channels) // (4 * channels))) * channels, 0
+        for (k, rate, data), n in zip(held, whole):
+            rest = ima_decode(data[n * block:], block, channels) if len(data) > n * block else pcm[:0]
+            out[k] = (rate, channels, np.concatenate([pcm[at:at + n * per], rest]))
+            at += n * per
+    return out
+
+
 def decode(media: bytes):
-    """(rate, channels, interleaved 16-bit PCM); None if it is no WAV file of a known format."""
-    got = read_wav(media)
-    if got is None or not got[1] or not got[2]:
-        return None
-    code, channels, rate, block, data = got
-    if code == IMA and block > 4 * channels:
-        return rate, channels, ima_decode(data, block, channels)
-    if code in _EXPAND:
-        return rate, channels, _EXPAND[code][np.frombuffer(data, np.uint8)]
-    return (rate, channels, np.frombuffer(data[:len(data) // 2 * 2], "<i2")) if code == PCM else None
+    """(rate, channels, PCM) of one file."""
+    return decode_all([media])[0]
 
 
 def _mapped(docs, size_of, fields, work):
-    """`docs` with columns `fields` made by `work` from slices of about _SLICE bytes of column `size_of`."""
+    """`docs` with columns `fields`, rows of which `work` makes from slices of about _SLICE bytes of column `size_of`."""
     names = [n for n, _ in fields]
     docs = docs.drop(*set(names) - {size_of})
     keep = [c for c in docs.columns if c not in names]
@@ -143,7 +170,7 @@ def _mapped(docs, size_of, fields, work):
 
     def run(batches):
         for rec in batches_of(batches, size_of, _SLICE):
-            made = list(zip(*[work(x) for x in rec[size_of].to_pylist()]))
+            made = list(zip(*work(rec[size_of].to_pylist())))
             kinds = {StringType: pa.string(), BinaryType: pa.binary(), LongType: pa.int64(), IntegerType: pa.int32()}
             cols = [pa.array(m, kinds[type(k)]) for m, (_, k) in zip(made, fields)]
             yield pa.RecordBatch.from_arrays([*[rec[c] for c in keep], *cols], names=[*keep, *names])
@@ -153,27 +180,30 @@ def _mapped(docs, size_of, fields, work):
 
 def decode_media(docs: DataFrame, to_rate=16000, media_col="media") -> DataFrame:
     """All columns of `docs`, with `pcm` (16-bit, little-endian, interleaved, at `to_rate`), its `channels` and `source_rate`."""
-    def work(media):
-        got = decode(media) if media is not None else None
-        return (None, None, None) if got is None else (resample(got[2], got[0], to_rate, got[1]).astype("<i2").tobytes(), got[1], got[0])
+    def work(files):
+        return [(None, None, None) if got is None else (resample(got[2], got[0], to_rate, got[1]).astype("<i2").tobytes(), got[1], got[0]) for got in decode_all(files)]
 
     return _mapped(docs, media_col, [("pcm", BinaryType()), ("channels", IntegerType()), ("source_rate", IntegerType())], work)
 
 
 def store_text(docs: DataFrame, to_rate=16000, digests_only=False) -> DataFrame:
     """All columns of `docs`, with the digests of the stored `media` and its resampled `pcm`, and both unless `digests_only`."""
-    def work(text):
-        raw = (text or "").encode()
-        payload = raw + b"\xff" * (FRAME - len(raw) % FRAME if len(raw) % FRAME or not raw else 0)
-        code = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
-        media = wav(payload, code, block=FRAME if code == IMA else None)
-        back = read_wav(media)[4]
-        rate, _, pcm = decode(media)
-        out = resample(pcm, rate, to_rate).astype("<i2").tobytes()
-        x = pcm.astype(np.int64)
-        feature = f"format={code};n={len(out) // 2};rms={int(np.sqrt((x * x).mean()))};peak={int(np.abs(x).max())};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(out), hashlib.sha256(out).hexdigest())
-        return row if digests_only else (*row, media, out)
+    def work(texts):
+        raws = [(t or "").encode() for t in texts]
+        files = []
+        for raw in raws:
+            payload = raw + b"\xff" * (FRAME - len(raw) % FRAME if len(raw) % FRAME or not raw else 0)
+            code = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
+            files.append(wav(payload, code, block=FRAME if code == IMA else None))
+        rows = []
+        for raw, media, (rate, _, pcm) in zip(raws, files, decode_all(files)):
+            code, back = (read_wav(media)[k] for k in (0, 4))
+            out = resample(pcm, rate, to_rate).astype("<i2").tobytes()
+            x = pcm.astype(np.float32)
+            feature = f"format={code};n={len(out) // 2};sum={int(pcm.sum(dtype=np.int64))};peak={int(np.abs(x).max())};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(out), hashlib.sha256(out).hexdigest())
+            rows.append(row if digests_only else (*row, media, out))
+        return rows
 
     long, text = LongType(), StringType()
     fields = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text), ("pcm_bytes", long), ("pcm_sha256", text)]
