@@ -85,8 +85,9 @@ def along(ring: Column, share: float) -> Column:
 
 def line_direction(geom: Column) -> Column:
     """Angle from the point at 25% to the one at 75% of the length; null unless a line."""
-    a, b = along(geom["parts"][0], 0.25), along(geom["parts"][0], 0.75)
-    return F.when(geom["kind"] == "LineString", F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
+    ring = geom["parts"][0]
+    turn = let(along(ring, 0.25), lambda a: let(along(ring, 0.75), lambda b: F.atan2(b["y"] - a["y"], b["x"] - a["x"])))
+    return F.when(geom["kind"] == "LineString", turn)
 
 
 def segment_distance(px: Column, py: Column, s: Column) -> Column:
@@ -122,24 +123,62 @@ def endpoint_distance(px: Column, py: Column, geom: Column, which: str) -> Colum
     return F.hypot(px - p["x"], py - p["y"])
 
 
+def centroid(geom: Column) -> Column:
+    """Of many parts: points by number, lines by length, polygons by area (holes turn the other way); corners by number if all are without size."""
+    points = F.flatten(geom["parts"])
+    every = F.flatten(F.transform(geom["parts"], segments))
+    area = geom["kind"].contains("Polygon")
+
+    def weight(s):
+        return F.when(area, (s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2).otherwise(_length_of(s))
+
+    def mean(c, total):
+        share = F.when(area, F.lit(3.0)).otherwise(2.0)
+        got = _sum(F.transform(every, lambda s: weight(s) * (s["a"][c] + s["b"][c]) / share)) / total
+        plain = _sum(F.transform(points, lambda p: p[c])) / F.size(points)
+        return F.when(geom["kind"].contains("Point") | (F.abs(total) <= 1e-12), plain).otherwise(got)
+
+    total = _sum(F.transform(every, weight))
+    return F.when(F.size(points) > 0, let(total, lambda t: F.struct(mean("x", t).alias("x"), mean("y", t).alias("y"))))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _scan_height(ring):
+    """Half way between the vertex heights nearest the middle of the box."""
+    def between(ys, mid):
+        low = F.array_max(F.filter(ys, lambda y: y <= mid))
+        return let(low, lambda low: (low + F.coalesce(F.array_min(F.filter(ys, lambda y: y > mid)), low)) / 2)
+
+    return let(F.transform(ring, lambda p: p["y"]), lambda ys: let((F.array_min(ys) + F.array_max(ys)) / 2, lambda mid: between(ys, mid)))
+
+
+def _inner_point(geom):
+    """Middle of the widest inner span of the scanline; null if it cuts nothing."""
+    every = F.flatten(F.transform(geom["parts"], segments))
+
+    def cuts(scan):
+        return F.array_sort(F.transform(F.filter(every, lambda s: (s["a"]["y"] > scan) != (s["b"]["y"] > scan)),
+                                        lambda s: s["a"]["x"] + (scan - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"])))
+
+    def widest(cut):
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(cut) - 2, F.lit(0))), lambda i: i % 2 == 0)
+        return F.array_max(F.transform(starts, lambda i: F.struct((F.get(cut, i + 1) - F.get(cut, i)).alias("w"), ((F.get(cut, i + 1) + F.get(cut, i)) / 2).alias("x"))))
+
+    return let(_scan_height(geom["parts"][0]), lambda scan: let(let(cuts(scan), widest), lambda w: F.when(w["x"].isNotNull(), F.struct(w["x"].alias("x"), scan.alias("y")))))
+
+
 def representative_point(geom: Column) -> Column:
     """Point: itself; line: at half length; polygon: middle of the widest inner span
-    of the scanline half way between the vertex heights nearest the box's centre."""
-    ring = geom["parts"][0]
-    every = F.flatten(F.transform(geom["parts"], segments))
-    ys = F.transform(ring, lambda p: p["y"])
-    mid = (F.array_min(ys) + F.array_max(ys)) / 2
-    low = F.array_max(F.filter(ys, lambda y: y <= mid))
-    high = F.array_min(F.filter(ys, lambda y: y > mid))
-    scan = (low + F.coalesce(high, low)) / 2
-    cut = F.array_sort(F.transform(F.filter(every, lambda s: (s["a"]["y"] > scan) != (s["b"]["y"] > scan)),
-                                   lambda s: s["a"]["x"] + (scan - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"])))
-    spans = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(cut) - 2, F.lit(0))), lambda i: i % 2 == 0),
-                        lambda i: F.struct((F.get(cut, i + 1) - F.get(cut, i)).alias("w"), ((F.get(cut, i + 1) + F.get(cut, i)) / 2).alias("x")))
-    widest = F.array_max(spans)
-    return (F.when(geom["kind"] == "Point", F.struct(ring[0]["x"].alias("x"), ring[0]["y"].alias("y")))
-            .when(geom["kind"] == "LineString", along(ring, 0.5))
-            .when(geom["kind"] == "Polygon", F.struct(widest["x"].alias("x"), scan.alias("y"))))
+    of the scanline half way between the vertex heights nearest the box's centre; else
+    the centroid, null for empty geometry."""
+    first = geom["parts"][0][0]
+    return (F.when(geom["kind"] == "Point", F.struct(first["x"].alias("x"), first["y"].alias("y")))
+            .when(geom["kind"] == "LineString", along(geom["parts"][0], 0.5))
+            .otherwise(F.coalesce(F.when(geom["kind"] == "Polygon", _inner_point(geom)), centroid(geom))))
 
 
 def rescale(geom: Column, cx: Column, cy: Column, scale: Column) -> Column:

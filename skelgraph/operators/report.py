@@ -46,7 +46,27 @@ def records(nodes: DataFrame, sectors=8, use_relations=True) -> DataFrame:
 
 
 def write_records(nodes: DataFrame, path: str, sectors=8, use_relations=True):
-    records(nodes, sectors, use_relations).write.json(path, ignoreNullFields=False)
+    """Record files of samples, below a folder for each group if nodes have a group_id."""
+    cols = ["Name", "Type", "x", "y", "dir"]
+    groups = ["group_id"] if "group_id" in nodes.columns else []
+    got = records(nodes, sectors, use_relations)
+    if groups:
+        got = got.join(nodes.select("sample_id", "group_id").distinct(), "sample_id")
+    inner = F.struct(*[F.col(f"nodes.{c.lower()}").alias(c) for c in cols])
+    got = got.select(F.col("sample_id").cast("string").alias("sample_dir"), inner.alias("nodes"), "sectors", "use_relations", *groups)
+    (got.write.partitionBy(*groups) if groups else got.write).json(path, ignoreNullFields=False)
+
+
+def write_reports(df: DataFrame, path: str, format="json"):
+    """A report table as json, csv (with header) or parquet."""
+    if format not in ("json", "csv", "parquet"):
+        raise ValueError(f"unknown report format: {format}")
+    df.write.format(format).options(**({"header": True} if format == "csv" else {"ignoreNullFields": False} if format == "json" else {})).save(path)
+
+
+def group_fidelity(pairs: DataFrame) -> DataFrame:
+    """(group_a, group_b, fidelity): mean similarity of the matched pairs of two groups."""
+    return pairs.groupBy("group_a", "group_b").agg(F.avg("sim").alias("fidelity"))
 
 
 def _target(scored):

@@ -1,10 +1,11 @@
 """Neighbours, normalisation and the sector skeleton graph, per sample."""
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import radial_gate, relative_angle, sector
+from ..store import written
 
 
 def assign_node_ids(features: DataFrame) -> DataFrame:
@@ -13,8 +14,11 @@ def assign_node_ids(features: DataFrame) -> DataFrame:
 
 
 def filter_layers(nodes: DataFrame, layer: str) -> DataFrame:
+    """Nodes of a layer; lines and polygons only with a geometry of that kind, where there is one."""
     kinds = {"points": ("Landmark", "Node"), "lines": ("Path", "Edge"), "polygons": ("District",)}[layer]
-    return nodes.where(F.col("type").isin(*kinds))
+    shape = {"lines": "LineString", "polygons": "Polygon"}.get(layer)
+    got = nodes.where(F.col("type").isin(*kinds))
+    return got.where(F.col("geom.kind") == shape) if shape and "geom" in nodes.columns else got
 
 
 def knn(nodes: DataFrame, k=5) -> DataFrame:
@@ -27,6 +31,33 @@ def knn(nodes: DataFrame, k=5) -> DataFrame:
     return pairs.withColumn("rk", rk).where(F.col("rk") <= max(8, k + 3) - 1)
 
 
+def knn_grid(nodes: DataFrame, k=5, per_cell=4) -> DataFrame:
+    """`knn` for large maps: points ask the ring of cells around their own, and a wider one
+    only where the farthest neighbour found lies beyond what the ring is sure to hold."""
+    want = max(8, k + 3) - 1
+    box = nodes.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"), F.count("*").alias("n"))
+    cell = F.greatest(F.col("side") / F.greatest(F.floor(F.sqrt(F.col("n") / per_cell)), F.lit(1)), F.lit(1e-9))
+    pts = nodes.select("sample_id", "node_id", "x", "y").join(box, "sample_id").withColumn("cell", cell)
+    pts = pts.withColumns({"gx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")), "gy": F.floor((F.col("y") - F.col("y0")) / F.col("cell"))})
+    pts = written(pts, "points")
+    b = pts.select("sample_id", "gx", "gy", F.col("node_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    rest, ring, found = pts.withColumnRenamed("node_id", "i").where("n > 1"), 1, []
+    while ring == 1 or not rest.isEmpty():
+        steps = F.sequence(F.lit(-ring), F.lit(ring))
+        asked = rest.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
+        d = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
+        near = asked.join(b, ["sample_id", "gx", "gy"]).where("i <> j").select("sample_id", "i", "j", d.alias("d"))
+        near = near.withColumn("rk", F.row_number().over(Window.partitionBy("sample_id", "i").orderBy("d", "j"))).where(F.col("rk") <= want)
+        last = near.groupBy("sample_id", "i").agg(F.max("d").alias("far"), F.count("*").alias("got"))
+        inner = [F.col("x") - F.col("x0") - (F.col("gx") - ring) * F.col("cell"), F.col("y") - F.col("y0") - (F.col("gy") - ring) * F.col("cell")]
+        sure = F.least(*inner, *[(2 * ring + 1) * F.col("cell") - v for v in inner])
+        state = rest.join(last, ["sample_id", "i"], "left").withColumn("done", F.coalesce((F.col("got") == F.col("n") - 1) | ((F.col("got") == want) & (F.col("far") < sure)), F.lit(False)))
+        state = written(state, "state")
+        found.append(near.join(state.where("done").select("sample_id", "i"), ["sample_id", "i"], "left_semi"))
+        rest, ring = state.where("NOT done").select(*rest.columns), 2 * ring + 1
+    return reduce(DataFrame.unionAll, found)
+
+
 def _ranked(near: DataFrame) -> DataFrame:
     """Neighbours from the second on; all where a sample has two nodes."""
     most = F.max("rk").over(Window.partitionBy("sample_id"))
@@ -112,18 +143,3 @@ def edge_attributes_ssg(nodes: DataFrame, ssg: DataFrame, sectors=8, tag="SSG")
     one = ssg.select("sample_id", F.col("i").alias("src"), F.col("j").alias("dst"))
     both = one.unionAll(one.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
     return edge_attributes(nodes, both, sectors).withColumn("tag", F.lit(tag))
-
-
-def rotate(nodes: DataFrame, theta) -> DataFrame:
-    c, s = F.cos(theta), F.sin(theta)
-    return nodes.withColumns({"x": F.col("x") * c - F.col("y") * s, "y": F.col("x") * s + F.col("y") * c})
-
-
-def jitter(nodes: DataFrame, sigma=0.02, seed=42) -> DataFrame:
-    """Normal noise from a hash of (seed, sample, node): the same for any partitioning."""
-    def uniform(k):
-        return (F.pmod(F.xxhash64(F.lit(seed), "sample_id", "node_id", F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-    r = F.sqrt(-2 * F.log(uniform(1))) * sigma
-    t = 2 * math.pi * uniform(2)
-    return nodes.withColumns({"x": F.col("x") + r * F.cos(t), "y": F.col("y") + r * F.sin(t)})

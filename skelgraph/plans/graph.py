@@ -2,20 +2,32 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import line_direction, representative_point
 from ..functions.scalars import edge_type_onehot, type_onehot
+from ..functions.shapes import shape_descriptors
 from ..operators import relations as R
 from ..operators import skeleton as S
 from ..operators import topology as T
+from ..store import written
 
 
-def node_features(sig: DataFrame, nodes: DataFrame, rel_deg=None, w_rel=0.2, w_type=0.2) -> DataFrame:
-    """signature ++ relation degree (if given) ++ type one-hot, weighted."""
-    got = sig.join(nodes.select("sample_id", "node_id", "type"), ["sample_id", "node_id"])
+def nodes_of(features: DataFrame) -> DataFrame:
+    """Features with a point: node_id, x, y and dir added; empty geometry is dropped."""
+    at = features.where(F.size(F.flatten("geom.parts")) > 0).withColumn("at", representative_point(F.col("geom")))
+    return S.assign_node_ids(at.withColumns({"x": F.col("at.x"), "y": F.col("at.y"), "dir": line_direction(F.col("geom"))}).drop("at"))
+
+
+def node_features(sig: DataFrame, nodes: DataFrame, rel_deg=None, w_rel=0.2, w_type=0.2, w_shape=0.3) -> DataFrame:
+    """signature ++ relation degree (if given) ++ type one-hot ++ shape descriptors (of nodes with geometry), weighted."""
+    shape = [shape_descriptors(F.col("type"), F.col("geom")).alias("shape")] if "geom" in nodes.columns else []
+    got = sig.join(nodes.select("sample_id", "node_id", "type", *shape), ["sample_id", "node_id"])
     parts = [F.col("sig")]
     if rel_deg is not None:
         got = got.join(rel_deg, ["sample_id", "node_id"])
         parts.append(F.transform("rel_deg", lambda v: v * w_rel))
     parts.append(F.transform(type_onehot(F.col("type")), lambda v: v * w_type))
+    if shape:
+        parts.append(F.transform("shape", lambda v: v * w_shape))
     return got.select("sample_id", "node_id", F.concat(*parts).alias("x"))
 
 
@@ -32,12 +44,19 @@ def all_edges(nodes_n: DataFrame, ssg: DataFrame, topo: DataFrame, mapped: DataF
     return every.withColumn("attr", attr).drop("slot")
 
 
-def graph_build(nodes: DataFrame, relations: DataFrame, sectors=8, k=5, topo_tol=0.5, mode="soft"):
-    """(nodes_n, edges, node_features, mapped, unresolved) of every sample."""
-    near = S.knn(nodes, k)
-    nodes_n = S.normalize_coords(nodes, near)
-    ssg = S.ssg_edges(nodes, sectors, k, near=near)
+def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5, use_relations=True, topo_tol=0.5, mode="soft", large=False):
+    """(nodes_n, edges, node_features, mapped, unresolved) of every sample, from features with geometry.
+
+    Nodes, neighbours and the skeleton are written once and read by all that follows; `large` is for maps of many thousand nodes.
+    """
+    nodes = written(nodes_of(features), "nodes")
+    near = written(S.knn_grid(nodes, k) if large else S.knn(nodes, k), "neighbours")
+    nodes_n = written(S.normalize_coords(nodes, near), "normalized")
+    ssg = written(S.ssg_edges(nodes, sectors, k, near=near), "skeleton")
+    if relations is None:
+        relations = features.sparkSession.createDataFrame([], "src_name string, dst_name string, rel_type string").join(features.select("sample_id").limit(0))
     mapped, unresolved = R.resolve_relations(relations, nodes)
-    topo = (T.soft_topology_edges if mode == "soft" else T.hard_topology_edges)(nodes_n, topo_tol)
-    x = node_features(S.angular_signature(nodes_n, ssg, sectors, near=near), nodes, R.relation_degree(mapped, nodes))
-    return nodes_n, all_edges(nodes_n, ssg, topo, mapped, sectors), x, mapped, unresolved
+    topo = (T.soft_topology_edges if mode == "soft" else T.hard_topology_edges)(nodes_n, topo_tol, method="cells" if large else "join")
+    degree = R.relation_degree(mapped, nodes) if use_relations else None
+    x = node_features(S.angular_signature(nodes_n, ssg, sectors, near=near), nodes, degree)
+    return nodes_n, all_edges(nodes_n, ssg, topo, mapped if use_relations else mapped.limit(0), sectors), x, mapped, unresolved

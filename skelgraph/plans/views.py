@@ -3,6 +3,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..store import written
+from . import graph
 
 BASE = """SELECT user_id AS sample_id, event_id, ts,
   CASE event_type WHEN 'click' THEN 'Landmark' WHEN 'error' THEN 'Node' WHEN 'view' THEN 'Path' WHEN 'signup' THEN 'Edge' ELSE 'District' END AS type,
@@ -26,12 +28,16 @@ def base(spark, sf_dir) -> DataFrame:
     return spark.sql(BASE.replace("<json>", "get_json_object").replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def nodes(spark, sf_dir) -> DataFrame:
-    got = spark.sql(NODES.replace("FROM base", "FROM {base}"), base=base(spark, sf_dir))
+def features(spark, sf_dir) -> DataFrame:
+    """Features with plain geometry: points, lines of two ends, rectangles."""
     ax, ay, w, h = (F.col(c) for c in ("ax", "ay", "w", "h"))
     geom = (F.when(F.col("layer") == 0, G.geometry("Point", [G.point(ax, ay)])).when(F.col("layer") == 1, G.geometry("LineString", [G.point(ax, ay), G.point(ax + w, ay + h)]))
             .otherwise(G.geometry("Polygon", [G.point(ax, ay), G.point(ax + w, ay), G.point(ax + w, ay + h), G.point(ax, ay + h), G.point(ax, ay)])))
-    return got.withColumn("geom", geom)
+    return base(spark, sf_dir).withColumns({"geom": geom, "feature_seq": F.col("event_id")})
+
+
+def nodes(spark, sf_dir) -> DataFrame:
+    return written(graph.nodes_of(features(spark, sf_dir)), "nodes")
 
 
 def bent(spark, sf_dir) -> DataFrame:

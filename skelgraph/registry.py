@@ -3,13 +3,18 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import scalars as C
+from .functions import shapes as H
+from .operators import augment as A
 from .operators import compare as M
 from .operators import losses as L
 from .operators import relations as R
 from .operators import report as P
 from .operators import skeleton as S
 from .operators import topology as T
+from .constants import EDGE_TAGS
 from .plans import graph, views
+from .sources import readers
+from .store import fresh
 
 QUERIES, ORACLES = {}, {}
 _PI2 = "6.283185307179586"
@@ -60,6 +65,15 @@ CTES = {
           JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = e.j JOIN zero z0 ON z0.sample_id = e.sample_id AND z0.i = e.i), (VALUES (0, 0.75e0), (1, 1e0), (2, 1.5e0)) v(r, rad)
         WHERE d >= 1e-8 GROUP BY ALL)""",
 }
+_SECTOR = f"least(CAST(floor(fmod(fmod(t, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT), 7)"
+CTES["edges"] = f"""SELECT *, cos(t) AS cos_t, sin(t) AS sin_t, {_SECTOR} AS sector FROM (
+    SELECT e.*, sqrt((b.xn-a.xn)*(b.xn-a.xn)+(b.yn-a.yn)*(b.yn-a.yn)) + 1e-6 AS d, atan2(b.yn-a.yn, b.xn-a.xn) - coalesce(a.dir, 0) AS t FROM (
+      SELECT sample_id, i AS src, j AS dst, 'SSG' AS tag, 1e0 AS w, 1e0 AS part FROM ssg UNION ALL SELECT sample_id, j, i, 'SSG', 1e0, 1e0 FROM ssg
+      UNION ALL SELECT sample_id, src, dst, tag, w, 7e-1 FROM soft UNION ALL SELECT sample_id, src, dst, 'REL_' || rel_type, 1e0, 5e-1 FROM resolved WHERE ok) e
+    JOIN nn a ON a.sample_id = e.sample_id AND a.node_id = src JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = dst)"""
+CTES["reldeg"] = "SELECT sample_id, node_id, [{}] AS rel_deg FROM nodes LEFT JOIN (SELECT sample_id, src AS node_id, rel_type FROM resolved WHERE ok UNION ALL SELECT sample_id, dst, rel_type FROM resolved WHERE ok) USING (sample_id, node_id) GROUP BY ALL".format(
+    ", ".join(f"count(*) FILTER (rel_type = '{r}') / (count(rel_type) + 1e-6)" for r in ("Gaze", "Connection", "Navigation", "Fusion", "Abruptness", "Penetration")))
+CTES["vector"] = """SELECT sample_id, node_id, list(coalesce(v, 0) ORDER BY slot) AS sig FROM (SELECT sample_id, node_id, CAST(unnest(range(24)) AS INT) AS slot FROM nodes) LEFT JOIN sig USING (sample_id, node_id, slot) GROUP BY ALL"""
 _NAMES = list(CTES)
 
 
@@ -78,6 +92,10 @@ def _rounded(df, *cols, digits=6):
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
+def _round_each(col, digits):
+    return F.transform(col, lambda v: F.round(v, digits) + 0.0)
+
+
 def _real(nodes):
     first = nodes.agg(F.min("sample_id").alias("_m"))
     return nodes.join(F.broadcast(first), nodes["sample_id"] == F.col("_m")).drop("_m")
@@ -169,20 +187,32 @@ def _(spark, d):
     return S.ssg_edges(views.nodes(spark, d))
 
 
-@register("angular_signature", "SELECT sample_id, node_id, slot, round(v, 6) AS v FROM sig WHERE v > 1e-5", "sig")
+@register("angular_signature", "SELECT sample_id, node_id, list_transform(sig, lambda v: round(v, 6)) AS sig FROM vector", "vector")
 def _(spark, d):
     n = views.nodes(spark, d)
     near = S.knn(n)
     got = S.angular_signature(S.normalize_coords(n, near), S.ssg_edges(n, near=near), near=near)
-    return _rounded(got.select("sample_id", "node_id", F.posexplode("sig").alias("slot", "v")).where("v > 1e-5"), "v")
+    return got.withColumn("sig", _round_each("sig", 6))
+
+
+_ATTR = "list_transform([d * w, cos_t * w, sin_t * w] || list_transform(range(8), lambda k: CASE WHEN k = sector THEN w ELSE 0e0 END) || list_transform({}, lambda k: CASE WHEN k = tag THEN part * w ELSE 0e0 END), lambda v: round(v, 5) + 0e0)".format(EDGE_TAGS)
 
 
-@register("edge_attributes_ssg", f"""SELECT e.sample_id, e.i AS src, e.j AS dst, round(sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) + 1e-6, 6) AS d,
-    round(cos(atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0)), 6) AS cos_t, round(sin(atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0)), 6) AS sin_t
-    FROM (SELECT sample_id, i, j FROM ssg UNION ALL SELECT sample_id, j, i FROM ssg) e JOIN nodes a ON a.sample_id = e.sample_id AND a.node_id = e.i JOIN nodes b ON b.sample_id = e.sample_id AND b.node_id = e.j""", "ssg")
+@register("edge_attributes_ssg", f"SELECT sample_id, src, dst, tag, {_ATTR} AS attr FROM edges WHERE tag = 'SSG'", "edges")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return _rounded(S.edge_attributes_ssg(n, S.ssg_edges(n)), "d", "cos_t", "sin_t").select("sample_id", "src", "dst", "d", "cos_t", "sin_t")
+    edges = _graph(spark, d)[1].where("tag = 'SSG'")
+    return edges.select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
+
+
+@register("edge_attributes_relation", f"SELECT sample_id, src, dst, tag, {_ATTR} AS attr FROM edges WHERE starts_with(tag, 'REL_')", "edges")
+def _(spark, d):
+    return _graph(spark, d)[1].where("tag LIKE 'REL%'").select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
+
+
+@register("edge_attributes_topology", f"SELECT sample_id, src, dst, tag, round(w, 5) AS w, {_ATTR} AS attr FROM edges WHERE starts_with(tag, 'TOPO_')", "edges")
+def _(spark, d):
+    got = _graph(spark, d)[1].where("tag LIKE 'TOPO%'")
+    return got.select("sample_id", "src", "dst", "tag", F.round("w", 5).alias("w"), _round_each("attr", 5).alias("attr"))
 
 
 @register("resolve_relations", "SELECT sample_id, src, dst, rel_type FROM resolved WHERE ok", "resolved")
@@ -195,12 +225,10 @@ def _(spark, d):
     return R.resolve_relations(views.relations(spark, d), views.nodes(spark, d))[1]
 
 
-@register("relation_degree", """SELECT sample_id, node_id, round(coalesce(count(*) FILTER (rel_type = 'Gaze'), 0) / (count(rel_type) + 1e-6), 6) AS gaze, round(count(*) FILTER (rel_type = 'Penetration') / (count(rel_type) + 1e-6), 6) AS penetration
-    FROM nodes LEFT JOIN (SELECT sample_id, src AS node_id, rel_type FROM resolved WHERE ok UNION ALL SELECT sample_id, dst, rel_type FROM resolved WHERE ok) USING (sample_id, node_id) GROUP BY sample_id, node_id""", "resolved")
+@register("relation_degree", "SELECT sample_id, node_id, list_transform(rel_deg, lambda v: round(v, 6)) AS rel_deg FROM reldeg", "reldeg")
 def _(spark, d):
     n = views.nodes(spark, d)
-    got = R.relation_degree(R.resolve_relations(views.relations(spark, d), n)[0], n)
-    return _rounded(got.select("sample_id", "node_id", F.col("rel_deg")[0].alias("gaze"), F.col("rel_deg")[5].alias("penetration")), "gaze", "penetration")
+    return R.relation_degree(R.resolve_relations(views.relations(spark, d), n)[0], n).withColumn("rel_deg", _round_each("rel_deg", 6))
 
 
 @register("match_by_name", "SELECT * FROM matches", "matches")
@@ -240,16 +268,98 @@ def _(spark, d):
     return T.hard_topology_edges(S.normalize_coords(n, S.knn(n)))
 
 
-@register("graph_build", """SELECT sample_id, tag, count(*) AS n FROM (SELECT sample_id, 'SSG' AS tag FROM ssg UNION ALL SELECT sample_id, 'SSG' FROM ssg
-    UNION ALL SELECT sample_id, tag FROM soft UNION ALL SELECT sample_id, 'REL_' || rel_type FROM resolved WHERE ok) GROUP BY ALL""", "soft")
+def _graph(spark, d):
+    return graph.graph_build(views.features(spark, d), views.relations(spark, d))
+
+
+@register("graph_build", f"SELECT sample_id, src, dst, tag, round(w, 5) AS w, round(d, 5) AS d, round(cos_t, 5) + 0e0 AS cos_t, round(sin_t, 5) + 0e0 AS sin_t, sector, {_ATTR} AS attr FROM edges", "edges")
 def _(spark, d):
-    edges = graph.graph_build(views.nodes(spark, d), views.relations(spark, d))[1]
-    return edges.where(F.size("attr") == 22).groupBy("sample_id", "tag").agg(F.count("*").alias("n"))
+    got = _graph(spark, d)[1]
+    got = got.select("sample_id", "src", "dst", "tag", "w", "d", "cos_t", "sin_t", "sector", _round_each("attr", 5).alias("attr"))
+    return got.withColumns({c: F.round(c, 5) + 0.0 for c in ("w", "d", "cos_t", "sin_t")})
 
 
-@register("node_features")
+@register("node_features", """SELECT sample_id, node_id, list_transform(sig || list_transform(rel_deg, lambda v: 2e-1 * v) || list_transform(['Landmark', 'Node', 'Path', 'Edge', 'District'], lambda t: CASE WHEN t = type THEN 2e-1 ELSE 0e0 END)
+    || list_transform(CASE layer WHEN 0 THEN [0e0, 0e0, 0e0, 0e0] WHEN 1 THEN [1e0, 0e0, 0e0, 0e0] ELSE [4 * pi() * w * h / pow(2 * (w + h), 2), 1e0, 1e0, pi() / 2 / (pi() + 1e-6)] END, lambda v: 3e-1 * v), lambda v: round(v, 5) + 0e0) AS x
+    FROM nodes JOIN vector USING (sample_id, node_id) JOIN reldeg USING (sample_id, node_id)""", "vector")
 def _(spark, d):
-    return graph.graph_build(views.nodes(spark, d), views.relations(spark, d))[2]
+    return _graph(spark, d)[2].withColumn("x", _round_each("x", 5))
+
+
+@register("hyper_edges")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return T.hyper_edges(S.normalize_coords(n, S.knn(n)))
+
+
+@register("knn_grid", "SELECT sample_id, i, j, rk, round(d, 6) AS d FROM knn", "knn")
+def _(spark, d):
+    return _rounded(S.knn_grid(views.nodes(spark, d)), "d")
+
+
+@register("soft_topology_cells", "SELECT sample_id, src, dst, tag, round(w, 6) AS w FROM soft", "soft")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    return _rounded(T.soft_topology_edges(S.normalize_coords(n, S.knn(n)), method="cells"), "w")
+
+
+_BENT = """SELECT event_id, list_transform(CASE WHEN layer = 1 THEN [sqrt(w*w+h*h)/(w+h), 1 - sqrt(w*w+h*h)/(w+h), 0e0, 0e0]
+    ELSE [4 * pi() * 75e-2 * w * h / pow(2 * (w + h), 2), 75e-2, 6e0 / 7, 5e0 * pi() / 6 / (5e0 * pi() / 2 + 1e-6)] END, lambda v: round(v, 5) + 0e0) AS shape FROM base WHERE layer > 0"""
+
+
+@register("shape_descriptors", _BENT, "base")
+def _(spark, d):
+    return views.bent(spark, d).select("event_id", _round_each(H.shape_descriptors(F.col("type"), F.col("geom")), 5).alias("shape"))
+
+
+@register("coords_descriptors", _BENT, "base")
+def _(spark, d):
+    ring = F.col("geom.parts")[0]
+    lines = F.concat(H.coords_line_descriptors(ring), F.array(F.lit(0.0), F.lit(0.0)))
+    return views.bent(spark, d).select("event_id", _round_each(F.when(F.col("layer") == 1, lines).otherwise(H.coords_polygon_descriptors(ring)), 5).alias("shape"))
+
+
+@register("polygon_hulls", "SELECT event_id, 75e-2 AS rectangularity, round(6e0 / 7, 6) AS convexity, round(5e0 * pi() / 6 / (5e0 * pi() / 2 + 1e-6), 6) AS turning FROM base WHERE layer = 2", "base")
+def _(spark, d):
+    g = F.col("geom")
+    got = views.bent(spark, d).where("layer = 2").select("event_id", H.polygon_rectangularity(g).alias("rectangularity"), H.polygon_convexity(g).alias("convexity"), H.turning_function_fd(g).alias("turning"))
+    return _rounded(got, "rectangularity", "convexity", "turning")
+
+
+@register("line_polygon_relation", """SELECT l.sample_id, l.node_id AS line, p.node_id AS poly, round(CASE WHEN ox + oy = 0 THEN 0e0 ELSE sqrt(ox*ox + oy*oy) END, 6) AS centroid_distance, ox + oy = 0 AS contains_centroid
+    FROM (SELECT l.sample_id, l.node_id, p.node_id AS poly, greatest(p.ax - l.x, l.x - p.ax - p.w, 0) AS ox, greatest(p.ay - l.y, l.y - p.ay - p.h, 0) AS oy FROM nodes l JOIN nodes p ON l.sample_id = p.sample_id AND l.layer = 1 AND p.layer = 2) l, LATERAL (SELECT l.poly AS node_id) p""", "nodes")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    lines = n.where("layer = 1").select("sample_id", F.col("node_id").alias("line"), F.col("geom").alias("l"))
+    polys = n.where("layer = 2").select("sample_id", F.col("node_id").alias("poly"), F.col("geom").alias("p"))
+    both = lines.join(polys, "sample_id").withColumns({"r": H.line_polygon_relation(F.col("l"), F.col("p")), "c": H.line_centroid(F.col("l"))})
+    gap = F.round(G.point_polygon_distance(F.col("c.x"), F.col("c.y"), F.col("p")), 6)
+    return both.select("sample_id", "line", "poly", gap.alias("centroid_distance"), F.col("r.contains_centroid"))
+
+
+@register("relative_sector", f"""SELECT sample_id, i, j, round(cos(t), 5) + 0e0 AS cos_t, round(sin(t), 5) + 0e0 AS sin_t, {_SECTOR} % 8 AS wrap, {_SECTOR} AS clip FROM (
+    SELECT k.sample_id, i, j, atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0) AS t FROM knn k JOIN nodes a ON a.sample_id = k.sample_id AND a.node_id = i JOIN nodes b ON b.sample_id = k.sample_id AND b.node_id = j)""", "knn")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    ends = S._ends(S.knn(n), n)
+    zero = F.coalesce("dir_i", F.lit(0.0))
+    a, b = (C.relative_sector(F.col("dx"), F.col("dy"), zero, edge=e) for e in ("wrap", "clip"))
+    return ends.select("sample_id", "i", "j", (F.round(a["cos"], 5) + 0.0).alias("cos_t"), (F.round(a["sin"], 5) + 0.0).alias("sin_t"), a["sector"].alias("wrap"), b["sector"].alias("clip"))
+
+
+@register("jitter")
+def _(spark, d):
+    return A.jitter(views.nodes(spark, d)).select("sample_id", "node_id", "x", "y")
+
+
+@register("elastic_deform")
+def _(spark, d):
+    return A.elastic_deform(views.nodes(spark, d)).select("sample_id", "node_id", "x", "y")
+
+
+@register("contrastive_views")
+def _(spark, d):
+    return A.contrastive_views(views.nodes(spark, d)).select("sample_id", "view", "node_id", "x", "y")
 
 
 @register("mean_pool", "SELECT label AS sample_id, p, round(avg(v), 6) AS v FROM (SELECT label, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
@@ -291,10 +401,104 @@ def _(spark, d):
     return _rounded(got.select("sample_id", "node_id", "x", "y"), "x", "y")
 
 
-@register("write_records", "SELECT sample_id, count(*) AS n, string_agg(name, '|' ORDER BY node_id) AS names, count(dir) AS n_dir FROM nodes GROUP BY sample_id", "nodes")
+@register("write_records", "SELECT sample_id, list(name ORDER BY node_id) AS name, list(type ORDER BY node_id) AS type, list(round(x, 5) ORDER BY node_id) AS x, list(round(y, 5) ORDER BY node_id) AS y, list(round(dir, 5) ORDER BY node_id) AS dir, 8 AS sectors, true AS use_relations FROM nodes GROUP BY sample_id", "nodes")
 def _(spark, d):
     got = P.records(views.nodes(spark, d))
-    return got.select("sample_id", F.size("nodes.name").cast("long").alias("n"), F.concat_ws("|", "nodes.name").alias("names"), F.size(F.filter("nodes.dir", lambda x: x.isNotNull())).cast("long").alias("n_dir"))
+    return got.select("sample_id", *[(_round_each(f"nodes.{c}", 5) if c in ("x", "y", "dir") else F.col(f"nodes.{c}")).alias(c) for c in ("name", "type", "x", "y", "dir")], "sectors", "use_relations")
+
+
+def _wkt(geom):
+    ring = F.array_join(F.transform(geom["parts"][0], lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ")
+    return F.when(geom["kind"] == "Polygon", F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).otherwise(F.concat(F.upper(geom["kind"]), F.lit(" ("), ring, F.lit(")")))
+
+
+def _map_files(spark, d):
+    """A folder of samples, with a file of each layer in each, as text."""
+    root = fresh(spark, "maps")
+    got = views.features(spark, d).select(F.concat(F.lit("Sample"), F.col("sample_id").cast("string")).alias("s"), F.col("layer").alias("l"), "event_id", F.col("name").alias("NAME"), F.col("type").alias("Type"), _wkt(F.col("geom")).alias("geometry"))
+    got.repartition("s").sortWithinPartitions("s", "l", "event_id").drop("event_id").write.partitionBy("s", "l").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    return root
+
+
+@register("discover_samples", "SELECT 's=Sample' || sample_id AS sample_id FROM (SELECT DISTINCT sample_id FROM base) ORDER BY 1", "base")
+def _(spark, d):
+    return readers.discover_samples(spark, _map_files(spark, d)).select("sample_id")
+
+
+@register("read_features", "SELECT 's=Sample' || sample_id AS sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY layer, event_id) - 1 AS INT) AS feature_seq, layer, trim(name) AS name, type, round(x, 5) AS x, round(y, 5) AS y FROM nodes", "nodes")
+def _(spark, d):
+    got = readers.read_features(spark, _map_files(spark, d), "csv").withColumn("p", G.representative_point(F.col("geom")))
+    return got.select("sample_id", "feature_seq", "layer", F.trim("name").alias("name"), "type", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+@register("read_realmap", "SELECT 'RealMap' AS sample_id, layer, type, count(*) AS n, count(*) AS places FROM base GROUP BY ALL", "base")
+def _(spark, d):
+    one = views.features(spark, d).select("layer", "name", "type", F.col("geom").alias("geometry"))
+    root = fresh(spark, "realmap")
+    one.repartition("layer").write.partitionBy("layer").parquet(root)
+    got = readers.read_realmap(spark, root)
+    return got.groupBy("sample_id", "layer", "type").agg(F.count("*").alias("n"), F.countDistinct("feature_seq").alias("places"))
+
+
+@register("read_relations", "SELECT 's=sample' || sample_id AS sample_id, trim(src_name) AS src_name, trim(dst_name) AS dst_name, rel_type FROM relations", "relations")
+def _(spark, d):
+    root = fresh(spark, "relations")
+    rows = views.relations(spark, d).select("sample_id", F.format_string("%s,%s,%s", "src_name", "dst_name", "rel_type").alias("line"))
+    text = rows.groupBy("sample_id").agg(F.array_join(F.collect_list("line"), "\n").alias("t")).select(F.concat(F.lit("sample"), F.col("sample_id").cast("string")).alias("s"), F.concat(F.lit("SRC_NAME,Dst_name,rel_type\n"), "t").alias("t"))
+    text.repartition("s").write.partitionBy("s").text(root)
+    _named(spark, root, ".txt", "relations.csv")
+    got = readers.read_relations(spark, root)
+    return got.select("sample_id", F.trim("src_name").alias("src_name"), F.trim("dst_name").alias("dst_name"), "rel_type")
+
+
+def _named(spark, root, ending, name):
+    """Give the one file that ends so in each folder below `root` a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(path):
+        if folder.isDirectory():
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().endswith(ending):
+                    fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder.getPath(), name))
+
+
+@register("read_records", "SELECT CAST(sample_id AS VARCHAR) AS sample, node_id, name, type, round(x, 5) AS x, round(y, 5) AS y, round(dir, 5) AS dir, 8 AS sectors FROM nodes", "nodes")
+def _(spark, d):
+    root = fresh(spark, "records")
+    n = views.nodes(spark, d)
+    P.write_records(n.withColumn("group_id", F.when(F.col("sample_id") % 2 == 0, "A").otherwise("B")), root)
+    # one JSON object a line here, so lines are read one by one
+    got = readers.read_records(spark, root, multi_line=False)
+    return _rounded(got.select("sample", "node_id", "name", "type", "x", "y", "dir", "sectors"), "x", "y", "dir", digits=5)
+
+
+_PAIRS = "SELECT a.user_id AS a, a.user_id + 1 AS b, (a.user_id * 37 % 101) / 1e2 AS label FROM (SELECT DISTINCT user_id FROM events) a JOIN (SELECT DISTINCT user_id FROM events) b ON b.user_id = a.user_id + 1"
+
+
+def _pair_rows(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("a")).distinct()
+    return users.join(users.select((F.col("a") - 1).alias("a")), "a").select("a", (F.col("a") + 1).alias("b"), (F.col("a") * 37 % 101 / 100.0).alias("label"))
+
+
+@register("read_pairs", f"SELECT CAST(a AS VARCHAR) AS sample_a, CAST(b AS VARCHAR) AS sample_b, label, 1e0 AS weight FROM ({_PAIRS})")
+def _(spark, d):
+    root = fresh(spark, "pairs")
+    _pair_rows(spark, d).toDF(" Sample_A", "SAMPLE_B ", "Label").write.option("header", True).csv(root)
+    return readers.read_pairs(spark, root)
+
+
+@register("concat_layers", "SELECT sample_id, event_id, CASE WHEN layer = 1 THEN w END AS w, CASE WHEN layer = 2 THEN h END AS h FROM base WHERE layer > 0", "base")
+def _(spark, d):
+    b = views.base(spark, d)
+    return readers.concat_layers([b.where("layer = 1").select("sample_id", "event_id", "w"), b.where("layer = 2").select("sample_id", "event_id", "h")])
+
+
+@register("write_reports", "SELECT sample_id, round(scale, 5) AS scale FROM (SELECT DISTINCT sample_id, scale FROM nn)", "nn")
+def _(spark, d):
+    n = views.nodes(spark, d)
+    report, root = S.normalize_coords(n, S.knn(n)).select("sample_id", "scale").distinct(), fresh(spark, "report")
+    P.write_reports(report, root, "csv")
+    return spark.read.option("header", True).schema("sample_id BIGINT, scale DOUBLE").csv(root).withColumn("scale", F.round("scale", 5))
 
 
 def _sims(spark, d):
@@ -302,10 +506,32 @@ def _sims(spark, d):
     return M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True)
 
 
-@register("similarity_matrix", _POOL + """SELECT a, max(CASE WHEN b = 1 THEN sim END) AS "1", max(CASE WHEN b = 3 THEN sim END) AS "3" FROM (
+@register("similarity_matrix", _POOL + "SELECT a, " + ", ".join(f'max(CASE WHEN b = {k} THEN sim END) AS "{k}"' for k in range(1, 10, 2)) + """ FROM (
     SELECT a.s AS a, b.s AS b, round((list_cosine_similarity(a.vec, b.vec) + 1) / 2, 5) AS sim FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1) GROUP BY a""")
 def _(spark, d):
-    return P.similarity_matrix(_rounded(_sims(spark, d), "sim", digits=5), [1, 3])
+    return P.similarity_matrix(_rounded(_sims(spark, d), "sim", digits=5))
+
+
+@register("group_fidelity", _POOL + """SELECT 'even' AS group_a, 'odd' AS group_b, round(avg((list_cosine_similarity(a.vec, b.vec) + 1) / 2), 5) AS fidelity FROM pool a JOIN pool b ON b.s = a.s + 1 WHERE a.s % 2 = 0""")
+def _(spark, d):
+    pairs = _sims(spark, d).where("b = a + 1").withColumns({"group_a": F.lit("even"), "group_b": F.lit("odd")})
+    return _rounded(P.group_fidelity(pairs), "fidelity", digits=5)
+
+
+def _looked_up(spark, d):
+    pool = M.mean_pool(views.embeddings(spark, d))
+    pairs = pool.select(F.col("sample_id").alias("sample_a"), (F.col("sample_id") + 1).alias("sample_b"))
+    return M.pair_lookup(pairs, pool)
+
+
+@register("pair_lookup", _POOL + """SELECT a.s AS sample_a, a.s + 1 AS sample_b, list_transform(a.vec, lambda v: round(v, 5) + 0e0) AS ga, list_transform(b.vec, lambda v: round(v, 5) + 0e0) AS gb FROM pool a LEFT JOIN pool b ON b.s = a.s + 1""")
+def _(spark, d):
+    return _looked_up(spark, d).withColumns({c: _round_each(c, 5) for c in ("ga", "gb")})
+
+
+@register("pair_features", _POOL + """SELECT a.s AS sample_a, list_transform(a.vec || b.vec || list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2])) || list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2]), lambda v: round(v, 5) + 0e0) AS x FROM pool a JOIN pool b ON b.s = a.s + 1""")
+def _(spark, d):
+    return _looked_up(spark, d).where("gb IS NOT NULL").select("sample_a", _round_each(C.pair_features(F.col("ga"), F.col("gb")), 5).alias("x"))
 
 
 @register("topk_mismatches", _POOL + """, c AS (SELECT a.s AS i, b.s AS j, (list_cosine_similarity(a.vec, b.vec) + 1) / 2 AS w FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1)
