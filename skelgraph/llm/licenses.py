@@ -60,7 +60,8 @@ def frequencies(docs: DataFrame) -> dict:
 
 
 def scan(docs: DataFrame, top=TOP, share=SHARE) -> DataFrame:
-    """All columns of `docs`, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+    """All columns of `docs`, with n_words, n_base, first_word, last_word, base_labels, labels and score, which replace columns of these names."""
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     df = frequencies(docs)
     out = hits(docs)
     out = out.withColumns({f"_b{k}": _places(p) for k, (_, p) in enumerate(BASE)} | {"_p": F.array_distinct(F.col("_h.w"))})

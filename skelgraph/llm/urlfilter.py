@@ -39,7 +39,8 @@ def bloom(keys: DataFrame, n_keys: int):
 
 
 def judge(pages: DataFrame, rules: DataFrame, default="allow") -> DataFrame:
-    """All columns of `pages`, with host, path, rule and verdict. `rules`: (verdict, host, path)."""
+    """All columns of `pages`, with host, path, rule and verdict, which replace columns of these names. `rules`: (verdict, host, path)."""
+    pages = pages.drop(*{"host", "path", "rule", "verdict"} - {"url"})
     listed = rules.select(F.concat("host", "path").alias("rule"), F.concat_ws("\n", "host", "path").alias("key"), "verdict")
     shape = rules.agg(F.count("*"), F.collect_set(F.length("path"))).first()  # path lengths: as many as the longest path at most
     n, lengths = shape[0], sorted(shape[1])

@@ -399,6 +399,8 @@ def test_licenses(docs, odd, empty):
             assert r.base_labels == ",".join(sorted(k for k, x in at.items() if x)) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
             assert ("mit" in r.labels.split(",")) == ("Released under the MIT License" in (r.text or "")) and 0 <= r.score <= 1
     assert licenses.scan(empty).count() == 0
+    twice = licenses.scan(licenses.scan(odd))
+    assert len(twice.columns) == len(set(twice.columns)) == len(odd.columns) + 7
 
 
 def test_urls(spark):
@@ -408,5 +410,7 @@ def test_urls(spark):
     rows = [(r.host, r.path, r.rule, r.verdict) for r in got.orderBy("page_id").collect()]
     assert rows == [("example.org", "/es/x", "example.org/es/", "block"), ("a.example.org", "/en/12", "example.org/en/1", "block"), ("", "", None, "allow"), ("", "", None, "allow"),
                     ("example.com", "", None, "allow"), ("b.com", "/de/", "com/de/", "block"), ("org", "/", "org/", "allow"), ("b:", "//c.org/", None, "allow")]
+    again = urlfilter.judge(got, rules)
+    assert sorted(again.columns) == sorted(got.columns) and again.orderBy("page_id").select("host", "path", "rule", "verdict").collect() == got.orderBy("page_id").select("host", "path", "rule", "verdict").collect()
     assert urlfilter.judge(got.limit(0).select("page_id", "url"), rules).count() == 0
     assert urlfilter.judge(got.select("page_id", "url"), rules.limit(0)).where("rule IS NOT NULL").count() == 0
