@@ -1,13 +1,14 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
-
-At similarity 0.8 two SimHash fingerprints differ by about ten bits in the mean,
-where tiles no longer part anything. So candidates come from MinHash bands, and
-every link is verified by the exact similarity of the two shingle sets. In rounds the least
-document of every bucket is compared with the others; those that are near copies
-of it go. So a document goes only as the near copy of a lesser one, no two kept
-ones of one bucket are near copies, and a large group of copies takes no pairs
-of its members. Two texts of similarity 0.8 share no bucket in (1 - 0.8 ** ROWS)
-** BANDS = 0.05 % of cases, and fewer above. Texts without words are equal.
+"""Near copies: SimHash classes and MinHash bands as candidates, linked by the exact Jaccard similarity of five-word shingles.
+
+Candidates are the texts of one SimHash class (five-word shingles, radius 2) or of
+one of BANDS MinHash buckets: at similarity 0.8 two SimHash fingerprints differ by about ten
+bits in the mean, where tiles no longer part anything. Two texts of similarity 0.8 share no
+bucket in (1 - 0.8 ** ROWS) ** BANDS = 0.05 % of cases, and fewer above. All texts of a bucket are
+compared exactly, by products of their incidence matrices, in blocks of at most
+BLOCK texts. In a bucket of more than BLOCK texts the least one is compared with all first: what is
+linked to it need not be compared among itself any more. Buckets of the same texts are compared once.
+A group is what is connected by links; its row of the least doc_id stays (ties: the least text id).
+Texts without words are equal. Null text is an empty text.
 """
 import numpy as np
 import pandas as pd
@@ -15,11 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, text_id
 
 WIDTH = 5
 SHARE = 0.8
 ROWS, BANDS = 6, 25
+BLOCK = 256
 _CHUNK = 1 << 12
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -51,41 +54,112 @@ def jaccard(a, b):
     return both / (len(a) + len(b) - both)
 
 
-def distinct(docs: DataFrame, share=SHARE, width=WIDTH) -> DataFrame:
-    """Rows of `docs` with a doc_id that are near copies of no kept row with a lesser one; one row per text."""
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([bands(shingles(t, width)) for t in texts])
+def links(sets, share=SHARE):
+    """Positions (i, j) of a forest over the shingle sets that joins all of similarity `share` or more."""
+    if len(sets) == 2:
+        near = jaccard(*sets) >= share
+        return (np.array([1]), np.array([0])) if near else (np.array([], int), np.array([], int))
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, word, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = n[word] > 1
+    word, owner = np.unique(word[common], return_inverse=True)[1], owner[common]
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2 ** 24 are exact
+    for k in range(0, int(word[-1]) + 1 if len(word) else 0, _CHUNK):
+        a, z = np.searchsorted(word, (k, k + _CHUNK))
+        has = np.zeros((len(sets), _CHUNK), np.float32)
+        has[owner[a:z], word[a:z] - k] = 1
+        both += has @ has.T
+    every = size[:, None] + size[None, :] - both
+    return simhash._forest(*np.nonzero(np.triu(both >= share * every - 1e-6, 1)))
+
+
+def _candidates(sig: DataFrame, radius=2):
+    """(band, lead, n) and (band, tid) of the buckets of more than one text, one per set of texts."""
+    label = simhash.labels(sig.select(F.col("id").alias("doc_id"), "fp"), radius)
+    each = sig.select(F.explode("keys").alias("band"), "tid").unionAll(
+        sig.join(label, "fp").select(F.xxhash64(F.lit("class"), "component_id").alias("band"), "tid"))
+    each = materialize(each, "each")
+    sets = each.groupBy("band").agg(F.count("*").alias("n"), F.min("tid").alias("lead"), F.bit_xor(F.xxhash64("tid")).alias("x"))
+    buckets = materialize(sets.where("n > 1").groupBy("lead", "n", "x").agg(F.min("band").alias("band")).select("band", "lead", "n"), "buckets")
+    return buckets, each.join(buckets, "band")
+
+
+def _compared(places: DataFrame, texts: DataFrame, share, width) -> DataFrame:
+    """Links (a, b) inside each cell of `places` (cell struct, tid)."""
+    def compare(batches):
+        cell, tids, sets = None, [], []
+
+        def found():
+            i, j = links(sets, share) if len(sets) > 1 else ([], [])
+            return pd.DataFrame({"a": [tids[k] for k in i], "b": [tids[k] for k in j]})
+
+        for pdf in batches:
+            for key, tid, text in zip(zip(pdf["band"], pdf["p"], pdf["q"]), pdf["tid"], pdf["text"]):
+                if key != cell:
+                    if len(sets) > 1:
+                        yield found()
+                    cell, tids, sets = key, [], []
+                tids.append(tid)
+                sets.append(shingles(text, width))
+        if len(sets) > 1:
+            yield found()
 
-    docs = docs.where("doc_id IS NOT NULL").withColumn("_tid", text_id())
-    sig = docs.select("_tid", "doc_id", keys(F.coalesce(F.col("text"), F.lit(""))).alias("keys"))
-    sig = materialize(sig.groupBy("_tid").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "signatures")
-    each = sig.select(F.explode("keys").alias("band"), F.struct("id", "_tid").alias("own"))
-    active = materialize(each.join(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi"), "buckets")
-    texts = docs.select("_tid", "text").join(active.select("own._tid").distinct(), "_tid", "left_semi")
-    texts = materialize(texts.dropDuplicates(["_tid"]), "candidates")
+    rows = places.join(texts, "tid").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return rows.select("band", "p", "q", "tid", "text").mapInPandas(compare, "a binary, b binary").distinct()
 
+
+def _near_leads(hot: DataFrame, texts: DataFrame, share, width) -> DataFrame:
+    """Links (a, b) from texts to the least texts of their buckets."""
     def verify(batches):
         last, lead = None, None
         for pdf in batches:
             out = []
-            for tid, text, other, lead_text in zip(pdf["_tid"], pdf["text"], pdf["lead"], pdf["lead_text"]):
+            for tid, text, other, lead_text in zip(pdf["tid"], pdf["text"], pdf["lead"], pdf["lead_text"]):
                 if other != last:
                     last, lead = other, shingles(lead_text, width)
                 if jaccard(shingles(text, width), lead) >= share:
-                    out.append(tid)
-            yield pd.DataFrame({"_tid": out})
-
-    gone = active.select("own._tid").limit(0)
-    while True:
-        lead = active.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-        met = materialize(active.join(lead, "band").where("own <> lead"), "met")  # the leaders are done in their buckets
-        if met.isEmpty():
-            break
-        pairs = met.select("own._tid", F.col("lead._tid").alias("lead")).distinct().join(texts, "_tid")
-        pairs = pairs.join(texts.withColumnsRenamed({"_tid": "lead", "text": "lead_text"}), "lead")
-        linked = materialize(pairs.select("_tid", "text", "lead", "lead_text").mapInPandas(verify, "_tid binary").distinct(), "linked")
-        gone = gone.unionByName(linked)
-        active = materialize(met.select("band", "own").join(linked.withColumn("own_tid", F.col("_tid")).select("own_tid"), F.col("own._tid") == F.col("own_tid"), "left_anti"), "buckets")
-    keep = sig.join(gone, "_tid", "left_anti").select("_tid", F.col("id").alias("doc_id"))
-    return docs.join(keep, ["_tid", "doc_id"], "left_semi").dropDuplicates(["_tid"]).drop("_tid")
+                    out.append((tid, other))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    pairs = hot.where("tid <> lead").select("tid", "lead").distinct().join(texts, "tid")
+    return pairs.join(texts.withColumnsRenamed({"tid": "lead", "text": "lead_text"}), "lead").select("tid", "text", "lead", "lead_text").mapInPandas(verify, "a binary, b binary")
+
+
+def _cells(members: DataFrame, group: DataFrame, block) -> DataFrame:
+    """(band, p, q, tid): every two texts of a bucket meet in a cell, unless both are in the group of its least one."""
+    roots = members.join(group.withColumnsRenamed({"node": "lead", "root": "lead_root"}), "lead", "left").join(group.withColumnRenamed("node", "tid"), "tid", "left")
+    roots = materialize(roots.select("band", "tid", F.coalesce(F.col("root") == F.col("lead_root"), F.lit(False)).alias("in")), "members")
+    many = roots.groupBy("band").agg(F.ceil(F.count_if(~F.col("in")) / (block // 2)).alias("rest"), F.ceil(F.count_if("in") / (block // 2)).alias("near"))
+    many = many.where("rest > 0")
+    own = F.pmod(F.xxhash64("tid"), F.when(F.col("in"), F.col("near")).otherwise(F.col("rest"))) + F.when(F.col("in"), F.col("rest")).otherwise(0)
+    at = roots.join(many, "band").withColumn("own", own)
+    # blocks 0 .. rest - 1 hold what is not in the group, those from rest on what is; cells are pairs of different blocks, the first one of the rest
+    other = F.when(F.col("rest") + F.col("near") == 1, F.array(F.lit(0).cast("long"))).when(
+        F.col("in"), F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("near") - 1))
+    cells = at.select("band", "tid", "own", (F.col("rest") + F.col("near")).alias("all"), F.explode(other).alias("other")).where("own <> other OR `all` = 1")
+    return cells.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "tid")
+
+
+def distinct(docs: DataFrame, share=SHARE, width=WIDTH, block=BLOCK) -> DataFrame:
+    """Of the rows of `docs` with a doc_id, one of every group of equal texts and near copies."""
+    @F.pandas_udf("struct<keys: array<long>, fp: long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        fps = np.array([simhash.fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+        return pd.DataFrame({"keys": [bands(shingles(t, width)) for t in texts], "fp": fps})
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), "doc_id", text_id().alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    sig = rows.select("tid", "doc_id", sketch("text").alias("s")).groupBy("tid").agg(F.min("doc_id").alias("id"), F.first("s").alias("s"))
+    sig = materialize(sig.select("tid", "id", "s.keys", "s.fp"), "signatures")
+    buckets, members = _candidates(sig)
+    members = materialize(members, "candidates")
+    texts = rows.select("tid", "text").join(members.select("tid").distinct(), "tid", "left_semi")
+    texts = materialize(texts.groupBy("tid").agg(F.first("text").alias("text")), "texts")
+    first = materialize(_near_leads(members.where(F.col("n") > block), texts, share, width), "near_leads")
+    cells = _cells(members, simhash.components(first), block)
+    rest = materialize(_compared(cells, texts, share, width), "links")
+    group = simhash.components(first.unionAll(rest)).withColumnRenamed("node", "tid")
+    keep = sig.join(group, "tid", "left").groupBy(F.coalesce("root", "tid")).agg(F.min(F.struct("id", "tid")).alias("k")).select(F.col("k.tid").alias("tid"), F.col("k.id").alias("doc_id"))
+    return rows.join(keep, ["tid", "doc_id"], "left_semi").dropDuplicates(["tid"]).select("row.*")

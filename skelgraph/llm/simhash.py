@@ -132,12 +132,16 @@ def components(edges: DataFrame) -> DataFrame:
     return out.join(names, "root").select("node", F.col("least").alias("root"))
 
 
-def classes(docs: DataFrame, radius=2, width=3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of `docs`."""
-    fps = materialize(fingerprints(docs, width), "fingerprints")
+def labels(fps: DataFrame, radius=2) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of `fps` (doc_id, fp)."""
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "representatives")
     comp = components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = reps.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = materialize(rooted.join(ids, "root").select("fp", "component_id"), "labels")  # then a hot fingerprint can be split
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return materialize(rooted.join(ids, "root").select("fp", "component_id"), "labels")  # then a hot fingerprint can be split
+
+
+def classes(docs: DataFrame, radius=2, width=3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `docs`."""
+    fps = materialize(fingerprints(docs, width), "fingerprints")
+    return fps.join(labels(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from skelgraph.llm import queries, suffix, wordbpe
+from skelgraph.llm import nearcopies, queries, suffix, wordbpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["the", "a", "of", "über", "house", "river", "stone", "we", "in", "small", "light", "to", "x"]
@@ -93,3 +93,34 @@ def test_near_copies_go_and_others_stay(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), None).collect()
     ids = sorted(r.doc_id for r in got if r.doc_id is not None)
     assert ids == [k[0] for k in kept] and 20 < len(ids) < 100 and len(got) == len(ids) + 1
+
+
+def test_groups_cut_in_blocks_equal_brute_force(spark):
+    """A star of near copies, a chain of small changes and strangers, in blocks of 8 texts."""
+    rnd = random.Random(5)
+    base = passage(rnd, 150)
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in rnd.sample(range(150), rnd.randrange(12)):
+            own[k] = f"y{rnd.randrange(10 ** 6)}"
+        texts.append(" ".join(own))
+    chain = passage(rnd, 150)
+    for _ in range(12):
+        chain[rnd.randrange(150)] = f"x{rnd.randrange(10 ** 6)}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(passage(rnd, 150)) for _ in range(5)] + ["", None, " \n", "two words", "two Words"]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = texts[i] or "", texts[j] or ""
+            if root[i] != root[j] and (brute_jaccard(a, b) >= 0.8 or not (a.split() or b.split())):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, tid int, row string")
+    want = sorted(set(root))
+    assert 10 < len(want) < 60
+    for block in (8, 256):
+        got = nearcopies.distinct(docs, block=block)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+    assert nearcopies.distinct(docs.limit(0)).count() == 0
