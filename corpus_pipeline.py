@@ -13,7 +13,7 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The documents that are near copies (five-word Jaccard 0.8 or more) of no kept one with a smaller doc_id; rows without doc_id stay."""
+    """Of each group of near copies (linked by five-word Jaccard 0.8 or more) the document of the smallest doc_id; rows without doc_id stay."""
     return nearcopies.distinct(docs).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
