@@ -1,4 +1,5 @@
 """DuckDB SQL for the operators that SQL can express."""
+from . import licenses
 
 OP4 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -19,4 +20,32 @@ m AS (SELECT page_id, host, path, h || q AS rule, v, row_number() OVER (PARTITIO
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-ORACLES = {"op4_decontam": OP4, "op10_urlfilter": OP10}
+def _values(rows):
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_TEMPLATE_WORDS = [(t, j, w) for t, (_, line, _) in enumerate(licenses.TEMPLATES) for j, w in enumerate(line.split())]
+_PHRASES = [(t, need) for t, (_, _, need) in enumerate(licenses.TEMPLATES)] + [(-1 - k, p) for k, (_, p) in enumerate(licenses.BASE)]
+_PHRASE_WORDS = [(t, j, w) for t, p in _PHRASES for j, w in enumerate(p.split())]
+
+# Every place of every template, by joins of words; no index and no order of words.
+OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+t(t, j, w) AS (VALUES {_values(_TEMPLATE_WORDS)}),
+q(t, j, w) AS (VALUES {_values(_PHRASE_WORDS)}),
+names(t, label) AS (VALUES {_values([(t, x) for t, (x, _, _) in enumerate(licenses.TEMPLATES)] + [(-1 - k, x) for k, (x, _) in enumerate(licenses.BASE)])}),
+tn AS (SELECT t, count(*) AS n FROM t GROUP BY t),
+qn AS (SELECT t, count(*) AS n FROM q GROUP BY t),
+phrase AS (SELECT doc_id, t, i - j AS pos, any_value(n) AS n FROM x JOIN q USING (w) JOIN qn USING (t) GROUP BY doc_id, t, i - j HAVING count(*) = any_value(n)),
+place AS (SELECT doc_id, t, i - j AS pos, any_value(n) AS n, count(*) AS k FROM x JOIN t USING (w) JOIN tn USING (t) GROUP BY doc_id, t, i - j HAVING count(*) >= {licenses.SHARE} * any_value(n) - 1e-9),
+own AS (SELECT DISTINCT place.doc_id, place.t, k / place.n::DOUBLE AS score FROM place JOIN phrase ON place.doc_id = phrase.doc_id AND place.t = phrase.t AND phrase.pos >= place.pos AND phrase.pos + phrase.n <= place.pos + place.n),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrase JOIN names USING (t) WHERE t < 0 GROUP BY doc_id),
+every AS (SELECT doc_id, t, score FROM own UNION ALL SELECT doc_id, t, 1.0::DOUBLE FROM phrase WHERE t < 0),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM every JOIN names USING (t) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""
+
+ORACLES = {"op4_decontam": OP4, "op9_licenses": OP9, "op10_urlfilter": OP10}

@@ -35,3 +35,26 @@ def test_files_with_several_licences(spark):
     for corpus in (every, every + [(100 + i, "mit apache licensed released version nc by cc under") for i in range(50)], every[:1]):
         got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
         assert [got[i] for i, _ in corpus if i < 100] == want[:len([0 for i, _ in corpus if i < 100])]
+
+
+def test_scan_equals_sql_and_spans_bind(spark):
+    """Every label in full, key phrases outside the span, spans cut by the text's ends, clashing columns; against DuckDB."""
+    import duckdb
+    import pandas as pd
+
+    from skelgraph.llm.oracles import ORACLES
+
+    full = [line for _, line, _ in licenses.TEMPLATES]
+    texts = TEXTS + full + [" ".join(full), None, "", "é über", "apache license " + FILLER + "licensed under the version 2 0", "license version 2 0", "under the apache license version"]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    with duckdb.connect() as db:
+        db.register("documents", rows)
+        want = {r[0]: r for r in db.execute(ORACLES["op9_licenses"]).fetchall()}
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, _w string, labels string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert {i: tuple(r[c] for c in ["doc_id"] + licenses.NAMES) for i, r in got.items()} == want
+    assert all(r["_w"] == "x" for r in got.values())
+    whole = got[len(TEXTS) + len(full)].labels.split(",")
+    assert {x for x, _, _ in licenses.TEMPLATES} <= set(whole)
+    assert got[len(texts) - 3].labels == "" and got[len(texts) - 1].labels == "apache-2.0"
+    assert licenses.scan(docs.limit(0)).count() == 0
