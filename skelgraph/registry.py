@@ -379,8 +379,7 @@ def _(spark, d):
 
 @register("sample_assignment")
 def _(spark, d):
-    pool = M.mean_pool(views.embeddings(spark, d))
-    sims = M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True)
+    sims = _sims(spark, d)
     return M.sample_assignment(sims.withColumns({"group_a": F.lit("A"), "group_b": F.lit("B")}))
 
 
@@ -514,8 +513,10 @@ def _(spark, d):
 
 @register("group_fidelity", _POOL + """SELECT 'even' AS group_a, 'odd' AS group_b, round(avg((list_cosine_similarity(a.vec, b.vec) + 1) / 2), 5) AS fidelity FROM pool a JOIN pool b ON b.s = a.s + 1 WHERE a.s % 2 = 0""")
 def _(spark, d):
-    pairs = _sims(spark, d).where("b = a + 1").withColumns({"group_a": F.lit("even"), "group_b": F.lit("odd")})
-    return _rounded(P.group_fidelity(pairs), "fidelity", digits=5)
+    pool = M.mean_pool(views.embeddings(spark, d))
+    pairs = pool.where("sample_id % 2 = 0").select(F.col("sample_id").alias("a"), (F.col("sample_id") + 1).alias("b"))
+    sims = M.cosine_pairs(pool, pool, rescale=True, pairs=pairs).withColumns({"group_a": F.lit("even"), "group_b": F.lit("odd")})
+    return _rounded(P.group_fidelity(sims), "fidelity", digits=5)
 
 
 def _looked_up(spark, d):
