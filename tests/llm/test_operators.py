@@ -46,6 +46,37 @@ def test_language_held_out_accuracy_and_odd_rows(spark, docs, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def _ranked(counts, size=400):
+    return sorted(counts, key=lambda g: (-counts[g], [len(g), *map(ord, g)]))[:size]
+
+
+def _counted(text):
+    found = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f" {word} "
+        found.update([*word, *(padded[i:i + n] for n in (2, 3) for i in range(len(padded) - n + 1))])
+    return found
+
+
+def test_language_ranks_and_distances_equal_plain(spark, docs):
+    rows = docs.collect()
+    learned = defaultdict(Counter)
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            learned[r.lang].update(_counted(r.text))
+    place = {lang: {g: k for k, g in enumerate(_ranked(c))} for lang, c in learned.items()}
+    got = {r.doc_id: r for r in queries.op1_langid(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = _ranked(_counted(r.text or ""))
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        far, lang = min((sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)), lang) for lang, p in place.items())
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(1 - far / (400 * len(own)), abs=1e-12)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_language_blocks_equal_whole(monkeypatch):
     a = langid.grams(LONG[:50_000])
     monkeypatch.setattr(langid, "_BLOCK", 1000)
