@@ -53,6 +53,22 @@ def batches_of(batches, column, size):
             at = to
 
 
+def word_table(kept: bytes) -> bytes:
+    """For `bytes.translate`: A-Z in lower case, the ASCII bytes `kept` and all of 128 up as they are, the rest blank."""
+    low = kept.lower()
+    return bytes(b + 32 if 65 <= b <= 90 and b + 32 in low else b if b >= 128 or b in low else 32 for b in range(256))
+
+
+def words_of(text, table, size=1 << 20):
+    """Lists of the words (bytes) of a text, in order, each from about `size` bytes of it."""
+    raw, at = (text or "").encode().translate(table), 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
 def attach(rows: DataFrame, result, names) -> DataFrame:
     """`rows` with the fields `names` of a struct column; they replace columns of the same name."""
     keep, own = [c for c in rows.columns if c not in names], f"result_{uuid.uuid4().hex}"

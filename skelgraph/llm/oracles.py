@@ -20,6 +20,20 @@ m AS (SELECT page_id, host, path, h || q AS rule, v, row_number() OVER (PARTITIO
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM n),
+df AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({words}) AS t FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::BIGINT AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 20
+""".replace("{words}", _WORDS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+
+
 def _values(rows):
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
@@ -48,4 +62,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
 """
 
-ORACLES = {"op4_decontam": OP4, "op9_licenses": OP9, "op10_urlfilter": OP10}
+ORACLES = {"op4_decontam": OP4, "op9_licenses": OP9, "op10_urlfilter": OP10, "op11_ranked": OP11}

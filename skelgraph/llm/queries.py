@@ -1,7 +1,7 @@
-"""The ten registered queries, with production parameters over whole tables."""
+"""The registered queries, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from . import decontam, extract, langid, licenses, media, packing, simhash, suffix, tokencount, urlfilter
+from . import decontam, extract, langid, licenses, media, packing, ranked, simhash, suffix, tokencount, urlfilter
 from .common import table
 
 
@@ -58,4 +58,8 @@ def op10_urlfilter(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_extract, op3_packing, op4_decontam, op5_simhash, op6_tokencount, op7_suffix, op8_media, op9_licenses, op10_urlfilter)}
+def op11_ranked(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_extract, op3_packing, op4_decontam, op5_simhash, op6_tokencount, op7_suffix, op8_media, op9_licenses, op10_urlfilter, op11_ranked)}
