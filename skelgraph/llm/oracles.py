@@ -34,6 +34,21 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION
 """.replace("{words}", _WORDS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {words} AS w FROM documents),
+df AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 30),
+c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN df USING (lang, t) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, t, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p FROM g JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + (1000000000 * (sum(n)::BIGINT + 5)) // (any_value(total) + 5 * any_value(v)) AS q FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total)::BIGINT AS total FROM g GROUP BY lang) USING (lang) GROUP BY lang, t),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM e) WHERE part = 'pair' OR rank <= 50
+""".replace("{words}", _WORDS.format(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"))
+
+
 def _values(rows):
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
@@ -62,4 +77,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
 """
 
-ORACLES = {"op4_decontam": OP4, "op9_licenses": OP9, "op10_urlfilter": OP10, "op11_ranked": OP11}
+ORACLES = {"op4_decontam": OP4, "op9_licenses": OP9, "op10_urlfilter": OP10, "op11_ranked": OP11, "op13_audit": OP13}
