@@ -1,7 +1,7 @@
 """The registered queries, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from . import audit, decontam, extract, langid, licenses, media, packing, ranked, simhash, suffix, tokencount, urlfilter
+from . import audit, decontam, extract, langid, licenses, media, mixing, packing, ranked, simhash, suffix, tokencount, urlfilter
 from .common import table
 
 
@@ -62,8 +62,12 @@ def op11_ranked(spark, sf_dir):
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op13_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_extract, op3_packing, op4_decontam, op5_simhash, op6_tokencount, op7_suffix, op8_media, op9_licenses, op10_urlfilter, op11_ranked, op13_audit)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_extract, op3_packing, op4_decontam, op5_simhash, op6_tokencount, op7_suffix, op8_media, op9_licenses, op10_urlfilter, op11_ranked, op12_mixing, op13_audit)}
