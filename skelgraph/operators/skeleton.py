@@ -93,8 +93,9 @@ def adaptive_knn_edges(near: DataFrame, k=5, adaptive=True) -> DataFrame:
 
 
 def _ends(pairs: DataFrame, nodes: DataFrame, x="x", y="y") -> DataFrame:
-    """Adds dx, dy from i to j, and the direction of i."""
-    a = nodes.select("sample_id", F.col("node_id").alias("i"), F.col(x).alias("_ax"), F.col(y).alias("_ay"), F.col("dir").alias("dir_i"))
+    """Adds dx, dy from i to j, and the direction (and scale, if any) of i."""
+    own = [F.col(c).alias(f"{c}_i") for c in ("dir", "scale") if c in nodes.columns]
+    a = nodes.select("sample_id", F.col("node_id").alias("i"), F.col(x).alias("_ax"), F.col(y).alias("_ay"), *own)
     b = nodes.select("sample_id", F.col("node_id").alias("j"), F.col(x).alias("_bx"), F.col(y).alias("_by"))
     got = pairs.join(a, ["sample_id", "i"]).join(b, ["sample_id", "j"])
     return got.withColumns({"dx": F.col("_bx") - F.col("_ax"), "dy": F.col("_by") - F.col("_ay")}).drop("_ax", "_ay", "_bx", "_by")
@@ -131,15 +132,25 @@ def angular_signature(nodes_n: DataFrame, ssg: DataFrame, sectors=8, radii=(0.75
 
 
 def edge_attributes(nodes: DataFrame, edges: DataFrame, sectors=8, floor=1e-6) -> DataFrame:
-    """Adds d, cos_t, sin_t, sector to directed (src, dst) rows; no direction counts as zero."""
+    """Adds d, cos_t, sin_t, sector to directed (src, dst) rows; no direction counts as zero.
+
+    With a `scale` of the nodes, d is in its units. Angles always come from x and y as they are: centring would
+    change the last bit of a difference, which decides where an angle lies on a sector's edge.
+    """
     got = _ends(edges.withColumnsRenamed({"src": "i", "dst": "j"}), nodes)
     rel = relative_angle(F.col("dx"), F.col("dy"), F.coalesce("dir_i", F.lit(0.0)))
-    got = got.withColumns({"d": F.hypot("dx", "dy") + floor, "cos_t": F.cos(rel), "sin_t": F.sin(rel), "sector": sector(rel, sectors, "clip")})
-    return got.withColumnsRenamed({"i": "src", "j": "dst"}).drop("dx", "dy", "dir_i")
+    length = F.hypot("dx", "dy")
+    if "scale" in nodes.columns:
+        length = length / F.col("scale_i")
+    got = got.withColumns({"d": length + floor, "cos_t": F.cos(rel), "sin_t": F.sin(rel), "sector": sector(rel, sectors, "clip")})
+    return got.withColumnsRenamed({"i": "src", "j": "dst"}).drop("dx", "dy", "dir_i", "scale_i")
 
 
-def edge_attributes_ssg(nodes: DataFrame, ssg: DataFrame, sectors=8, tag="SSG") -> DataFrame:
-    """Both directions of each edge, repeats kept."""
+def both_ways(ssg: DataFrame) -> DataFrame:
+    """(sample_id, src, dst): both directions of each edge, repeats kept."""
     one = ssg.select("sample_id", F.col("i").alias("src"), F.col("j").alias("dst"))
-    both = one.unionAll(one.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edge_attributes(nodes, both, sectors).withColumn("tag", F.lit(tag))
+    return one.unionAll(one.select("sample_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def edge_attributes_ssg(nodes: DataFrame, ssg: DataFrame, sectors=8, tag="SSG") -> DataFrame:
+    return edge_attributes(nodes, both_ways(ssg), sectors).withColumn("tag", F.lit(tag))

@@ -31,17 +31,34 @@ def node_features(sig: DataFrame, nodes: DataFrame, rel_deg=None, w_rel=0.2, w_t
     return got.select("sample_id", "node_id", F.concat(*parts).alias("x"))
 
 
+def _with_vector(edges: DataFrame, slot, sectors) -> DataFrame:
+    """Adds attr: [d, cos, sin], sector one-hot and tag one-hot times `slot`, all times w."""
+    onehot = F.transform(edge_type_onehot(F.col("tag")), lambda v: v * slot)
+    sec = F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), lambda s: (s == F.col("sector")).cast("double"))
+    return edges.withColumn("attr", F.transform(F.concat(F.array("d", "cos_t", "sin_t"), sec, onehot), lambda v: v * F.col("w")))
+
+
+def _attributed(nodes_n, edges, slot, sectors):
+    return _with_vector(S.edge_attributes(nodes_n.select("sample_id", "node_id", "x", "y", "dir", "scale"), edges, sectors), slot, sectors)
+
+
+def skeleton_edges(nodes_n: DataFrame, ssg: DataFrame, sectors=8) -> DataFrame:
+    """Both directions of the skeleton with attributes."""
+    return _attributed(nodes_n, S.both_ways(ssg).withColumns({"tag": F.lit("SSG"), "w": F.lit(1.0)}), 1.0, sectors)
+
+
+def topology_edges(nodes_n: DataFrame, topo: DataFrame, sectors=8, w_topo=0.7) -> DataFrame:
+    return _attributed(nodes_n, topo, w_topo, sectors)
+
+
+def relation_edges(nodes_n: DataFrame, mapped: DataFrame, sectors=8, w_rel=0.5) -> DataFrame:
+    tagged = mapped.select("sample_id", "src", "dst", F.concat(F.lit("REL_"), "rel_type").alias("tag"), F.lit(1.0).alias("w"))
+    return _attributed(nodes_n, tagged, w_rel, sectors)
+
+
 def all_edges(nodes_n: DataFrame, ssg: DataFrame, topo: DataFrame, mapped: DataFrame, sectors=8, w_rel=0.5, w_topo=0.7) -> DataFrame:
     """SSG, topology and relation edges with attributes, repeats kept."""
-    at = nodes_n.select("sample_id", "node_id", F.col("xn").alias("x"), F.col("yn").alias("y"), "dir")
-    skel = S.edge_attributes_ssg(at, ssg, sectors).withColumn("w", F.lit(1.0)).withColumn("slot", F.lit(1.0))
-    rel = S.edge_attributes(at, mapped.select("sample_id", "src", "dst", F.concat(F.lit("REL_"), "rel_type").alias("tag")), sectors).withColumns({"w": F.lit(1.0), "slot": F.lit(w_rel)})
-    top = S.edge_attributes(at, topo, sectors).withColumn("slot", F.lit(w_topo))
-    every = skel.unionByName(top).unionByName(rel)
-    onehot = F.transform(edge_type_onehot(F.col("tag")), lambda v: v * F.col("slot"))
-    sec = F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), lambda s: (s == F.col("sector")).cast("double"))
-    attr = F.transform(F.concat(F.array("d", "cos_t", "sin_t"), sec, onehot), lambda v: v * F.col("w"))
-    return every.withColumn("attr", attr).drop("slot")
+    return skeleton_edges(nodes_n, ssg, sectors).unionByName(topology_edges(nodes_n, topo, sectors, w_topo)).unionByName(relation_edges(nodes_n, mapped, sectors, w_rel))
 
 
 def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5, use_relations=True, topo_tol=0.5, mode="soft", large=False):

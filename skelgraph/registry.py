@@ -14,10 +14,17 @@ from .operators import topology as T
 from .constants import EDGE_TAGS
 from .plans import graph, views
 from .sources import readers
-from .store import fresh
+from .store import fresh, written
 
 QUERIES, ORACLES = {}, {}
-_PI2 = "6.283185307179586"
+_PI2 = "6.283185307179586e0"
+
+
+def _mod(angle):
+    """The angle from 0 to below two pi; two pi is added below zero only, so that angles in range keep their last bit."""
+    return f"(CASE WHEN fmod({angle}, {_PI2}) < 0 THEN fmod(fmod({angle}, {_PI2}) + {_PI2}, {_PI2}) ELSE fmod({angle}, {_PI2}) END)"
+
+
 CTES = {
     "base": views.BASE.replace("<json>", "json_extract_string"),
     "nodes": views.NODES,
@@ -35,7 +42,7 @@ CTES = {
         WHERE rk <= least(greatest(round_even(5 * g / CASE WHEN l <= 1e-8 THEN g ELSE l END, 0), 3), 8)""",
     "cover": f"""SELECT sample_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, i, s ORDER BY rk) AS r FROM (
         SELECT k.sample_id, i, j, rk, CASE WHEN a.dir IS NULL THEN 0 ELSE
-          CAST(floor(fmod(fmod(atan2(b.y-a.y, b.x-a.x) - a.dir, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT) % 8 END AS s
+          CAST(floor({_mod("atan2(b.y-a.y, b.x-a.x) - a.dir")} / {_PI2} * 8) AS INT) % 8 END AS s
         FROM knn k JOIN nodes a ON a.sample_id = k.sample_id AND a.node_id = i JOIN nodes b ON b.sample_id = k.sample_id AND b.node_id = j)) WHERE r = 1""",
     "ssg": "SELECT * FROM adaptive UNION SELECT * FROM cover",
     "look": "SELECT sample_id, lower(trim(name)) AS key, min(node_id) AS id, max(node_id) AS last FROM nodes GROUP BY ALL",
@@ -60,14 +67,14 @@ CTES = {
     "sig": f"""SELECT sample_id, node_id, slot, g / sum(g) OVER (PARTITION BY sample_id, node_id) AS v FROM (
         SELECT sample_id, i AS node_id, CAST(r * 8 + s AS INT) AS slot, sum(exp(-0.5 * pow((d / (rad + 1e-8) - 1) / 0.5, 2)) / (d + 1e-3)) AS g FROM (
           SELECT e.sample_id, e.i, sqrt((b.xn-a.xn)*(b.xn-a.xn)+(b.yn-a.yn)*(b.yn-a.yn)) AS d,
-            CAST(floor(fmod(fmod(atan2(b.yn-a.yn, b.xn-a.xn) - z, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT) % 8 AS s
+            CAST(floor({_mod("atan2(b.yn-a.yn, b.xn-a.xn) - z")} / {_PI2} * 8) AS INT) % 8 AS s
           FROM (SELECT sample_id, i, j FROM ssg UNION ALL SELECT sample_id, j, i FROM ssg) e JOIN nn a ON a.sample_id = e.sample_id AND a.node_id = e.i
           JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = e.j JOIN zero z0 ON z0.sample_id = e.sample_id AND z0.i = e.i), (VALUES (0, 0.75e0), (1, 1e0), (2, 1.5e0)) v(r, rad)
         WHERE d >= 1e-8 GROUP BY ALL)""",
 }
-_SECTOR = f"least(CAST(floor(fmod(fmod(t, {_PI2}) + {_PI2}, {_PI2}) / {_PI2} * 8) AS INT), 7)"
+_SECTOR = f"least(CAST(floor({_mod('t')} / {_PI2} * 8) AS INT), 7)"
 CTES["edges"] = f"""SELECT *, cos(t) AS cos_t, sin(t) AS sin_t, {_SECTOR} AS sector FROM (
-    SELECT e.*, sqrt((b.xn-a.xn)*(b.xn-a.xn)+(b.yn-a.yn)*(b.yn-a.yn)) + 1e-6 AS d, atan2(b.yn-a.yn, b.xn-a.xn) - coalesce(a.dir, 0) AS t FROM (
+    SELECT e.*, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) / a.scale + 1e-6 AS d, atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0) AS t FROM (
       SELECT sample_id, i AS src, j AS dst, 'SSG' AS tag, 1e0 AS w, 1e0 AS part FROM ssg UNION ALL SELECT sample_id, j, i, 'SSG', 1e0, 1e0 FROM ssg
       UNION ALL SELECT sample_id, src, dst, tag, w, 7e-1 FROM soft UNION ALL SELECT sample_id, src, dst, 'REL_' || rel_type, 1e0, 5e-1 FROM resolved WHERE ok) e
     JOIN nn a ON a.sample_id = e.sample_id AND a.node_id = src JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = dst)"""
@@ -198,20 +205,31 @@ def _(spark, d):
 _ATTR = "list_transform([d * w, cos_t * w, sin_t * w] || list_transform(range(8), lambda k: CASE WHEN k = sector THEN w ELSE 0e0 END) || list_transform({}, lambda k: CASE WHEN k = tag THEN part * w ELSE 0e0 END), lambda v: round(v, 5) + 0e0)".format(EDGE_TAGS)
 
 
+def _normal(spark, d):
+    """(nodes with normalised coordinates, neighbours)"""
+    n = views.nodes(spark, d)
+    near = written(S.knn(n), "neighbours")
+    return S.normalize_coords(n, near), near
+
+
 @register("edge_attributes_ssg", f"SELECT sample_id, src, dst, tag, {_ATTR} AS attr FROM edges WHERE tag = 'SSG'", "edges")
 def _(spark, d):
-    edges = _graph(spark, d)[1].where("tag = 'SSG'")
+    n, near = _normal(spark, d)
+    edges = graph.skeleton_edges(n, S.ssg_edges(n, near=near))
     return edges.select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
 
 
 @register("edge_attributes_relation", f"SELECT sample_id, src, dst, tag, {_ATTR} AS attr FROM edges WHERE starts_with(tag, 'REL_')", "edges")
 def _(spark, d):
-    return _graph(spark, d)[1].where("tag LIKE 'REL%'").select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
+    n, _near = _normal(spark, d)
+    edges = graph.relation_edges(n, R.resolve_relations(views.relations(spark, d), n)[0])
+    return edges.select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
 
 
 @register("edge_attributes_topology", f"SELECT sample_id, src, dst, tag, round(w, 5) AS w, {_ATTR} AS attr FROM edges WHERE starts_with(tag, 'TOPO_')", "edges")
 def _(spark, d):
-    got = _graph(spark, d)[1].where("tag LIKE 'TOPO%'")
+    n, _near = _normal(spark, d)
+    got = graph.topology_edges(n, T.soft_topology_edges(n))
     return got.select("sample_id", "src", "dst", "tag", F.round("w", 5).alias("w"), _round_each("attr", 5).alias("attr"))
 
 

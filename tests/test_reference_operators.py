@@ -82,3 +82,15 @@ def test_assignment_brute_force():
         tall = cost if n <= m else cost.T
         best = min(sum(tall[i, p] for i, p in enumerate(perm)) for perm in itertools.permutations(range(tall.shape[1]), tall.shape[0]))
         assert len(set(r)) == len(set(c)) == min(n, m) and cost[r, c].sum() == pytest.approx(best)
+
+
+def test_sectors_at_exact_ties_and_of_a_self_relation(spark):
+    """A bin holds its lower edge; an edge of no length points along the zero direction's negative."""
+    rows = [(0, 0, 3.0, 3.0, None), (0, 1, 5.0, 3.0, None), (0, 2, 5.0, 5.0, None), (0, 3, 3.0, 5.0, None), (0, 4, 1.0, 5.0, None), (0, 5, 1.0, 3.0, None), (0, 6, 1.0, 1.0, None),
+            (0, 7, 3.0, 1.0, None), (0, 8, 5.0, 1.0, None), (0, 9, 0.0, 0.0, math.atan2(4.5, 3.0))]
+    nodes = spark.createDataFrame(rows, "sample_id int, node_id int, x double, y double, dir double")
+    edges = spark.createDataFrame([(0, 0, j) for j in range(1, 9)] + [(0, 0, 0), (0, 9, 9)], "sample_id int, src int, dst int")
+    got = {(r.src, r.dst): r for r in skeleton.edge_attributes(nodes, edges).collect()}
+    assert [got[0, j].sector for j in range(1, 9)] == list(range(8))
+    assert got[0, 0].sector == 0 and got[0, 0].d == pytest.approx(1e-6)
+    assert got[9, 9].sector == math.floor(-math.atan2(4.5, 3.0) % (2 * math.pi) / (2 * math.pi) * 8)
