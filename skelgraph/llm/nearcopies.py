@@ -3,12 +3,13 @@
 Candidates are the texts of one SimHash class (five-word shingles, radius 2) or of
 one of BANDS MinHash buckets: at similarity 0.8 two SimHash fingerprints differ by about ten
 bits in the mean, where tiles no longer part anything. Two texts of similarity 0.8 share no
-bucket in (1 - 0.8 ** ROWS) ** BANDS = 0.05 % of cases, and fewer above. All texts of a bucket are
-compared exactly, by products of their incidence matrices, in blocks of at most
-BLOCK texts. In a bucket of more than BLOCK texts the least one is compared with all first: what is
-linked to it need not be compared among itself any more. Buckets of the same texts are compared once.
-A group is what is connected by links; its row of the least doc_id stays (ties: the least text id).
-Texts without words are equal. Null text is an empty text.
+bucket in (1 - 0.8 ** ROWS) ** BANDS = 0.05 % of cases, and fewer above. What is compared are the
+sets of shingle hashes of the candidates, written once. First every text of a bucket is compared with the
+bucket's least one, each such pair once however many buckets it shares: what is linked to it need not be
+compared among itself any more. Where a bucket has others, these are compared with all of it,
+by products of incidence matrices in blocks of at most BLOCK texts. Buckets of the same texts are compared once.
+A group is what is connected by links; its row of the least doc_id stays (ties: the least text id; of rows that
+repeat both, the one whose columns have the least hash). Texts without words are equal. Null text is an empty text.
 """
 import numpy as np
 import pandas as pd
@@ -87,45 +88,55 @@ def _candidates(sig: DataFrame, radius=2):
     return buckets, each.join(buckets, "band")
 
 
-def _compared(places: DataFrame, texts: DataFrame, share, width) -> DataFrame:
-    """Links (a, b) inside each cell of `places` (cell struct, tid)."""
+def _sets(pdf):
+    return [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+
+
+def _compared(places: DataFrame, sets: DataFrame, share) -> DataFrame:
+    """Links (a, b) inside each cell of `places` (band, p, q, tid)."""
     def compare(batches):
-        cell, tids, sets = None, [], []
+        cell, tids, held = None, [], []
 
         def found():
-            i, j = links(sets, share) if len(sets) > 1 else ([], [])
+            i, j = links(held, share) if len(held) > 1 else ([], [])
             return pd.DataFrame({"a": [tids[k] for k in i], "b": [tids[k] for k in j]})
 
         for pdf in batches:
-            for key, tid, text in zip(zip(pdf["band"], pdf["p"], pdf["q"]), pdf["tid"], pdf["text"]):
+            for key, tid, own in zip(zip(pdf["band"], pdf["p"], pdf["q"]), pdf["tid"], _sets(pdf)):
                 if key != cell:
-                    if len(sets) > 1:
+                    if len(held) > 1:
                         yield found()
-                    cell, tids, sets = key, [], []
+                    cell, tids, held = key, [], []
                 tids.append(tid)
-                sets.append(shingles(text, width))
-        if len(sets) > 1:
+                held.append(own)
+        if len(held) > 1:
             yield found()
 
-    rows = places.join(texts, "tid").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return rows.select("band", "p", "q", "tid", "text").mapInPandas(compare, "a binary, b binary").distinct()
+    rows = places.join(sets, "tid").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return rows.select("band", "p", "q", "tid", "set").mapInPandas(compare, "a binary, b binary").distinct()
 
 
-def _near_leads(hot: DataFrame, texts: DataFrame, share, width) -> DataFrame:
-    """Links (a, b) from texts to the least texts of their buckets."""
+def _near_leads(members: DataFrame, sets: DataFrame, share, block) -> DataFrame:
+    """Links (a, b) from texts to the least texts of their buckets; the texts of one lead are dealt over tasks by `block`."""
     def verify(batches):
-        last, lead = None, None
+        lead = None
         for pdf in batches:
             out = []
-            for tid, text, other, lead_text in zip(pdf["tid"], pdf["text"], pdf["lead"], pdf["lead_text"]):
-                if other != last:
-                    last, lead = other, shingles(lead_text, width)
-                if jaccard(shingles(text, width), lead) >= share:
+            for tid, other, own in zip(pdf["tid"], pdf["lead"], _sets(pdf)):
+                if tid is None:  # comes ahead of the texts to compare with
+                    lead = own
+                elif jaccard(own, lead) >= share:
                     out.append((tid, other))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    pairs = hot.where("tid <> lead").select("tid", "lead").distinct().join(texts, "tid")
-    return pairs.join(texts.withColumnsRenamed({"tid": "lead", "text": "lead_text"}), "lead").select("tid", "text", "lead", "lead_text").mapInPandas(verify, "a binary, b binary")
+    pairs = materialize(members.where("tid <> lead").select("tid", "lead").distinct(), "lead_pairs")
+    parts = materialize(pairs.groupBy("lead").agg(F.ceil(F.count("*") / block).alias("parts")), "lead_parts")
+    each = pairs.join(parts, "lead").select("tid", "lead", F.pmod(F.xxhash64("tid"), "parts").alias("part"))
+    each = each.join(sets, "tid").select("lead", "part", "tid", "set")
+    heads = parts.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("tid", "lead"), "lead")
+    rows = heads.select("lead", "part", F.lit(None).cast("binary").alias("tid"), "set").unionAll(each)
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.asc_nulls_first("tid"))
+    return rows.select("tid", "lead", "set").mapInPandas(verify, "a binary, b binary")
 
 
 def _cells(members: DataFrame, group: DataFrame, block) -> DataFrame:
@@ -155,11 +166,17 @@ def distinct(docs: DataFrame, share=SHARE, width=WIDTH, block=BLOCK) -> DataFram
     sig = materialize(sig.select("tid", "id", "s.keys", "s.fp"), "signatures")
     buckets, members = _candidates(sig)
     members = materialize(members, "candidates")
-    texts = rows.select("tid", "text").join(members.select("tid").distinct(), "tid", "left_semi")
-    texts = materialize(texts.groupBy("tid").agg(F.first("text").alias("text")), "texts")
-    first = materialize(_near_leads(members.where(F.col("n") > block), texts, share, width), "near_leads")
+
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, width).tobytes())
+
+    sets = rows.select("tid", "text").join(members.select("tid").distinct(), "tid", "left_semi")
+    sets = materialize(sets.groupBy("tid").agg(F.first("text").alias("text")).select("tid", hashed("text").alias("set")), "sets")
+    first = materialize(_near_leads(members, sets, share, block), "near_leads")
     cells = _cells(members, simhash.components(first), block)
-    rest = materialize(_compared(cells, texts, share, width), "links")
+    rest = materialize(_compared(cells, sets, share), "links")
     group = simhash.components(first.unionAll(rest)).withColumnRenamed("node", "tid")
     keep = sig.join(group, "tid", "left").groupBy(F.coalesce("root", "tid")).agg(F.min(F.struct("id", "tid")).alias("k")).select(F.col("k.tid").alias("tid"), F.col("k.id").alias("doc_id"))
-    return rows.join(keep, ["tid", "doc_id"], "left_semi").dropDuplicates(["tid"]).select("row.*")
+    kept = rows.join(keep, ["tid", "doc_id"], "left_semi").select("tid", "row")
+    return kept.groupBy("tid").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

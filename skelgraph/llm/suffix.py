@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 from .common import batches_of, materialize, remove, shared_dir, text_id
 
 BATCHES = 3  # batches that one call adds to the family: two levels stay
-UNSPACED = 40  # characters without white space from which the byte rule holds in `strip_passages`
+# Ranges of the scripts written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han).
+_BARE = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
+WORD = re.compile(rf"[{_BARE}]|[^\s{_BARE}]+")  # a character of those scripts, or what stands between white space
+_ANY_BARE = re.compile(f"[{_BARE}]")
 GROUP = 2000  # regions of one pick compared in one task; more are spread by window
 _BLOCK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -90,8 +93,8 @@ def _sliding_min(v, width):
 
 
 def words(text) -> bytes:
-    """The 64-bit hashes of the words between white space."""
-    found = text.split()
+    """The 64-bit hashes of the words (`WORD`)."""
+    found = text.split() if text.isascii() or not _ANY_BARE.search(text) else WORD.findall(text)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).tobytes()
 
 
@@ -153,6 +156,7 @@ class Family:
         self.spark, self.levels = spark, list(levels)
         self.folder = folder or os.path.join(shared_dir(spark), "skelgraph", uuid.uuid4().hex)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._names = []
 
     @classmethod
     def open(cls, spark, folder):
@@ -175,8 +179,14 @@ class Family:
         """A level as a bucketed table, so that joins by key neither shuffle it nor each other."""
         name = f"level_{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE TABLE {name} (key BIGINT, n BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self._names.append(name)
         return self.spark.table(name)
 
+    def close(self):
+        """Take the names of levels that `level` gave out from the catalog; their files stay."""
+        while self._names:
+            self.spark.sql(f"DROP TABLE {self._names.pop()}")
+
     def add(self, entries: DataFrame) -> DataFrame:
         """Index a batch of (key, n). Returns the keys that it repeats, in itself or from an earlier level."""
         rank, path = 0, self._write(entries.groupBy("key").agg(F.sum("n").cast("long").alias("n")))
@@ -192,6 +202,7 @@ class Family:
             remove(self.spark, old, path)
             rank, path = rank + 1, merged
         self.levels.append((rank, path))
+        self.close()
         return found
 
 
@@ -232,9 +243,13 @@ def repeats(docs: DataFrame, kinds, strings=STRINGS, passages=PASSAGES, batches=
     wanted = materialize(mixed.groupBy("tid").agg(F.collect_list(F.struct("key", "rh", "large", "place")).alias("rs")), "wanted")
 
     def slices(batches):
+        seen = set()  # of this task: copies of a text are opened once
         for pdf in batches:
             out = []
-            for text, rs in zip(pdf["text"], pdf["rs"]):
+            for tid, text, rs in zip(pdf["tid"], pdf["text"], pdf["rs"]):
+                if tid in seen:
+                    continue
+                seen.add(tid)
                 codes = {}
                 for r in rs:
                     start, span, kind = r["place"] // 1024, r["place"] % 1024 // 2, r["place"] % 2
@@ -243,8 +258,9 @@ def repeats(docs: DataFrame, kinds, strings=STRINGS, passages=PASSAGES, batches=
                     out.append((r["key"], r["rh"], r["large"], kind, data[start * unit:(start + span + length) * unit]))
             yield pd.DataFrame(out, columns=["key", "rh", "large", "words", "data"])
 
-    one = texts.select("tid", "text").join(wanted, "tid").dropDuplicates(["tid"])
-    opened = materialize(one.mapInPandas(slices, "key long, rh long, large boolean, words int, data binary"), "slices")
+    # nothing above the join needs the copies of a text together, so a text of very many copies can be split; what tasks open alike is small
+    opened = texts.select("tid", "text").join(wanted, "tid").mapInPandas(slices, "key long, rh long, large boolean, words int, data binary")
+    opened = materialize(opened.dropDuplicates(["key", "rh"]), "slices")
 
     def meet(batches):
         """Rows come sorted by key: repeated windows among the at most GROUP regions of each key."""
@@ -330,7 +346,7 @@ def _stripped(docs, kinds, strings, passages):
                 data, (runs, found) = t.encode(), _runs(s, strings, passages)
                 if found:
                     at = np.cumsum([0] + [len(c.encode()) for c in t]) if len(data) != len(t) else range(len(t) + 1)
-                    places = [m.span() for m in re.finditer(r"\S+", t)]
+                    places = [m.span() for m in WORD.finditer(t)]
                     runs = runs + [[int(at[places[a][0]]), int(at[places[z - 1][1]])] for a, z in found]
                     runs = covered([(a, z - 1) for a, z in runs], 1)
                 t = _keep(data, runs).decode(errors="ignore")
@@ -347,9 +363,5 @@ def strip_repeats(docs: DataFrame, strings=STRINGS) -> DataFrame:
 
 
 def strip_passages(docs: DataFrame, strings=STRINGS, passages=PASSAGES) -> DataFrame:
-    """`docs` without the words of repeated passages, whatever their bytes and white space.
-
-    Texts with UNSPACED characters in one piece, where a passage need not have words,
-    lose repeated strings among themselves as well.
-    """
-    return _stripped(docs, F.when(F.col("text").rlike(rf"\S{{{UNSPACED}}}"), 3).otherwise(2), strings, passages)
+    """`docs` without the words of repeated passages, whatever their bytes and white space; a character of a script without spaces is a word."""
+    return _stripped(docs, F.lit(2), strings, passages)
