@@ -6,10 +6,14 @@ from skelgraph.llm.common import materialize, table, text_id
 from skelgraph.llm.queries import vocabulary
 
 
+def _rows(docs, *more):
+    """(row, ...): the columns of `docs` in one struct, so that no name clashes."""
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
 def language(spark, docs, sf_dir):
-    """Documents with a language: null or letterless texts go."""
-    cols = docs.columns
-    return langid.identify(docs, langid.fit(docs)).where("lang_pred <> 'und'").select(*cols)
+    """Documents with a language, their columns as they were: null or letterless texts go."""
+    return langid.identify(_rows(docs, "text"), langid.fit(docs)).where("lang_pred <> 'und'").select("row.*")
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -18,17 +22,18 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def repeats(spark, docs, sf_dir):
-    """Documents without passages of over 50 words that also stand elsewhere."""
+    """Documents without passages of over 50 words that also stand elsewhere; n_chars, where there is one, counts what stays."""
     out = suffix.strip_passages(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def decontaminate(spark, docs, sf_dir):
     """Documents that contain the text of no benchmark row, whatever the ids of both."""
     items = table(spark, sf_dir, "benchmark").select(text_id().alias("item_id"), "text").distinct()
-    docs = docs.withColumn("_tid", text_id())
-    bad = decontam.contained(docs, items, doc_col="_tid").select(F.col("doc_id").alias("_tid")).distinct()
-    return docs.join(materialize(bad, "contaminated"), "_tid", "left_anti").drop("_tid")
+    bad = decontam.contained(docs.select(text_id().alias("tid"), "text"), items, doc_col="tid").select(F.col("doc_id").alias("tid")).distinct()
+    return _rows(docs, text_id().alias("tid")).join(materialize(bad, "contaminated"), "tid", "left_anti").select("row.*")
 
 
 def pack(spark, docs, sf_dir):
