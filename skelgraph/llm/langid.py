@@ -19,6 +19,7 @@ PROFILE = 400
 SAMPLE_ROWS = 200_000  # bound on the labelled rows that teach the profiles
 MAX_LANGUAGES = 2_000
 _NOT_LETTERS = regex.compile(r"\P{L}+")
+_TEXTS = 256  # texts whose grams are counted together
 _BLOCK = 1 << 20
 
 
@@ -88,10 +89,11 @@ def fit(labelled: DataFrame, size=PROFILE, sample_rows=SAMPLE_ROWS) -> Profiles:
     def count(batches):
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                got = [grams(t) for t in texts]
-                k, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-                n = np.bincount(inv, weights=np.concatenate([g[1] for g in got]), minlength=len(k))
-                yield pd.DataFrame({"lang": lang, "gram": k, "n": n.astype(np.int64)})
+                for at in range(0, len(texts), _TEXTS):  # the grams of a whole batch at once would take some hundred megabytes
+                    got = [grams(t) for t in texts.iloc[at:at + _TEXTS]]
+                    k, inv = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+                    n = np.bincount(inv, weights=np.concatenate([g[1] for g in got]), minlength=len(k))
+                    yield pd.DataFrame({"lang": lang, "gram": k, "n": n.astype(np.int64)})
 
     ranked = (rows.mapInPandas(count, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
