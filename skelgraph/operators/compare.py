@@ -1,4 +1,4 @@
-"""Vector comparison, pooling and assignment."""
+"""Vector comparison and pooling."""
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -53,64 +53,6 @@ def cosine_pairs(a: DataFrame, b: DataFrame, rescale=False, eps=1e-8, pairs: Dat
     return x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInPandas(multiply, f"a {kinds['a']}, b {kinds['b']}, sim double")
 
 
-def assignment(cost):
-    """Least-cost one-to-one assignment of the shorter side: (rows, columns)."""
-    cost = np.asarray(cost, float)
-    if cost.shape[0] > cost.shape[1]:
-        c, r = assignment(cost.T)
-        order = np.argsort(r)
-        return r[order], c[order]
-    n, m = cost.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for row in range(n):
-        dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        at, free, base, seen = row, -1, 0.0, [row]
-        while free < 0:
-            red = base + cost[at] - u[at] - v
-            better = ~done & (red < dist)
-            dist[better], via[better] = red[better], at
-            k = int(np.where(done, np.inf, dist).argmin())
-            base, done[k] = dist[k], True
-            if owner[k] < 0:
-                free = k
-            else:
-                at = owner[k]
-                seen.append(at)
-        cols = np.flatnonzero(done)
-        held = {int(owner[c]): c for c in cols if owner[c] >= 0}
-        for r in seen:
-            u[r] += base - (dist[held[r]] if r in held else 0.0)
-        v[cols] -= base - dist[cols]
-        k = free
-        while True:
-            r = via[k]
-            before = np.flatnonzero(owner == r)
-            owner[k] = r
-            if r == row:
-                break
-            k = int(before[before != k][0])
-    cols = np.flatnonzero(owner >= 0)
-    order = np.argsort(owner[cols])
-    return owner[cols][order], cols[order]
-
-
-def sample_assignment(sims: DataFrame, keys=("group_a", "group_b"), max_n=5000) -> DataFrame:
-    """Optimal pairs on 1 - sim for every group pair; above `max_n` per side it is an error."""
-    def solve(key, pdf):
-        m = pdf.pivot(index="a", columns="b", values="sim").sort_index().sort_index(axis=1)
-        if max(m.shape) > max_n:
-            raise ValueError(f"assignment of {m.shape} is above max_n={max_n}")
-        r, c = assignment(1 - m.to_numpy())
-        out = pd.DataFrame({"a": m.index[r], "b": m.columns[c], "sim": m.to_numpy()[r, c]})
-        for name, k in zip(keys, key):
-            out[name] = k
-        return out[["a", "b", "sim", *keys]]
-
-    kinds = dict(sims.dtypes)
-    schema = f"a {kinds['a']}, b {kinds['b']}, sim double, " + ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return sims.groupBy(*keys).applyInPandas(solve, schema)
-
-
 def pair_lookup(pairs: DataFrame, embeds: DataFrame) -> DataFrame:
     """Adds ga, gb; a missing sample leaves a null to be reported."""
     a = embeds.select(F.col("sample_id").alias("sample_a"), F.col("vec").alias("ga"))

@@ -6,13 +6,16 @@ from .functions import scalars as C
 from .functions import shapes as H
 from .operators import augment as A
 from .operators import compare as M
+from .operators import gnn as E
 from .operators import losses as L
+from .operators import matching as N
+from .operators import paths as O
 from .operators import relations as R
 from .operators import report as P
 from .operators import skeleton as S
 from .operators import topology as T
 from .constants import EDGE_TAGS
-from .plans import graph, views
+from .plans import accuracy, graph, views
 from .sources import readers
 from .store import fresh, written
 
@@ -255,13 +258,50 @@ def _(spark, d):
     return R.match_by_name(n, _real(n))
 
 
-@register("fidelity", """SELECT s.sample_id AS sample_a, round(coalesce(t, 0), 6) AS type, round(coalesce(p, 0), 6) AS topo, round(0.6 * 0.5 + 0.1 * coalesce(t, 0) + 0.3 * coalesce(p, 0), 6) AS fidelity
-    FROM (SELECT DISTINCT sample_id FROM nodes) s LEFT JOIN (SELECT sample_a, avg(CAST(ta = tb AS DOUBLE)) AS t, avg(CAST(ca = cb AS DOUBLE)) AS p FROM typed GROUP BY sample_a) ON sample_a = sample_id""", "typed")
+_ANGLE = "(event_id * 7919 % 10007) / 10007e0 * 15e-1"
+
+
+def _angles(spark, d):
+    """Node vectors for assignment: unit vectors of the plane, by the event's number."""
+    return views.base(spark, d).select("sample_id", F.col("event_id").alias("node_id"), F.expr(_ANGLE).alias("t")).select("sample_id", "node_id", F.array(F.cos("t"), F.sin("t")).alias("vec"))
+
+
+def _optimum(pairs):
+    """CTEs up to `best` (sample_a, sample_b, n, m, cost): the least total cost of matching the angles of two maps, found row by
+    row. Angles lie within a right angle, where the cost is convex, so some optimum crosses nowhere."""
+    return f"""angle AS MATERIALIZED (SELECT sample_id, t, row_number() OVER (PARTITION BY sample_id ORDER BY t) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM (SELECT sample_id, {_ANGLE} AS t FROM base)),
+    size AS (SELECT DISTINCT sample_id, n FROM angle),
+    pair AS MATERIALIZED (SELECT sample_a, sample_b, least(a.n, b.n) AS n, greatest(a.n, b.n) AS m, CASE WHEN a.n > b.n THEN sample_b ELSE sample_a END AS rows, CASE WHEN a.n > b.n THEN sample_a ELSE sample_b END AS columns
+        FROM ({pairs}) p JOIN size a ON a.sample_id = sample_a JOIN size b ON b.sample_id = sample_b),
+    step(sample_a, sample_b, i, j, f) AS (SELECT sample_a, sample_b, 0::BIGINT, unnest(range(0, m + 1)), 0e0 FROM pair
+        UNION ALL SELECT s.sample_a, s.sample_b, s.i + 1, s.j, min(s.before + 1 - cos(x.t - y.t)) OVER (PARTITION BY s.sample_a, s.sample_b ORDER BY s.j)
+        FROM (SELECT *, lag(f) OVER (PARTITION BY sample_a, sample_b ORDER BY j) AS before FROM step) s JOIN pair p ON p.sample_a = s.sample_a AND p.sample_b = s.sample_b AND s.i < p.n
+        JOIN angle x ON x.sample_id = p.rows AND x.r = s.i + 1 LEFT JOIN angle y ON y.sample_id = p.columns AND y.r = s.j),
+    best AS (SELECT p.sample_a, p.sample_b, p.n, p.m, f AS cost FROM pair p JOIN step s ON s.sample_a = p.sample_a AND s.sample_b = p.sample_b AND s.i = p.n AND s.j = p.m)"""
+
+
+def _with(ctes, upto):
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS MATERIALIZED ({CTES[k]})" for k in _NAMES[:_NAMES.index(upto) + 1]) + ", " + ctes + " "
+
+
+@register("node_assignment", _with(_optimum("SELECT a.sample_id AS sample_a, a.sample_id + 1 AS sample_b FROM (SELECT DISTINCT sample_id FROM base) a"), "base") + """
+    SELECT sample_a, sample_b, n, round(cost, 3) + 0e0 AS cost, round(1 - cost / n, 5) AS score, round(n / m, 5) AS coverage
+    FROM (SELECT * REPLACE (n - (n - cost) / pow(1 + 1e-8, 2) AS cost) FROM best)""")  # cosines divide by norms of 1 and 1e-8
 def _(spark, d):
-    n = views.nodes(spark, d)
-    r = _real(n)
-    got = R.fidelity(R.match_scores(n, r, R.match_by_name(n, r)).withColumn("struct", F.lit(0.5)))
-    return _rounded(got.drop("struct"), "type", "topo", "fidelity")
+    h = _angles(spark, d)
+    maps = h.select("sample_id").distinct()
+    pairs = maps.select(F.col("sample_id").alias("sample_a"), (F.col("sample_id") + 1).alias("sample_b")).join(maps.withColumnRenamed("sample_id", "sample_b"), "sample_b")
+    got = N.node_assignment(h, h, pairs)[0]
+    cost = F.round((1 - F.col("score")) * F.col("n"), 3) + 0.0
+    return got.select("sample_a", "sample_b", F.col("n").cast("long").alias("n"), cost.alias("cost"), F.round("score", 5).alias("score"), F.round("coverage", 5).alias("coverage"))
+
+
+@register("fidelity", _with(_optimum("SELECT sample_id AS sample_a, (SELECT min(sample_id) FROM base) AS sample_b FROM (SELECT DISTINCT sample_id FROM base)"), "typed") + """SELECT s.sample_id AS sample_a, round(coalesce(t, 0), 6) AS type, round(coalesce(p, 0), 6) AS topo, round(1 - cost / n, 5) AS struct, round(6e-1 * (1 - cost / n) + 1e-1 * coalesce(t, 0) + 3e-1 * coalesce(p, 0), 5) AS fidelity
+    FROM best JOIN (SELECT DISTINCT sample_id FROM nodes) s ON best.sample_a = s.sample_id LEFT JOIN (SELECT sample_a, avg(CAST(ta = tb AS DOUBLE)) AS t, avg(CAST(ca = cb AS DOUBLE)) AS p FROM typed GROUP BY sample_a) x ON x.sample_a = s.sample_id""")
+def _(spark, d):
+    n, h = views.nodes(spark, d), _angles(spark, d)
+    got = accuracy.accuracy(n, _real(n), h, _real(h)).select("sample_a", "type", "topo", "struct", "fidelity")
+    return _rounded(_rounded(got, "type", "topo"), "struct", "fidelity", digits=5)
 
 
 @register("per_class_scores", """SELECT sample_a, ca AS class, round(m / greatest(a, b), 6) AS score FROM (SELECT sample_a, ca, count(*) AS m FROM typed WHERE ca = cb GROUP BY ALL)
@@ -297,13 +337,52 @@ def _(spark, d):
     return got.withColumns({c: F.round(c, 5) + 0.0 for c in ("w", "d", "cos_t", "sin_t")})
 
 
-@register("node_features", """SELECT sample_id, node_id, list_transform(sig || list_transform(rel_deg, lambda v: 2e-1 * v) || list_transform(['Landmark', 'Node', 'Path', 'Edge', 'District'], lambda t: CASE WHEN t = type THEN 2e-1 ELSE 0e0 END)
-    || list_transform(CASE layer WHEN 0 THEN [0e0, 0e0, 0e0, 0e0] WHEN 1 THEN [1e0, 0e0, 0e0, 0e0] ELSE [4 * pi() * w * h / pow(2 * (w + h), 2), 1e0, 1e0, pi() / 2 / (pi() + 1e-6)] END, lambda v: 3e-1 * v), lambda v: round(v, 5) + 0e0) AS x
-    FROM nodes JOIN vector USING (sample_id, node_id) JOIN reldeg USING (sample_id, node_id)""", "vector")
+_X = """sig || list_transform(rel_deg, lambda v: 2e-1 * v) || list_transform(['Landmark', 'Node', 'Path', 'Edge', 'District'], lambda t: CASE WHEN t = type THEN 2e-1 ELSE 0e0 END)
+    || list_transform(CASE layer WHEN 0 THEN [0e0, 0e0, 0e0, 0e0] WHEN 1 THEN [1e0, 0e0, 0e0, 0e0] ELSE [4 * pi() * w * h / pow(2 * (w + h), 2), 1e0, 1e0, pi() / 2 / (pi() + 1e-6)] END, lambda v: 3e-1 * v)"""
+_FEATURES = "nodes JOIN vector USING (sample_id, node_id) JOIN reldeg USING (sample_id, node_id)"
+
+
+@register("node_features", f"SELECT sample_id, node_id, list_transform({_X}, lambda v: round(v, 5) + 0e0) AS x FROM {_FEATURES}", "vector")
 def _(spark, d):
     return _graph(spark, d)[2].withColumn("x", _round_each("x", 5))
 
 
+_HIDDEN = 4  # one head and one layer in the query: what its SQL can spell out
+_W = E.default_weights(39, 22, _HIDDEN, 1)
+
+
+def _times(vector, matrix):
+    return "[" + ", ".join(f"list_dot_product({vector}, [{', '.join(f'{v:.17e}' for v in column)}])" for column in matrix.T.tolist()) + "]"
+
+
+_LAYER = _W["layers"][0]
+_GNN = f"""x AS (SELECT sample_id, node_id, {_X} AS x FROM {_FEATURES}),
+    start AS MATERIALIZED (SELECT sample_id, node_id, list_transform({_times('x', _W['enc'])}, lambda v: greatest(v, 0e0)) AS h FROM x),
+    ends AS MATERIALIZED (SELECT sample_id, node_id, {_times('h', _LAYER['q'])} AS q, {_times('h', _LAYER['k'])} AS k, {_times('h', _LAYER['v'])} AS v FROM start),
+    scored AS MATERIALIZED (SELECT e.sample_id, dst, b.v, list_dot_product(a.q, b.k) + list_dot_product(a.q, e) AS s FROM (SELECT sample_id, src, dst, {_times(_ATTR.split(', lambda v: round')[0].replace('list_transform([d', '[d', 1), _LAYER['e'])} AS e FROM edges) e
+        JOIN ends a ON a.sample_id = e.sample_id AND a.node_id = dst JOIN ends b ON b.sample_id = e.sample_id AND b.node_id = src),
+    softened AS (SELECT sample_id, dst AS node_id, v, exp(l - max(l) OVER (PARTITION BY sample_id, dst)) AS p FROM (SELECT *, CASE WHEN s > 0 THEN s ELSE 2e-1 * s END AS l FROM scored)),
+    got AS (SELECT sample_id, node_id, [{', '.join(f'sum(p * v[{k + 1}]) / sum(p)' for k in range(_HIDDEN))}] AS o FROM softened GROUP BY sample_id, node_id),
+    added AS (SELECT sample_id, node_id, list_transform(list_zip(h, coalesce(o, [{', '.join(['0e0'] * _HIDDEN)}])), lambda z: z[1] + z[2]) AS h FROM start LEFT JOIN got USING (sample_id, node_id)),
+    ended AS MATERIALIZED (SELECT sample_id, node_id, list_transform(h, lambda v: (v - list_avg(h)) / sqrt(list_aggregate(h, 'var_pop') + 1e-5)) AS h FROM added),
+    pooled AS (SELECT sample_id, [{', '.join(f'avg(h[{k + 1}])' for k in range(_HIDDEN))}] AS g FROM ended GROUP BY sample_id)"""
+
+
+def _embedded(spark, d):
+    _, edges, x, _, _ = _graph(spark, d)
+    return E.gnn_embed(x, written(edges, "edges"), _W, heads=1)
+
+
+@register("gnn_embed", _with(_GNN, "vector").replace("WITH RECURSIVE", "WITH") + "SELECT sample_id, node_id, list_transform(h, lambda v: round(v, 4) + 0e0) AS vec FROM ended")
+def _(spark, d):
+    return _embedded(spark, d)[0].withColumn("vec", _round_each("vec", 4))
+
+
+@register("gnn_graphs", _with(_GNN, "vector").replace("WITH RECURSIVE", "WITH") + f"SELECT sample_id, list_transform({_times('z', _W['out2'])}, lambda v: round(v, 4) + 0e0) AS vec FROM (SELECT sample_id, list_transform({_times('g', _W['out1'])}, lambda v: greatest(v, 0e0)) AS z FROM pooled)")
+def _(spark, d):
+    return _embedded(spark, d)[1].withColumn("vec", _round_each("vec", 4))
+
+
 @register("hyper_edges")
 def _(spark, d):
     n = views.nodes(spark, d)
@@ -395,10 +474,31 @@ def _(spark, d):
     return _rounded(M.cosine_pairs(pool.where("sample_id % 2 = 0"), pool.where("sample_id % 2 = 1"), rescale=True), "sim", digits=5)
 
 
-@register("sample_assignment")
+@register("sample_assignment", _POOL + """, c AS (SELECT a.s AS a, b.s AS b, (list_cosine_similarity(a.vec, b.vec) + 1) / 2 AS sim FROM pool a, pool b WHERE a.s % 2 = 0 AND b.s % 2 = 1),
+    p AS (SELECT x.a AS a0, x.b AS b0, y.a AS a1, y.b AS b1, z.a AS a2, z.b AS b2, u.a AS a3, u.b AS b3, v.a AS a4, v.b AS b4, x.sim + y.sim + z.sim + u.sim + v.sim AS total FROM c x, c y, c z, c u, c v
+      WHERE x.a = 0 AND y.a = 2 AND z.a = 4 AND u.a = 6 AND v.a = 8 AND len(list_distinct([x.b, y.b, z.b, u.b, v.b])) = 5), best AS (SELECT * FROM p ORDER BY total DESC LIMIT 1)
+    SELECT c.a, c.b, 'A' AS group_a, 'B' AS group_b, round(sim, 5) AS sim FROM best, c WHERE (c.a, c.b) IN ((a0, b0), (a1, b1), (a2, b2), (a3, b3), (a4, b4))""")
 def _(spark, d):
     sims = _sims(spark, d)
-    return M.sample_assignment(sims.withColumns({"group_a": F.lit("A"), "group_b": F.lit("B")}))
+    return _rounded(N.sample_assignment(sims.withColumns({"group_a": F.lit("A"), "group_b": F.lit("B")})), "sim", digits=5)
+
+
+_HOPS = 30
+
+
+@register("shortest_path_costs", "WITH RECURSIVE " + ", ".join(f"{k} AS MATERIALIZED ({CTES[k]})" for k in _NAMES[:_NAMES.index("ssg") + 1]) + f""",
+    line AS MATERIALIZED (SELECT e.sample_id, i AS a, j AS b, sqrt((x.xn-y.xn)*(x.xn-y.xn)+(x.yn-y.yn)*(x.yn-y.yn)) + 1e-6 AS l FROM (SELECT sample_id, i, j FROM ssg UNION SELECT sample_id, j, i FROM ssg) e
+        JOIN nn x ON x.sample_id = e.sample_id AND x.node_id = i JOIN nn y ON y.sample_id = e.sample_id AND y.node_id = j),
+    walk(sample_id, i, j, hop, d) AS (SELECT sample_id, node_id, node_id, 0, 0e0 FROM nodes
+        UNION ALL SELECT sample_id, i, j, hop, min(d) FROM (SELECT sample_id, i, j, hop + 1 AS hop, d FROM walk WHERE hop < {_HOPS} UNION ALL SELECT w.sample_id, w.i, l.b, w.hop + 1, w.d + l.l FROM walk w JOIN line l ON l.sample_id = w.sample_id AND l.a = w.j WHERE hop < {_HOPS}) GROUP BY sample_id, i, j, hop),
+    far AS (SELECT sample_id, i, j, d FROM walk WHERE hop = {_HOPS}),
+    middle AS (SELECT sample_id, median(d) AS m FROM far WHERE d > 0 GROUP BY sample_id)
+    SELECT a.sample_id, a.node_id AS i, b.node_id AS j, round(coalesce(d, 0) / m, 4) AS cost FROM nodes a JOIN nodes b USING (sample_id) JOIN middle USING (sample_id) LEFT JOIN far f ON f.sample_id = a.sample_id AND f.i = a.node_id AND f.j = b.node_id""")
+def _(spark, d):
+    n, near = _normal(spark, d)
+    edges = S.edge_attributes(n.select("sample_id", "node_id", "x", "y", "dir", "scale"), S.both_ways(S.ssg_edges(n, near=near)))
+    strong = edges.select("sample_id", "src", "dst", (1 / F.col("d")).alias("w"))
+    return _rounded(O.shortest_path_costs(strong, n), "cost", digits=4)
 
 
 @register("dedupe_records", """SELECT sample, path FROM (SELECT user_id AS sample, event_type || '/' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS path FROM events) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY path DESC) = 1""")

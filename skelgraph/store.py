@@ -22,8 +22,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "skelgraph", uuid.uuid4().hex, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back, so that later plans do not compute it again."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, by=None):
+    """Write once to the shared folder and read back, so that later plans do not compute it again.
+
+    With `by`, as a table bucketed and sorted by these columns, that joins on them do not shuffle: (table, its name for `dropped`).
+    """
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    label = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(label)
+    return spark.table(label), label
+
+
+def dropped(spark: SparkSession, label: str):
+    """Take a bucketed table's name from the catalog; its files stay."""
+    spark.sql(f"DROP TABLE {label}")

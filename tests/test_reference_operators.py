@@ -73,17 +73,6 @@ def test_names(spark):
     assert {x.j for x in relations.match_by_name(n, n).collect()} == {1}
 
 
-def test_assignment_brute_force():
-    rnd = np.random.default_rng(3)
-    for _ in range(150):
-        n, m = rnd.integers(1, 6, 2)
-        cost = rnd.integers(0, 6, (n, m)).astype(float)
-        r, c = compare.assignment(cost)
-        tall = cost if n <= m else cost.T
-        best = min(sum(tall[i, p] for i, p in enumerate(perm)) for perm in itertools.permutations(range(tall.shape[1]), tall.shape[0]))
-        assert len(set(r)) == len(set(c)) == min(n, m) and cost[r, c].sum() == pytest.approx(best)
-
-
 def test_sectors_at_exact_ties_and_of_a_self_relation(spark):
     """A bin holds its lower edge; an edge of no length points along the zero direction's negative."""
     rows = [(0, 0, 3.0, 3.0, None), (0, 1, 5.0, 3.0, None), (0, 2, 5.0, 5.0, None), (0, 3, 3.0, 5.0, None), (0, 4, 1.0, 5.0, None), (0, 5, 1.0, 3.0, None), (0, 6, 1.0, 1.0, None),
