@@ -12,14 +12,14 @@ def exact_median(rows: DataFrame, by, value: str, name: str, few=FEW, bins=BINS)
     """(by, name): the median of `value` in each group, the mean of the middle two of an even number; nulls do not count.
 
     Groups of at most `few` values go to the built-in aggregate. In larger ones the two middle places are sought by counting:
-    a pass counts the values of the range in question in BINS equal parts, and the parts that hold
-    the middle places become the next range, until it holds at most `few` values or only one. So a group's state is BINS
-    counts, however large it is.
+    a pass counts the values of the range in question in BINS equal parts, and the part that holds
+    the middle places becomes the next range, until it holds at most `few` values or only one; if two parts hold them, they are the greatest value
+    of one and the least of the other. So a group's state is BINS counts, however large it is.
     """
     by = list(by)
     rows = rows.where(F.col(value).isNotNull()).select(*by, value)
     large = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).where(F.col("_n") > few)
-    large = written(large.withColumns({"_skip": F.lit(0).cast("long"), "_size": F.col("_n")}), "ranges")
+    large = written(large.withColumns({"_skip": F.lit(0).cast("long"), "_size": F.col("_n"), "_two": F.lit(False)}), "ranges")
     small = rows.groupBy(*by).agg(F.median(value).alias(name))
     if large.isEmpty():
         return small
@@ -27,7 +27,7 @@ def exact_median(rows: DataFrame, by, value: str, name: str, few=FEW, bins=BINS)
     small = rows.join(large, met(rows, large), "left_anti").groupBy(*by).agg(F.median(value).alias(name))
     found = []
     while True:
-        over = (F.col("_size") <= few) | (F.col("_lo") == F.col("_hi"))
+        over = F.col("_two") | (F.col("_size") <= few) | (F.col("_lo") == F.col("_hi"))
         found.append(large.where(over))
         large = large.where(~over)
         if large.isEmpty():
@@ -39,12 +39,14 @@ def exact_median(rows: DataFrame, by, value: str, name: str, few=FEW, bins=BINS)
         counts = counts.withColumn("_to", F.col("_skip") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_part")))
         first, last = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
         held = counts.where((F.col("_to") > first) & (F.col("_to") - F.col("_c") <= last))
-        large = written(held.groupBy(*by, "_n").agg(F.min("_a").alias("_lo"), F.max("_z").alias("_hi"), F.min(F.col("_to") - F.col("_c")).alias("_skip"), F.sum("_c").alias("_size")), "ranges")
+        two = F.count("*") > 1
+        large = written(held.groupBy(*by, "_n").agg(F.when(two, F.min("_z")).otherwise(F.min("_a")).alias("_lo"), F.when(two, F.max("_a")).otherwise(F.max("_z")).alias("_hi"),
+                                                    F.min(F.col("_to") - F.col("_c")).alias("_skip"), F.sum("_c").alias("_size"), two.alias("_two")), "ranges")
     ends = found[0]
     for more in found[1:]:
         ends = ends.unionByName(more)
-    one = ends.where("_lo = _hi").select(*by, F.col("_lo").alias(name))
-    state = ends.where("_lo < _hi").select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "_n", "_lo", "_hi", "_skip")
+    one = ends.where("_two OR _lo = _hi").select(*by, (F.col("_lo") / 2 + F.col("_hi") / 2).alias(name))
+    state = ends.where("NOT _two AND _lo < _hi").select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "_n", "_lo", "_hi", "_skip")
     rest = rows.join(state, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     rest = rest.groupBy(*by, "_n", "_skip").agg(F.sort_array(F.collect_list(value)).alias("_v"))
     at = lambda k: F.col("_v")[(F.floor(k) - F.col("_skip")).cast("int")]
