@@ -1,16 +1,18 @@
 """Main-text extraction from HTML by two-pass block rules.
 
 Pass 1 classes each block by length, stop-word density and link density: long blocks
-of many stop words and few links are good, long ones of few stop words and blocks of
-links are bad, the rest is open. Pass 2 gives open blocks the label of the nearest
-decided neighbours. Blocks in containers that name themselves menu, header, footer,
-sidebar, notice, advert, form or comments are never asked. `article` and `main` are
-hints: they hold the page's text only if they hold most of its good text, and in them
-links and few stop words leave a block open, and open blocks between two labels are kept. Density is waived
+of many stop words and few links are good; long ones of few stop words, blocks of links and runs of
+MENU or more short links are bad; the rest is open. Pass 2 gives open blocks the label of the nearest
+decided neighbours; a block outside articles that is bad for its own words or links alone is text after all
+if it stands between good blocks, or, without a link itself, beside one at an end of the page with no link between. Blocks in containers that name themselves menu, header, footer,
+sidebar, notice, advert, form or comments, by tag, role or a whole class name, are never asked, but a container
+that holds most of the page's long blocks is not taken at its name (comments are). `article` and `main` are
+evidence: they hold the page's text if they hold most of its good text, and in them single
+links and few stop words leave a block open. Density is waived
 where the stop words do not know the language: pages that do not declare one of theirs
 (`LANGUAGES`) and hold few of them, or have no good block at all. Null or empty html gives ''. Every kept block is
 whole, and blocks are joined by one line feed; time is in proportion to the page. Rows
-may repeat or tie; `text` and `n_chars` replace columns of these names, others stay.
+may repeat or tie; an empty table gives no rows; `text` and `n_chars` replace columns of these names, others stay.
 """
 import html
 import re
@@ -29,14 +31,17 @@ der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch
 el los las y una por con no su para se del al como más o lo pero sus le ya fue este ha si sin sobre
 """.split())
 LANGUAGES = ("en", "fr", "de", "es")
-LONG, HIGH, LOW, LINKS, KNOWN = 70, 0.25, 0.1, 0.33, 0.05
+LONG, HIGH, LOW, LINKS, KNOWN, MENU, SEVERAL = 70, 0.25, 0.1, 0.33, 0.05, 3, 3
 _SKIP = "script style noscript template svg iframe object textarea select head".split()
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 _HOLDS = _BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 _BAD = frozenset("nav footer aside form button menu dialog".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|masthead|menu|modal|nav\w*|"
-                    r"newsletter|notices?|popup|promo\w*|related(?!-work)|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+_NAME = (r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|masthead|menu|modal|nav\w*|"
+         r"newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)")
+_SIDE = r"(?:site|page|global|top|bottom|left|right|main|primary|secondary|post|entry|user|reader)"
+_PLACE = r"(?:area|bar|block|box|buttons?|container|icons?|inner|items?|links?|list|section|wrap|wrapper|form|thread|posts?|\d+)"
+_NAMES = re.compile(rf"(?:{_SIDE}[-_])*{_NAME}(?:[-_](?:{_NAME}|{_PLACE}))*", re.I)  # of a whole class name or id
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^<>]*>"
                     % "|".join(_SKIP), re.S | re.I)
@@ -45,28 +50,45 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _pinned(tag, attrs, inside):
-    """Does this container name itself boilerplate?"""
+    """How a container names itself boilerplate: 2 by its tag, role or as comments, 1 by another name, 0 not."""
     if tag in _BAD or (tag == "header" and not inside):
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        if name.lower() == "role" and value.lower() in _ROLES or name.lower() in ("class", "id") and _NAMES.search(value):
-            return True
-    return False
+        value, name = a or b or c, name.lower()
+        if name == "role" and value.lower() in _ROLES:
+            return 2
+        for token in value.split() if name in ("class", "id") else ():
+            if _NAMES.fullmatch(token):
+                found = max(found, 2 if "comment" in token.lower() else 1)
+    return found
+
+
+def _unpinned(out, named):
+    """The containers pinned by name that hold most of the page's long blocks without links, and SEVERAL of them: they are not what their name says."""
+    total, held, count = 0, dict.fromkeys(named, 0), dict.fromkeys(named, 0)
+    for text, links, pins, _ in out:
+        if len(text) >= LONG and links <= LINKS * len(text) and 0 not in pins:
+            total += len(text)
+            for k in pins:
+                held[k] += len(text)
+                count[k] += 1
+    return {k for k, n in held.items() if 2 * n > total and count[k] >= SEVERAL}
 
 
 def blocks(page: str):
     """(declared language, [(text, link characters, pinned as boilerplate, inside an article)]) in page order."""
     out, parts, links, lang = [], [], 0, ""
-    stack, anchor, at = [], 0, 0  # stack: (tag, pinned, inside)
+    stack, anchor, at = [], 0, 0  # stack: (tag, pins, inside); a pin is 0 or the number of a container pinned by name
+    named = []
 
     def close():
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, links, *(stack[-1][1:] if stack else (False, False))))
+            out.append((text, links, *(stack[-1][1:] if stack else ((), False))))
         parts, links = [], 0
 
     def add(raw):
@@ -99,14 +121,34 @@ def blocks(page: str):
                             del stack[k:]
                             break
                 elif not m.group(4).endswith("/"):
-                    _, bad, inside = stack[-1] if stack else ("", False, False)
-                    bad = bad or _pinned(tag, m.group(4), inside)
-                    stack.append((tag, bad, inside or (tag in ("article", "main") and not bad)))
+                    _, pins, inside = stack[-1] if stack else ("", (), False)
+                    how = 0 if 0 in pins else _pinned(tag, m.group(4), inside)
+                    if how == 2:
+                        pins = (0,)
+                    elif how:
+                        named.append(len(named) + 1)
+                        pins = (*pins, named[-1])
+                    stack.append((tag, pins, inside or tag in ("article", "main")))
         elif tag in ("button", "label", "option") and not m.group(2):
             parts.append(" ")
     add(page[at:])
     close()
-    return lang[:2].lower(), out
+    free = _unpinned(out, named) if named else set()
+    return lang[:2].lower(), [(text, links, any(k not in free for k in pins), inside) for text, links, pins, inside in out]
+
+
+def _link_runs(found):
+    """Which blocks stand in a run of MENU or more short blocks that are hardly more than links: a menu, wherever it stands."""
+    out, run = [False] * len(found), []
+    for k, (text, links, *_) in enumerate([*found, ("", 0, False, False)]):
+        if links > 0.9 * len(text) and len(text) < LONG:
+            run.append(k)
+            continue
+        if len(run) >= MENU:
+            for r in run:
+                out[r] = True
+        run = []
+    return out
 
 
 def first_pass(lang, found, stop_words=STOP_WORDS):
@@ -118,9 +160,9 @@ def first_pass(lang, found, stop_words=STOP_WORDS):
     asked = [c for c, b in zip(counts, found) if not b[2]]
     known = lang in LANGUAGES or sum(c[0] for c in asked) >= KNOWN * sum(c[1] for c in asked)
     labels = []
-    for (stops, n), (text, links, bad, inside) in zip(counts, found):
+    for (stops, n), (text, links, bad, inside), menu in zip(counts, found, _link_runs(found)):
         density = stops / n if n else 0.0
-        if bad:
+        if bad or menu:
             labels.append(False)
         elif links > LINKS * len(text):
             labels.append(None if inside else False)
@@ -140,24 +182,44 @@ def second_pass(found, labels):
     good = [sum(len(b[0]) for b, x in zip(found, labels) if x and b[3] == side) for side in (False, True)]
     holds = good[1] > 0 and good[1] >= good[0]  # the article holds most of the good text, so what is outside is not text
     scope = [k for k, b in enumerate(found) if not b[2] and (b[3] or not holds)]
-    before, after, last = {}, {}, None
-    for k in scope:
-        before[k] = last
-        last = k if labels[k] is not None else last
-    last = None
-    for k in reversed(scope):
-        after[k] = last
-        last = k if labels[k] is not None else last
+    menu = _link_runs(found)
+
+    def weak(k):  # called bad for its own stop words or links only: what stands between good blocks is text
+        return labels[k] is None or labels[k] is False and not menu[k] and not found[k][3]
+
+    def nearest(order, counts):
+        seen, last = {}, None
+        for k in order:
+            seen[k] = last
+            last = k if counts(k) else last
+        return seen
+
+    def decided(k):
+        return labels[k] is not None
+
+    before, after = nearest(scope, decided), nearest(scope[::-1], decided)
+    def linked(k):
+        return found[k][1] > LINKS * len(found[k][0])
+
+    firm = [nearest(order, lambda k: not weak(k)) for order in (scope, scope[::-1])]
+    firm_or_linked = [nearest(order, lambda k: not weak(k) or linked(k)) for order in (scope, scope[::-1])]
     out = [False] * len(found)
     for k in scope:
         b, a = before[k], after[k]
         near = [x for x in (b, a) if x is not None]
-        if labels[k] is not None:
-            out[k] = labels[k]
-        elif len(near) == 2 and labels[b] != labels[a]:
-            out[k] = labels[b if k - b < a - k else a] if k - b != a - k and not found[k][3] else True
+        if labels[k] is None:
+            if len(near) == 2 and labels[b] != labels[a]:
+                out[k] = labels[b if k - b < a - k else a] if k - b != a - k else True
+            else:
+                out[k] = labels[near[0]] if near else True
         else:
-            out[k] = labels[near[0]] if near else True
+            out[k] = labels[k]
+        if not out[k] and weak(k):
+            sides = [side[k] for side in firm]
+            out[k] = None not in sides and all(labels[x] for x in sides)
+            if not out[k] and not found[k][1]:
+                sides = [side[k] for side in firm_or_linked if side[k] is not None]
+                out[k] = len(sides) > 0 and all(labels[x] for x in sides)
     return out
 
 
