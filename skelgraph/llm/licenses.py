@@ -79,7 +79,9 @@ def _score(own, need, df, top, share):
     # in order, a place is named often enough if it comes again votes - 1 entries later; its first entry stands for it
     runs = F.transform(F.array(named), lambda a: F.filter(a, lambda x, k: (F.get(a, k + (votes - 1)) == x) & ((k == 0) | (F.get(a, k - 1) != x))))
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(own)])
-    spans = F.filter(F.flatten(runs), lambda a: F.exists(_places(" ".join(need)), lambda p: (p >= a) & (p <= a + (len(own) - len(need)))))
+    # the starts whose span holds the phrase, from its places: work grows with the hits, not with places times phrases
+    around = F.array_distinct(F.flatten(F.transform(_places(" ".join(need)), lambda p: F.sequence(p - (len(own) - len(need)), p))))
+    spans = F.array_intersect(F.flatten(runs), around)
     stand = F.transform(spans, lambda a: F.size(F.filter(pairs, lambda p: (a + p["i"] >= 0) & (F.get("_w", a + p["i"]) == p["w"]))))
     best = F.array_max(F.filter(stand, lambda n: n >= least)) / F.lit(len(own))
     there = F.size(F.array_intersect(F.col("_p"), _strings(sorted(set(need))))) == len(set(need))
