@@ -84,10 +84,12 @@ def along(ring: Column, share: float) -> Column:
 
 
 def line_direction(geom: Column) -> Column:
-    """Angle from the point at 25% to the one at 75% of the length; null unless a line."""
+    """Angle from the point at 25% to the one at 75% of the length; null unless a line. A line of two points is not walked along."""
     ring = geom["parts"][0]
+    a, b = F.get(ring, F.lit(0)), F.get(ring, F.lit(1))
     turn = let(along(ring, 0.25), lambda a: let(along(ring, 0.75), lambda b: F.atan2(b["y"] - a["y"], b["x"] - a["x"])))
-    return F.when(geom["kind"] == "LineString", turn)
+    plain = F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+    return F.when(geom["kind"] == "LineString", F.when(F.size(ring) == 2, plain).otherwise(turn))
 
 
 def segment_distance(px: Column, py: Column, s: Column) -> Column:
@@ -175,9 +177,12 @@ def representative_point(geom: Column) -> Column:
     """Point: itself; line: at half length; polygon: middle of the widest inner span
     of the scanline half way between the vertex heights nearest the box's centre; else
     the centroid, null for empty geometry."""
-    first = geom["parts"][0][0]
-    return (F.when(geom["kind"] == "Point", F.struct(first["x"].alias("x"), first["y"].alias("y")))
-            .when(geom["kind"] == "LineString", along(geom["parts"][0], 0.5))
+    ring = geom["parts"][0]
+    a, b = F.get(ring, F.lit(0)), F.get(ring, F.lit(1))
+    middle = F.struct((a["x"] + 0.5 * (b["x"] - a["x"])).alias("x"), (a["y"] + 0.5 * (b["y"] - a["y"])).alias("y"))
+    return (F.when(geom["kind"] == "Point", F.struct(a["x"].alias("x"), a["y"].alias("y")))
+            .when((geom["kind"] == "LineString") & (F.size(ring) == 2), middle)
+            .when(geom["kind"] == "LineString", along(ring, 0.5))
             .otherwise(F.coalesce(F.when(geom["kind"] == "Polygon", _inner_point(geom)), centroid(geom))))
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import radial_gate, relative_angle, sector
 from ..store import written
+from .median import exact_median
+from .numbering import numbered
 
 
 def assign_node_ids(features: DataFrame) -> DataFrame:
-    order = Window.partitionBy("sample_id").orderBy("layer", "feature_seq")
-    return features.withColumn("node_id", (F.row_number().over(order) - 1).cast("int"))
+    """Adds node_id, by layer and place; no task holds a whole map."""
+    return numbered(features, "node_id", ["sample_id"], ["layer", "feature_seq"]).withColumn("node_id", F.col("node_id").cast("int"))
 
 
 def filter_layers(nodes: DataFrame, layer: str) -> DataFrame:
@@ -65,17 +67,18 @@ def _ranked(near: DataFrame) -> DataFrame:
 
 
 def global_median(near: DataFrame) -> DataFrame:
-    return _ranked(near).groupBy("sample_id").agg(F.median("d").alias("g"))
+    return exact_median(_ranked(near), ["sample_id"], "d", "g")
 
 
 def local_median(near: DataFrame) -> DataFrame:
+    """Of the few neighbours of each node."""
     return _ranked(near).groupBy("sample_id", "i").agg(F.median("d").alias("l"))
 
 
 def normalize_coords(nodes: DataFrame, near: DataFrame) -> DataFrame:
     """Adds xn, yn, cx, cy, scale: centred by the mean, scaled by the median near distance."""
     centre = nodes.groupBy("sample_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    scale = near.where("rk <= 4").groupBy("sample_id").agg(F.median("d").alias("m"))
+    scale = exact_median(near.where("rk <= 4"), ["sample_id"], "d", "m")
     s = F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
     stats = centre.join(scale, "sample_id", "left").select("sample_id", "cx", "cy", s.alias("scale"))
     return nodes.join(stats, "sample_id").withColumns({"xn": (F.col("x") - F.col("cx")) / F.col("scale"), "yn": (F.col("y") - F.col("cy")) / F.col("scale")})

@@ -167,7 +167,7 @@ def _(spark, d):
 
 @register("global_median", "SELECT sample_id, round(g, 6) AS g FROM gm", "gm")
 def _(spark, d):
-    return _rounded(S.global_median(S.knn(views.nodes(spark, d))), "g")
+    return _rounded(S.global_median(_normal(spark, d)[1]), "g")
 
 
 @register("local_median", "SELECT sample_id, i, round(l, 6) AS l FROM lm", "lm")
@@ -177,8 +177,7 @@ def _(spark, d):
 
 @register("normalize_coords", "SELECT sample_id, node_id, round(xn, 6) AS xn, round(yn, 6) AS yn, round(scale, 6) AS scale FROM nn", "nn")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return _rounded(S.normalize_coords(n, S.knn(n)).select("sample_id", "node_id", "xn", "yn", "scale"), "xn", "yn", "scale")
+    return _rounded(_normal(spark, d)[0].select("sample_id", "node_id", "xn", "yn", "scale"), "xn", "yn", "scale")
 
 
 @register("adaptive_knn_edges", "SELECT * FROM adaptive", "adaptive")
@@ -199,9 +198,8 @@ def _(spark, d):
 
 @register("angular_signature", "SELECT sample_id, node_id, list_transform(sig, lambda v: round(v, 6)) AS sig FROM vector", "vector")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    near = S.knn(n)
-    got = S.angular_signature(S.normalize_coords(n, near), S.ssg_edges(n, near=near), near=near)
+    n, near = _normal(spark, d)
+    got = S.angular_signature(n, S.ssg_edges(n, near=near), near=near)
     return got.withColumn("sig", _round_each("sig", 6))
 
 
@@ -236,25 +234,30 @@ def _(spark, d):
     return got.select("sample_id", "src", "dst", "tag", F.round("w", 5).alias("w"), _round_each("attr", 5).alias("attr"))
 
 
+def _names(spark, d):
+    """Nodes without their geometry, for what goes by names and types."""
+    return S.assign_node_ids(views.base(spark, d).select("sample_id", "layer", F.col("event_id").alias("feature_seq"), "name", "type"))
+
+
 @register("resolve_relations", "SELECT sample_id, src, dst, rel_type FROM resolved WHERE ok", "resolved")
 def _(spark, d):
-    return R.resolve_relations(views.relations(spark, d), views.nodes(spark, d))[0]
+    return R.resolve_relations(views.relations(spark, d), _names(spark, d))[0]
 
 
 @register("unresolved_relations", "SELECT sample_id, src_name, dst_name, rel_type FROM resolved WHERE NOT ok", "resolved")
 def _(spark, d):
-    return R.resolve_relations(views.relations(spark, d), views.nodes(spark, d))[1]
+    return R.resolve_relations(views.relations(spark, d), _names(spark, d))[1]
 
 
 @register("relation_degree", "SELECT sample_id, node_id, list_transform(rel_deg, lambda v: round(v, 6)) AS rel_deg FROM reldeg", "reldeg")
 def _(spark, d):
-    n = views.nodes(spark, d)
+    n = _names(spark, d)
     return R.relation_degree(R.resolve_relations(views.relations(spark, d), n)[0], n).withColumn("rel_deg", _round_each("rel_deg", 6))
 
 
 @register("match_by_name", "SELECT * FROM matches", "matches")
 def _(spark, d):
-    n = views.nodes(spark, d)
+    n = _names(spark, d)
     return R.match_by_name(n, _real(n))
 
 
@@ -299,7 +302,7 @@ def _(spark, d):
 @register("fidelity", _with(_optimum("SELECT sample_id AS sample_a, (SELECT min(sample_id) FROM base) AS sample_b FROM (SELECT DISTINCT sample_id FROM base)"), "typed") + """SELECT s.sample_id AS sample_a, round(coalesce(t, 0), 6) AS type, round(coalesce(p, 0), 6) AS topo, round(1 - cost / n, 5) AS struct, round(6e-1 * (1 - cost / n) + 1e-1 * coalesce(t, 0) + 3e-1 * coalesce(p, 0), 5) AS fidelity
     FROM best JOIN (SELECT DISTINCT sample_id FROM nodes) s ON best.sample_a = s.sample_id LEFT JOIN (SELECT sample_a, avg(CAST(ta = tb AS DOUBLE)) AS t, avg(CAST(ca = cb AS DOUBLE)) AS p FROM typed GROUP BY sample_a) x ON x.sample_a = s.sample_id""")
 def _(spark, d):
-    n, h = views.nodes(spark, d), _angles(spark, d)
+    n, h = _names(spark, d), _angles(spark, d)
     got = accuracy.accuracy(n, _real(n), h, _real(h)).select("sample_a", "type", "topo", "struct", "fidelity")
     return _rounded(_rounded(got, "type", "topo"), "struct", "fidelity", digits=5)
 
@@ -308,22 +311,20 @@ def _(spark, d):
     JOIN (SELECT sample_id AS sample_a, CASE layer WHEN 0 THEN 'pt' WHEN 1 THEN 'ln' ELSE 'pg' END AS ca, count(*) AS a FROM nodes GROUP BY ALL) USING (sample_a, ca)
     JOIN (SELECT CASE layer WHEN 0 THEN 'pt' WHEN 1 THEN 'ln' ELSE 'pg' END AS ca, count(*) AS b FROM realmap GROUP BY ALL) USING (ca)""", "typed")
 def _(spark, d):
-    n = views.nodes(spark, d)
+    n = _names(spark, d)
     r = _real(n)
     return _rounded(R.per_class_scores(n, r, R.match_by_name(n, r)), "score")
 
 
 @register("soft_topology_edges", "SELECT sample_id, src, dst, tag, round(w, 6) AS w FROM soft", "soft")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return _rounded(T.soft_topology_edges(S.normalize_coords(n, S.knn(n))), "w")
+    return _rounded(T.soft_topology_edges(_normal(spark, d)[0]), "w")
 
 
 @register("hard_topology_edges", """SELECT sample_id, src, dst, CASE WHEN d < 0.5 THEN 'TOPO_in_district' ELSE 'TOPO_touches_boundary' END AS tag, 1e0 AS w FROM polyd WHERE d <= 1
     UNION ALL SELECT sample_id, src, dst, 'TOPO_on_line', 1e0 FROM lined WHERE d < 0.5 UNION ALL SELECT sample_id, src, dst, 'TOPO_near_endpoint', 1e0 FROM lined WHERE least(d0, d1) <= 0.5""", "polyd")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return T.hard_topology_edges(S.normalize_coords(n, S.knn(n)))
+    return T.hard_topology_edges(_normal(spark, d)[0])
 
 
 def _graph(spark, d):
@@ -385,8 +386,7 @@ def _(spark, d):
 
 @register("hyper_edges")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return T.hyper_edges(S.normalize_coords(n, S.knn(n)))
+    return T.hyper_edges(_normal(spark, d)[0])
 
 
 @register("knn_grid", "SELECT sample_id, i, j, rk, round(d, 6) AS d FROM knn", "knn")
@@ -396,8 +396,7 @@ def _(spark, d):
 
 @register("soft_topology_cells", "SELECT sample_id, src, dst, tag, round(w, 6) AS w FROM soft", "soft")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    return _rounded(T.soft_topology_edges(S.normalize_coords(n, S.knn(n)), method="cells"), "w")
+    return _rounded(T.soft_topology_edges(_normal(spark, d)[0], method="cells"), "w")
 
 
 _BENT = """SELECT event_id, list_transform(CASE WHEN layer = 1 THEN [sqrt(w*w+h*h)/(w+h), 1 - sqrt(w*w+h*h)/(w+h), 0e0, 0e0]
@@ -612,8 +611,7 @@ def _(spark, d):
 
 @register("write_reports", "SELECT sample_id, round(scale, 5) AS scale FROM (SELECT DISTINCT sample_id, scale FROM nn)", "nn")
 def _(spark, d):
-    n = views.nodes(spark, d)
-    report, root = S.normalize_coords(n, S.knn(n)).select("sample_id", "scale").distinct(), fresh(spark, "report")
+    report, root = _normal(spark, d)[0].select("sample_id", "scale").distinct(), fresh(spark, "report")
     P.write_reports(report, root, "csv")
     return spark.read.option("header", True).schema("sample_id BIGINT, scale DOUBLE").csv(root).withColumn("scale", F.round("scale", 5))
 
