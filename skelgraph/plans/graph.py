@@ -57,15 +57,20 @@ def relation_edges(nodes_n: DataFrame, mapped: DataFrame, sectors=8, w_rel=0.5)
     return _attributed(nodes_n, tagged, w_rel, sectors)
 
 
+def hyper_edges(nodes_n: DataFrame, sectors=8, scale=0.6) -> DataFrame:
+    """Optional edges between districts, lines and points close by, with attributes; their tags fall in slot 0, times `scale`."""
+    return _attributed(nodes_n, T.hyper_edges(nodes_n), scale, sectors)
+
+
 def all_edges(nodes_n: DataFrame, ssg: DataFrame, topo: DataFrame, mapped: DataFrame, sectors=8, w_rel=0.5, w_topo=0.7) -> DataFrame:
     """SSG, topology and relation edges with attributes, repeats kept."""
     return skeleton_edges(nodes_n, ssg, sectors).unionByName(topology_edges(nodes_n, topo, sectors, w_topo)).unionByName(relation_edges(nodes_n, mapped, sectors, w_rel))
 
 
-def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5, use_relations=True, topo_tol=0.5, mode="soft", large=False):
+def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5, use_relations=True, topo_tol=0.5, mode="soft", large=False, hyper=False):
     """(nodes_n, edges, node_features, mapped, unresolved) of every sample, from features with geometry.
 
-    Nodes, neighbours and the skeleton are written once and read by all that follows; `large` is for maps of many thousand nodes.
+    Nodes, neighbours and the skeleton are written once and read by all that follows; `large` is for maps of many thousand nodes; `hyper` adds the hyper edges.
     """
     nodes = written(nodes_of(features), "nodes")
     near = written(S.knn_grid(nodes, k) if large else S.knn(nodes, k), "neighbours")
@@ -74,7 +79,8 @@ def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5
     if relations is None:
         relations = features.sparkSession.createDataFrame([], "src_name string, dst_name string, rel_type string").join(features.select("sample_id").limit(0))
     mapped, unresolved = R.resolve_relations(relations, nodes)
-    topo = (T.soft_topology_edges if mode == "soft" else T.hard_topology_edges)(nodes_n, topo_tol, method="cells" if large else "join")
+    topo = (T.soft_topology_edges if mode == "soft" else T.hard_topology_edges)(nodes_n, topo_tol)
     degree = R.relation_degree(mapped, nodes) if use_relations else None
     x = node_features(S.angular_signature(nodes_n, ssg, sectors, near=near), nodes, degree)
-    return nodes_n, all_edges(nodes_n, ssg, topo, mapped if use_relations else mapped.limit(0), sectors), x, mapped, unresolved
+    edges = all_edges(nodes_n, ssg, topo, mapped if use_relations else mapped.limit(0), sectors)
+    return nodes_n, edges.unionByName(hyper_edges(nodes_n, sectors)) if hyper else edges, x, mapped, unresolved

@@ -384,9 +384,24 @@ def _(spark, d):
     return _embedded(spark, d)[1].withColumn("vec", _round_each("vec", 4))
 
 
-@register("hyper_edges")
-def _(spark, d):
-    return T.hyper_edges(_normal(spark, d)[0])
+_HYPER = f""", kind AS (SELECT sample_id, node_id, type FROM nodes),
+    cut AS (SELECT l.sample_id, d.dst AS district, l.dst AS line, least((d.gx+d.gw-l.gx)/l.gw, (d.gy+d.gh-l.gy)/l.gh, 1) >= greatest((d.gx-l.gx)/l.gw, (d.gy-l.gy)/l.gh, 0) AS meets,
+        l.gx+l.gw/2 BETWEEN d.gx AND d.gx+d.gw AND l.gy+l.gh/2 BETWEEN d.gy AND d.gy+d.gh AS holds,
+        list_min(list_transform([[l.gx, l.gy], [l.gx+l.gw, l.gy+l.gh]], lambda p: sqrt(pow(greatest(d.gx-p[1], p[1]-d.gx-d.gw, 0), 2) + pow(greatest(d.gy-p[2], p[2]-d.gy-d.gh, 0), 2)))
+          || list_transform([[d.gx, d.gy], [d.gx+d.gw, d.gy], [d.gx, d.gy+d.gh], [d.gx+d.gw, d.gy+d.gh]], lambda p: sqrt(pow(p[1]-l.gx-least(greatest(((p[1]-l.gx)*l.gw+(p[2]-l.gy)*l.gh)/(l.gw*l.gw+l.gh*l.gh), 0), 1)*l.gw, 2)
+            + pow(p[2]-l.gy-least(greatest(((p[1]-l.gx)*l.gw+(p[2]-l.gy)*l.gh)/(l.gw*l.gw+l.gh*l.gh), 0), 1)*l.gh, 2)))) AS gap FROM feat l JOIN feat d ON d.sample_id = l.sample_id AND l.layer = 1 AND d.layer = 2),
+    one AS (SELECT sample_id, district AS a, line AS b, 'HYP_DISTRICT_EDGE' AS tag FROM cut JOIN kind USING (sample_id) WHERE node_id = line AND type = 'Edge' AND (meets OR gap < 1e-2)
+      UNION ALL SELECT sample_id, district, line, 'HYP_DISTRICT_PATH' FROM cut WHERE meets OR holds
+      UNION ALL SELECT l.sample_id, src, dst, 'HYP_PATH_LANDMARK' FROM lined l JOIN kind p ON p.sample_id = l.sample_id AND p.node_id = src JOIN kind q ON q.sample_id = l.sample_id AND q.node_id = dst WHERE d < 1e-1 AND p.type = 'Landmark' AND q.type = 'Path'
+      UNION ALL SELECT sample_id, src, dst, 'HYP_PATH_NODE' FROM lined WHERE d < 1e-1),
+    turned AS (SELECT *, cos(t) AS cos_t, sin(t) AS sin_t, {_SECTOR} AS sector, 1e0 AS w, 6e-1 AS part FROM (SELECT e.sample_id, src, dst, e.tag AS name, 'SSG' AS tag, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) / a.scale + 1e-6 AS d,
+        atan2(b.y-a.y, b.x-a.x) - coalesce(a.dir, 0) AS t FROM (SELECT sample_id, a AS src, b AS dst, tag FROM one UNION ALL SELECT sample_id, b, a, tag FROM one) e JOIN nn a ON a.sample_id = e.sample_id AND a.node_id = src JOIN nn b ON b.sample_id = e.sample_id AND b.node_id = dst))
+    SELECT sample_id, src, dst, name AS tag, {_ATTR} AS attr FROM turned"""
+
+
+@register("hyper_edges", _HYPER, "edges")
+def _(spark, d):
+    return graph.hyper_edges(_normal(spark, d)[0]).select("sample_id", "src", "dst", "tag", _round_each("attr", 5).alias("attr"))
 
 
 @register("knn_grid", "SELECT sample_id, i, j, rk, round(d, 6) AS d FROM knn", "knn")
