@@ -1,11 +1,10 @@
 """Neighbours, normalisation and the sector skeleton graph, per sample."""
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import radial_gate, relative_angle, sector
 from ..store import written
+from .boxes import boxed, meet
 from .median import exact_median
 from .numbering import numbered
 
@@ -23,41 +22,60 @@ def filter_layers(nodes: DataFrame, layer: str) -> DataFrame:
     return got.where(F.col("geom.kind") == shape) if shape and "geom" in nodes.columns else got
 
 
-def knn(nodes: DataFrame, k=5) -> DataFrame:
-    """The kn - 1 nearest others, kn = max(8, k + 3); distance ties go by node id."""
-    a = nodes.select("sample_id", F.col("node_id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = nodes.select("sample_id", F.col("node_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+LARGE = 4000  # nodes of a map from which `knn` looks in cells
+PER_CELL = 32
+
+
+def _nearest(pairs: DataFrame, want: int) -> DataFrame:
+    """(sample_id, i, j, d, rk) of the nearest of the pairs (sample_id, i, ax, ay, j, bx, by)."""
     d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    pairs = a.join(b, "sample_id").where("i <> j").select("sample_id", "i", "j", d.alias("d"))
     rk = F.row_number().over(Window.partitionBy("sample_id", "i").orderBy("d", "j"))
-    return pairs.withColumn("rk", rk).where(F.col("rk") <= max(8, k + 3) - 1)
+    return pairs.where("i <> j").select("sample_id", "i", "j", d.alias("d")).withColumn("rk", rk).where(F.col("rk") <= want)
+
+
+def _ends_of(nodes, *more):
+    """The nodes once as (i, ax, ay), once as (j, bx, by)."""
+    return [nodes.select("sample_id", *more, F.col("node_id").alias(k), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for k, c in (("i", "a"), ("j", "b"))]
+
+
+def knn(nodes: DataFrame, k=5, large=LARGE) -> DataFrame:
+    """The kn - 1 nearest others, kn = max(8, k + 3); distance ties go by node id.
 
+    All pairs of a map, or `knn_grid` for maps of more than `large` nodes, with the same rows.
+    """
+    want = max(8, k + 3) - 1
+    many = nodes.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("sample_id")
+    if not many.isEmpty():
+        return _plain(nodes.join(many, "sample_id", "left_anti"), want).unionByName(knn_grid(nodes.join(many, "sample_id", "left_semi"), k))
+    return _plain(nodes, want)
+
+
+def _plain(nodes, want):
+    a, b = _ends_of(nodes)
+    return _nearest(a.join(b, "sample_id"), want)
 
-def knn_grid(nodes: DataFrame, k=5, per_cell=4) -> DataFrame:
-    """`knn` for large maps: points ask the ring of cells around their own, and a wider one
-    only where the farthest neighbour found lies beyond what the ring is sure to hold."""
+
+def knn_grid(nodes: DataFrame, k=5, per_cell=PER_CELL) -> DataFrame:
+    """`knn` for large and uneven maps.
+
+    A map is cut into strips by x and the strips into cells by y, by number and not by width, so a cell has at
+    most about twice `per_cell` nodes wherever they lie. The neighbours in its own cell bound how far a
+    node has to look; the nodes in that square come from cells of the square's own size.
+    """
     want = max(8, k + 3) - 1
-    box = nodes.groupBy("sample_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"), F.count("*").alias("n"))
-    cell = F.greatest(F.col("side") / F.greatest(F.floor(F.sqrt(F.col("n") / per_cell)), F.lit(1)), F.lit(1e-9))
-    pts = nodes.select("sample_id", "node_id", "x", "y").join(box, "sample_id").withColumn("cell", cell)
-    pts = pts.withColumns({"gx": F.floor((F.col("x") - F.col("x0")) / F.col("cell")), "gy": F.floor((F.col("y") - F.col("y0")) / F.col("cell"))})
-    pts = written(pts, "points")
-    b = pts.select("sample_id", "gx", "gy", F.col("node_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    rest, ring, found = pts.withColumnRenamed("node_id", "i").where("n > 1"), 1, []
-    while ring == 1 or not rest.isEmpty():
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = rest.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
-        d = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-        near = asked.join(b, ["sample_id", "gx", "gy"]).where("i <> j").select("sample_id", "i", "j", d.alias("d"))
-        near = near.withColumn("rk", F.row_number().over(Window.partitionBy("sample_id", "i").orderBy("d", "j"))).where(F.col("rk") <= want)
-        last = near.groupBy("sample_id", "i").agg(F.max("d").alias("far"), F.count("*").alias("got"))
-        inner = [F.col("x") - F.col("x0") - (F.col("gx") - ring) * F.col("cell"), F.col("y") - F.col("y0") - (F.col("gy") - ring) * F.col("cell")]
-        sure = F.least(*inner, *[(2 * ring + 1) * F.col("cell") - v for v in inner])
-        state = rest.join(last, ["sample_id", "i"], "left").withColumn("done", F.coalesce((F.col("got") == F.col("n") - 1) | ((F.col("got") == want) & (F.col("far") < sure)), F.lit(False)))
-        state = written(state, "state")
-        found.append(near.join(state.where("done").select("sample_id", "i"), ["sample_id", "i"], "left_semi"))
-        rest, ring = state.where("NOT done").select(*rest.columns), 2 * ring + 1
-    return reduce(DataFrame.unionAll, found)
+    per_cell = max(per_cell, want + 1)
+    at = numbered(nodes.select("sample_id", "node_id", "x", "y"), "no", ["sample_id"], ["x", "y", "node_id"])
+    at = at.join(at.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id")
+    strips = F.greatest(F.floor(F.sqrt(F.col("n") / per_cell)), F.lit(1))
+    at = numbered(at.withColumn("strip", F.floor(F.col("no") * strips / F.col("n"))).drop("no"), "no", ["sample_id", "strip"], ["y", "x", "node_id"])
+    of = at.groupBy("sample_id", "strip").agg(F.greatest(F.floor(F.count("*") / per_cell), F.lit(1)).alias("cells"))
+    at = written(at.join(of, ["sample_id", "strip"]).withColumn("cell", F.least(F.floor(F.col("no") / per_cell), F.col("cells") - 1)).select("sample_id", "strip", "cell", "node_id", "x", "y"), "cells")
+    a, b = _ends_of(at, "strip", "cell")
+    far = _nearest(a.join(b, ["sample_id", "strip", "cell"]), want).groupBy("sample_id", "i").agg(F.max("d").alias("far"))
+    a, b = _ends_of(at)
+    look = boxed(a.join(far, ["sample_id", "i"]), F.array(F.col("ax") - F.col("far"), F.col("ax") + F.col("far")), F.array(F.col("ay") - F.col("far"), F.col("ay") + F.col("far")), 0.0, 1e-6)
+    look = written(look, "squares")
+    return _nearest(meet(boxed(b, F.array("bx"), F.array("by"), 0.0, 1e-6), look, 1e-6), want)
 
 
 def _ranked(near: DataFrame) -> DataFrame:

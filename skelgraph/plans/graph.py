@@ -70,10 +70,10 @@ def all_edges(nodes_n: DataFrame, ssg: DataFrame, topo: DataFrame, mapped: DataF
 def graph_build(features: DataFrame, relations: DataFrame = None, sectors=8, k=5, use_relations=True, topo_tol=0.5, mode="soft", large=False, hyper=False):
     """(nodes_n, edges, node_features, mapped, unresolved) of every sample, from features with geometry.
 
-    Nodes, neighbours and the skeleton are written once and read by all that follows; `large` is for maps of many thousand nodes; `hyper` adds the hyper edges.
+    Nodes, neighbours and the skeleton are written once and read by all that follows; with `large` every map's neighbours come from cells; `hyper` adds the hyper edges.
     """
     nodes = written(nodes_of(features), "nodes")
-    near = written(S.knn_grid(nodes, k) if large else S.knn(nodes, k), "neighbours")
+    near = written(S.knn(nodes, k, 0 if large else S.LARGE), "neighbours")
     nodes_n = written(S.normalize_coords(nodes, near), "normalized")
     ssg = written(S.ssg_edges(nodes, sectors, k, near=near), "skeleton")
     if relations is None:
