@@ -437,15 +437,20 @@ def _(spark, d):
     return _rounded(got, "rectangularity", "convexity", "turning")
 
 
-@register("line_polygon_relation", """SELECT l.sample_id, l.node_id AS line, p.node_id AS poly, round(CASE WHEN ox + oy = 0 THEN 0e0 ELSE sqrt(ox*ox + oy*oy) END, 6) AS centroid_distance, ox + oy = 0 AS contains_centroid
-    FROM (SELECT l.sample_id, l.node_id, p.node_id AS poly, greatest(p.ax - l.x, l.x - p.ax - p.w, 0) AS ox, greatest(p.ay - l.y, l.y - p.ay - p.h, 0) AS oy FROM nodes l JOIN nodes p ON l.sample_id = p.sample_id AND l.layer = 1 AND p.layer = 2) l, LATERAL (SELECT l.poly AS node_id) p""", "nodes")
+@register("line_polygon_relation", """SELECT sample_id, line, poly, round(sqrt(ox*ox + oy*oy), 6) AS centroid_distance, ox + oy = 0 AS contains_centroid, meets AS intersects, round(CASE WHEN meets THEN 0e0 ELSE gap END, 6) AS distance
+    FROM (SELECT l.sample_id, l.node_id AS line, p.node_id AS poly, greatest(p.ax - l.x, l.x - p.ax - p.w, 0) AS ox, greatest(p.ay - l.y, l.y - p.ay - p.h, 0) AS oy,
+        least((p.ax+p.w-l.ax)/l.w, (p.ay+p.h-l.ay)/l.h, 1) >= greatest((p.ax-l.ax)/l.w, (p.ay-l.ay)/l.h, 0) AS meets,
+        list_min(list_transform([[l.ax, l.ay], [l.ax+l.w, l.ay+l.h]], lambda q: sqrt(pow(greatest(p.ax-q[1], q[1]-p.ax-p.w, 0), 2) + pow(greatest(p.ay-q[2], q[2]-p.ay-p.h, 0), 2)))
+          || list_transform([[p.ax, p.ay], [p.ax+p.w, p.ay], [p.ax, p.ay+p.h], [p.ax+p.w, p.ay+p.h]], lambda q: sqrt(pow(q[1]-l.ax-least(greatest(((q[1]-l.ax)*l.w+(q[2]-l.ay)*l.h)/(l.w*l.w+l.h*l.h), 0), 1)*l.w, 2)
+            + pow(q[2]-l.ay-least(greatest(((q[1]-l.ax)*l.w+(q[2]-l.ay)*l.h)/(l.w*l.w+l.h*l.h), 0), 1)*l.h, 2)))) AS gap
+      FROM nodes l JOIN nodes p ON l.sample_id = p.sample_id AND l.layer = 1 AND p.layer = 2)""", "nodes")
 def _(spark, d):
     n = views.nodes(spark, d)
     lines = n.where("layer = 1").select("sample_id", F.col("node_id").alias("line"), F.col("geom").alias("l"))
     polys = n.where("layer = 2").select("sample_id", F.col("node_id").alias("poly"), F.col("geom").alias("p"))
     both = lines.join(polys, "sample_id").withColumns({"r": H.line_polygon_relation(F.col("l"), F.col("p")), "c": H.line_centroid(F.col("l"))})
     gap = F.round(G.point_polygon_distance(F.col("c.x"), F.col("c.y"), F.col("p")), 6)
-    return both.select("sample_id", "line", "poly", gap.alias("centroid_distance"), F.col("r.contains_centroid"))
+    return both.select("sample_id", "line", "poly", gap.alias("centroid_distance"), F.col("r.contains_centroid"), F.col("r.intersects"), F.round("r.distance", 6).alias("distance"))
 
 
 @register("relative_sector", f"""SELECT sample_id, i, j, round(cos(t), 5) + 0e0 AS cos_t, round(sin(t), 5) + 0e0 AS sin_t, {_SECTOR} % 8 AS wrap, {_SECTOR} AS clip FROM (
