@@ -3,11 +3,13 @@
 A url asks for every suffix of its host with every path prefix of a length that
 some rule has. Keys that the filter passes are joined with the rules. The longest
 rule wins (ties: by name); urls without a rule are allowed. Null urls, or such
-without `://`, have empty host and path.
+without `://`, have empty host and path. Repeated rows are judged each; an empty table gives no rows; urls are read whole.
 """
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BITS_PER_KEY = 16
 PROBES = 4
 MAX_BLOCKS = 1 << 20  # 16 MB of filter, the most that is broadcast
@@ -57,5 +59,6 @@ def judge(pages: DataFrame, rules: DataFrame, default="allow") -> DataFrame:
     asked = asked.withColumns({"block": F.pmod(F.xxhash64("key"), F.lit(blocks)), "m": _mask(F.col("key"))})
     passed = asked.join(F.broadcast(bits), "block").where(F.col("bits").bitwiseAND(F.col("m")) == F.col("m")).select("host", "path", "key")
     won = passed.join(listed, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("r"))
+    won = materialize(won, "won")  # an aggregate by the join's own key would keep the pages of a hot (host, path) in one task
     out = rows.join(won, ["host", "path"], "left")
     return out.select(*[rows[c] for c in pages.columns], "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
