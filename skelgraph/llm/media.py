@@ -4,7 +4,8 @@
 by what their headers say of format, channels and block size, and adds resampled 16-bit
 PCM. `store_text` stores texts as such media: their bytes, unchanged, are the companded
 8-bit samples or the bytes of ADPCM blocks of one frame, in the format that a checksum
-deals the payload, so that equal texts give equal values. Null text is empty and
+deals the payload, so that equal texts give equal values; `store` writes them to the shared folder
+and `digests` works on what is read back from there. Null text is empty and
 becomes one frame of padding; null, cut or foreign media give null PCM, a short last
 block or sample what it holds. Rows are worked off in slices of bounded bytes; long
 ones alone. Rows may repeat. New columns replace those of their names, others stay.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
 
-from .common import batches_of
+from .common import batches_of, materialize
 
 FRAME = 576
 RATE = 8000
@@ -186,25 +187,39 @@ def decode_media(docs: DataFrame, to_rate=16000, media_col="media") -> DataFrame
     return _mapped(docs, media_col, [("pcm", BinaryType()), ("channels", IntegerType()), ("source_rate", IntegerType())], work)
 
 
-def store_text(docs: DataFrame, to_rate=16000, digests_only=False) -> DataFrame:
-    """All columns of `docs`, with the digests of the stored `media` and its resampled `pcm`, and both unless `digests_only`."""
+def store(docs: DataFrame, keep_text=True) -> DataFrame:
+    """All columns of `docs` (`text` only if `keep_text`), with `n_bytes` of the text and its `media`: a table in the shared folder, read back."""
     def work(texts):
-        raws = [(t or "").encode() for t in texts]
-        files = []
-        for raw in raws:
+        rows = []
+        for text in texts:
+            raw = (text or "").encode()
             payload = raw + b"\xff" * (FRAME - len(raw) % FRAME if len(raw) % FRAME or not raw else 0)
             code = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
-            files.append(wav(payload, code, block=FRAME if code == IMA else None))
+            rows.append((len(raw), wav(payload, code, block=FRAME if code == IMA else None)))
+        return rows
+
+    made = _mapped(docs, "text", [("n_bytes", LongType()), ("media", BinaryType())], work)
+    return materialize(made if keep_text else made.drop("text"), "media", codec="zstd")
+
+
+def digests(stored: DataFrame, to_rate=16000, with_pcm=False) -> DataFrame:
+    """All columns of a table of `store`, with the digests of its media and of their resampled PCM, and `pcm` itself `with_pcm`."""
+    def work(files):
         rows = []
-        for raw, media, (rate, _, pcm) in zip(raws, files, decode_all(files)):
+        for media, (rate, _, pcm) in zip(files, decode_all(files)):
             code, back = (read_wav(media)[k] for k in (0, 4))
             out = resample(pcm, rate, to_rate).astype("<i2").tobytes()
             x = pcm.astype(np.float32)
             feature = f"format={code};n={len(out) // 2};sum={int(pcm.sum(dtype=np.int64))};peak={int(np.abs(x).max())};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
-            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(out), hashlib.sha256(out).hexdigest())
-            rows.append(row if digests_only else (*row, media, out))
+            row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(out), hashlib.sha256(out).hexdigest())
+            rows.append((*row, out) if with_pcm else row)
         return rows
 
     long, text = LongType(), StringType()
-    fields = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text), ("pcm_bytes", long), ("pcm_sha256", text)]
-    return _mapped(docs, "text", fields if digests_only else [*fields, ("media", BinaryType()), ("pcm", BinaryType())], work)
+    fields = [("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text), ("pcm_bytes", long), ("pcm_sha256", text)]
+    return _mapped(stored, "media", [*fields, ("pcm", BinaryType())] if with_pcm else fields, work)
+
+
+def store_text(docs: DataFrame, to_rate=16000) -> DataFrame:
+    """All columns of `docs`, with the stored `media`, its resampled `pcm` and the digests of both."""
+    return digests(store(docs), to_rate, with_pcm=True)

@@ -46,7 +46,7 @@ def op7_suffix(spark, sf_dir):
 
 
 def op8_media(spark, sf_dir):
-    return media.store_text(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True).drop("text")
+    return media.digests(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)).drop("media")
 
 
 def op9_licenses(spark, sf_dir):

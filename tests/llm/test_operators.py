@@ -381,6 +381,10 @@ def test_media(docs, odd, empty):
     assert media.store_text(empty).count() == 0
     clash = odd.withColumnsRenamed({"lang": "media", "source": "feature"})
     assert sorted(media.store_text(clash).columns) == sorted(["doc_id", "text", "n_chars", *media.store_text(odd).drop(*odd.columns).columns])
+    held = media.store(odd, keep_text=False)
+    assert held.columns == ["doc_id", "lang", "source", "n_chars", "n_bytes", "media"] and "FileScan" in held._jdf.queryExecution().toString() and "mapInArrow" not in held._jdf.queryExecution().toString()
+    same = lambda df: sorted(map(repr, df.select("doc_id", "payload_sha256", "feature", "pcm_sha256").collect()))
+    assert same(media.digests(held)) == same(media.store_text(odd))
     mu, al = media.mulaw_table(), media.alaw_table()
     assert (mu[0], mu[127], mu[128], mu[255]) == (-32124, 0, 32124, 0) and (al[0xD5], al[0x55], al[0x2A], al[0xAA]) == (8, -8, -32256, 32256)
 
