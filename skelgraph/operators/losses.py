@@ -1,8 +1,13 @@
 """Loss metrics of given embeddings and scores, one row per batch or kind."""
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, norm
+from ..store import written
+
+BLOCK = 1024  # rows of a batch that are multiplied at once
 
 
 def _unit(v: Column) -> Column:
@@ -10,29 +15,82 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
-def nt_xent(z: DataFrame, temperature=0.2) -> DataFrame:
+def _numbers(vectors):
+    """The vectors of a block as a matrix, each of length one (a zero vector stays)."""
+    m = np.array(vectors.tolist(), float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _products(z, left, right, fold, gives, block):
+    """`fold` of every two blocks of a batch: rows (batch_id, i, ...) of the columns `left` against `right`.
+
+    A batch is dealt by the hash of i into blocks of about `block` rows, so a hot batch is many groups. What a
+    pair of blocks gives is one row for each row of the left block, never one for a pair of rows.
+    """
+    z = written(z.where("batch_id IS NOT NULL"), "batches")
+    sizes = written(z.groupBy("batch_id").agg(F.ceil(F.count("*") / block).alias("blocks")), "sizes")
+    z = z.join(sizes, "batch_id").withColumns({"own": F.pmod(F.xxhash64("i"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    a = z.select("batch_id", F.col("own").alias("p"), F.col("other").alias("q"), "i", *left)
+    b = z.select(*[F.col(c).alias(n) for c, n in [("batch_id", "batch"), ("other", "r"), ("own", "s"), ("i", "i"), *zip(right, right)]])
+    kinds = dict(z.dtypes)
+    schema = f"batch_id {kinds['batch_id']}, i {kinds['i']}, " + ", ".join(f"{c} double" for c in gives)
+
+    def multiply(x, y):
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in ["batch_id", "i", *gives]})
+        return pd.DataFrame({"batch_id": x["batch_id"], "i": x["i"], **fold(x, y)})
+
+    return a.groupBy("batch_id", "p", "q").cogroup(b.groupBy("batch", "r", "s")).applyInPandas(multiply, schema)
+
+
+def _equal(x, y):
+    """Which values of two columns are the same; null is equal to none."""
+    return np.equal.outer(x.to_numpy(object), y.to_numpy(object)).astype(bool) & np.logical_and.outer(x.notna().to_numpy(), y.notna().to_numpy())
+
+
+def _parts():
+    """The largest maximum of a row's blocks, and (maximum, sum) of each."""
+    return F.max("m").alias("top"), F.collect_list(F.struct("m", "e")).alias("parts")
+
+
+def _merged():
+    """The sums of a row's blocks, each below a maximum of its own, brought below the largest one."""
+    return F.aggregate("parts", F.lit(0.0), lambda sum, p: sum + p["e"] * F.exp(p["m"] - F.col("top")))
+
+
+def nt_xent(z: DataFrame, temperature=0.2, block=BLOCK) -> DataFrame:
     """(batch_id, loss) of rows (batch_id, i, z1, z2): cross-entropy of each z1 to the z2 of its own row.
 
-    Cosines are at most 1, so a shift by 1 / temperature keeps the sums finite.
+    i is unique in its batch. Rows with a null batch, i or vector are left out; extra columns are ignored; an
+    empty table has no batch. Blocks of rows are multiplied as matrices, and their (maximum, sum) merged, so
+    that sums stay finite at any temperature.
+    """
+    def fold(x, y):
+        s = _numbers(x["z1"]) @ _numbers(y["z2"]).T / temperature
+        m, same = s.max(axis=1), _equal(x["i"], y["i"])
+        return {"m": m, "e": np.exp(s - m[:, None]).sum(axis=1), "own": np.where(same, s, 0).sum(axis=1)}
+
+    some = z.where("i IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL").select("batch_id", "i", "z1", "z2")
+    parts = _products(some, ["z1"], ["z2"], fold, ["m", "e", "own"], block)
+    rows = parts.groupBy("batch_id", "i").agg(*_parts(), F.sum("own").alias("own"))
+    return rows.groupBy("batch_id").agg(F.avg(F.log(_merged()) + F.col("top") - F.col("own")).alias("loss"))
+
+
+def supcon(z: DataFrame, temperature=0.2, block=BLOCK) -> DataFrame:
+    """(batch_id, loss) of rows (batch_id, i, z, label); anchors without positives count as 0.
+
+    Rows, nulls and blocks as in `nt_xent`; a null label is like no other.
     """
-    a = z.select("batch_id", "i", _unit(F.col("z1")).alias("u"))
-    b = z.select("batch_id", F.col("i").alias("j"), _unit(F.col("z2")).alias("v"))
-    sims = a.join(b, "batch_id").select("batch_id", "i", "j", (dot(F.col("u"), F.col("v")) / temperature).alias("s"))
-    top = 1.0 / temperature
-    rows = sims.groupBy("batch_id", "i").agg((F.log(F.sum(F.exp(F.col("s") - top))) + top - F.max(F.when(F.col("i") == F.col("j"), F.col("s")))).alias("l"))
-    return rows.groupBy("batch_id").agg(F.avg("l").alias("loss"))
-
-
-def supcon(z: DataFrame, temperature=0.2) -> DataFrame:
-    """(batch_id, loss) of rows (batch_id, i, z, label); anchors without positives count as 0."""
-    a = z.select("batch_id", "i", "label", _unit(F.col("z")).alias("u"))
-    b = a.select("batch_id", F.col("i").alias("j"), F.col("label").alias("other"), F.col("u").alias("v"))
-    sims = a.join(b, "batch_id").select("batch_id", "i", (F.col("i") != F.col("j")).alias("off"), (F.col("label") == F.col("other")).alias("same"), (dot(F.col("u"), F.col("v")) / temperature).alias("s"))
-    top, pos = 1.0 / temperature, F.col("off") & F.col("same")
-    rows = sims.groupBy("batch_id", "i").agg(
-        (F.sum(F.when(F.col("off"), F.exp(F.col("s") - top)).otherwise(0.0)) * F.exp(top - F.max("s"))).alias("e"),
-        F.sum(F.when(pos, F.col("s")).otherwise(0.0)).alias("sp"), F.sum(pos.cast("double")).alias("np"))
-    mean = (F.col("sp") - F.col("np") * F.log(F.col("e") + 1e-9)) / (F.col("np") + 1e-9)
+    def fold(x, y):
+        s = _numbers(x["z"]) @ _numbers(y["z"]).T / temperature
+        m, off = s.max(axis=1), ~_equal(x["i"], y["i"])
+        pos = off & _equal(x["label"], y["label"])
+        return {"m": m, "e": np.where(off, np.exp(s - m[:, None]), 0).sum(axis=1), "sp": np.where(pos, s, 0).sum(axis=1), "np": pos.sum(axis=1).astype(float)}
+
+    some = z.where("i IS NOT NULL AND z IS NOT NULL").select("batch_id", "i", "z", "label")
+    parts = _products(some, ["z", "label"], ["z", "label"], fold, ["m", "e", "sp", "np"], block)
+    rows = parts.groupBy("batch_id", "i").agg(*_parts(), F.sum("sp").alias("sp"), F.sum("np").alias("np"))
+    mean = (F.col("sp") - F.col("np") * F.log(_merged() + 1e-9)) / (F.col("np") + 1e-9)
     return rows.groupBy("batch_id").agg((-F.avg(mean)).alias("loss"))
 
 

@@ -3,6 +3,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,36 @@ def test_oracle(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+def _batch(spark, n):
+    """A batch of n rows and one of 3, with two labels and a row without vectors."""
+    rows = [(b, i, [math.sin(i * k + len(b)) for k in range(1, 6)], [math.cos(i + k) for k in range(1, 6)], i % 2) for b, m in (("big", n), ("small", 3)) for i in range(m)]
+    return spark.createDataFrame([*rows, ("big", n, None, None, 0), (None, 0, [1.0] * 5, [1.0] * 5, 0)], "batch_id string, i long, z1 array<double>, z2 array<double>, label long")
+
+
+@pytest.mark.parametrize("temperature", [0.2, 0.001])
+def test_losses_in_blocks_equal_whole_matrices(spark, temperature):
+    z = _batch(spark, 23)
+    want_x, want_s = {}, {}
+    for name in ("big", "small"):
+        got = z.where(F.col("batch_id") == name).where("z1 IS NOT NULL").orderBy("i").collect()
+        u, v = (np.array([r[c] for r in got]) for c in ("z1", "z2"))
+        u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (u, v))
+        s = u @ v.T / temperature
+        top = s.max(1)
+        want_x[name] = (np.log(np.exp(s - top[:, None]).sum(1)) + top - s.diagonal()).mean()
+        s, label = u @ u.T / temperature, np.array([r.label for r in got])
+        off = ~np.eye(len(s), dtype=bool)
+        pos = off & (label[:, None] == label)
+        e = (np.exp(s - s.max(1, keepdims=True)) * off).sum(1)
+        want_s[name] = -((pos * (s - np.log(e + 1e-9)[:, None])).sum(1) / (pos.sum(1) + 1e-9)).mean()
+    for block in (4, 1024):
+        assert {r.batch_id: r.loss for r in losses.nt_xent(z, temperature, block).collect()} == pytest.approx(want_x, rel=1e-9)
+        assert {r.batch_id: r.loss for r in losses.supcon(z.withColumnRenamed("z1", "z"), temperature, block).collect()} == pytest.approx(want_s, rel=1e-6)
+    plan = losses.nt_xent(z, block=4)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "NestedLoop" not in plan
+    assert losses.nt_xent(z.limit(0)).count() == 0
+
+
 def test_calibrators(spark):
     s = spark.createDataFrame([(-2.0, 0.0), (-1.0, 1.0), (0.0, 0.0), (1.0, 1.0), (2.0, 1.0)], "logit double, label double")
     fit = report.fit_platt(s).first()
