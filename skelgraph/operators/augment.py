@@ -28,21 +28,25 @@ def jitter(nodes: DataFrame, sigma=0.02, seed=42) -> DataFrame:
     return nodes.withColumns({"x": F.col("x") + sigma * a, "y": F.col("y") + sigma * b})
 
 
-def elastic_deform(nodes: DataFrame, sigma=0.01, alpha=0.02, seed=42) -> DataFrame:
-    """Two sine waves of random direction and phase in each sample, and noise."""
+def elastic_deform(nodes: DataFrame, sigma=0.01, alpha=0.02, seed=42, waves=None) -> DataFrame:
+    """Two sine waves of random direction and phase in each sample, and noise.
+
+    `waves` gives the waves instead: (x, y, phase) columns of each, x and y being its direction.
+    """
     x, y = F.col("x"), F.col("y")
     dx, dy = F.lit(0.0), F.lit(0.0)
-    for wave in (11, 12):
-        a, b = normals(seed, "sample_id", F.lit(wave), *_view(nodes))
+    if waves is None:
+        waves = [(*normals(seed, "sample_id", F.lit(wave), *_view(nodes)), uniform(seed, "sample_id", F.lit(wave + 10), *_view(nodes))) for wave in (11, 12)]
+    for a, b, phase in waves:
         size = F.hypot(a, b) + 1e-6
-        push = alpha * F.sin(2 * math.pi * (x * a / size + y * b / size + uniform(seed, "sample_id", F.lit(wave + 10), *_view(nodes))))
+        push = alpha * F.sin(2 * math.pi * (x * a / size + y * b / size + phase))
         dx, dy = dx + push * a / size, dy + push * b / size
     a, b = normals(seed + 1, "sample_id", "node_id", *_view(nodes))
     return nodes.withColumns({"x": x + dx + sigma * a, "y": y + dy + sigma * b})
 
 
-def contrastive_views(nodes: DataFrame, sigma=0.02, seed=42) -> DataFrame:
-    """Two views of every sample, each turned by an angle of its own and jittered."""
+def contrastive_views(nodes: DataFrame, sigma=0.02, seed=42, theta: Column | None = None) -> DataFrame:
+    """Two views of every sample, each turned by an angle of its own (`theta`, if given) and jittered."""
     both = nodes.withColumn("view", F.explode(F.array(F.lit(1), F.lit(2))))
-    turned = rotate(both, 2 * math.pi * uniform(seed, "sample_id", "view", F.lit(3)))
+    turned = rotate(both, 2 * math.pi * uniform(seed, "sample_id", "view", F.lit(3)) if theta is None else theta)
     return jitter(turned, sigma, seed)

@@ -478,6 +478,35 @@ def _(spark, d):
     return A.contrastive_views(views.nodes(spark, d)).select("sample_id", "view", "node_id", "x", "y")
 
 
+_WAVE = "sin(6.283185307179586e0 * (x * {u} / (sqrt({u}*{u} + {v}*{v}) + 1e-6) + y * {v} / (sqrt({u}*{u} + {v}*{v}) + 1e-6) + {p})) * {w} / (sqrt({u}*{u} + {v}*{v}) + 1e-6) * 5e-2"
+_WAVES = [{"u": "cos(sample_id * 3e-1)", "v": "sin(sample_id * 3e-1)", "p": "(sample_id % 10) * 1e-1"}, {"u": "(sample_id % 5 - 2e0)", "v": "(sample_id % 3 + 1e0)", "p": "25e-2"}]
+
+
+@register("elastic_waves", "SELECT sample_id, node_id, " + ", ".join(f"round({c} + {' + '.join(_WAVE.format(w=k[d], **k) for k in _WAVES)}, 6) AS {c}" for c, d in (("x", "u"), ("y", "v"))) + " FROM nodes", "nodes")
+def _(spark, d):
+    waves = [tuple(F.expr(k[c]) for c in "uvp") for k in _WAVES]
+    return _rounded(A.elastic_deform(views.nodes(spark, d), 0.0, 0.05, waves=waves).select("sample_id", "node_id", "x", "y"), "x", "y")
+
+
+# the drawn angles keep every node's distance from the origin; given ones turn it to a stated place
+@register("contrastive_norms", "SELECT sample_id, view, node_id, round(sqrt(x*x + y*y), 6) AS norm, true AS turned_together FROM nodes, (SELECT unnest([1, 2]) AS view)", "nodes")
+def _(spark, d):
+    n = views.nodes(spark, d).withColumns({"x0": F.col("x"), "y0": F.col("y")})
+    got = A.contrastive_views(n, 0.0)
+    c, s = (F.col("x") * F.col("x0") + F.col("y") * F.col("y0")), (F.col("y") * F.col("x0") - F.col("x") * F.col("y0"))
+    size = F.hypot("x", "y")
+    got = got.withColumns({"norm": F.round(size, 6), "c": c / size / size, "s": s / size / size})
+    same = got.groupBy("sample_id", "view").agg(((F.max("c") - F.min("c") < 1e-6) & (F.max("s") - F.min("s") < 1e-6)).alias("turned_together"))
+    return got.join(same, ["sample_id", "view"]).select("sample_id", "view", "node_id", "norm", "turned_together")
+
+
+@register("contrastive_turns", """SELECT sample_id, view, node_id, round(x*cos(sample_id*1e-1 + view) - y*sin(sample_id*1e-1 + view), 6) AS x, round(x*sin(sample_id*1e-1 + view) + y*cos(sample_id*1e-1 + view), 6) AS y
+    FROM nodes, (SELECT unnest([1, 2]) AS view)""", "nodes")
+def _(spark, d):
+    got = A.contrastive_views(views.nodes(spark, d), 0.0, theta=F.col("sample_id") * 0.1 + F.col("view"))
+    return _rounded(got.select("sample_id", "view", "node_id", "x", "y"), "x", "y")
+
+
 @register("mean_pool", "SELECT label AS sample_id, p, round(avg(v), 6) AS v FROM (SELECT label, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
 def _(spark, d):
     got = M.mean_pool(views.embeddings(spark, d)).select("sample_id", F.posexplode("vec").alias("p", "v"))
@@ -567,13 +596,13 @@ def _(spark, d):
     return got.select("sample_id", "feature_seq", "layer", F.trim("name").alias("name"), "type", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
 
 
-@register("read_realmap", "SELECT 'RealMap' AS sample_id, layer, type, count(*) AS n, count(*) AS places FROM base GROUP BY ALL", "base")
+@register("read_realmap", """SELECT 'RealMap' AS sample_id, CAST(row_number() OVER (ORDER BY layer, event_id) - 1 AS INT) AS feature_seq, layer, trim(name) AS name, type, round(x, 5) AS x, round(y, 5) AS y FROM nodes""", "nodes")
 def _(spark, d):
-    one = views.features(spark, d).select("layer", "name", "type", F.col("geom").alias("geometry"))
+    one = views.features(spark, d).select("layer", "event_id", "name", "type", F.col("geom").alias("geometry"))
     root = fresh(spark, "realmap")
-    one.repartition("layer").write.partitionBy("layer").parquet(root)
-    got = readers.read_realmap(spark, root)
-    return got.groupBy("sample_id", "layer", "type").agg(F.count("*").alias("n"), F.countDistinct("feature_seq").alias("places"))
+    one.repartition("layer").sortWithinPartitions("layer", "event_id").drop("event_id").write.partitionBy("layer").parquet(root)
+    got = readers.read_realmap(spark, root).withColumn("p", G.representative_point(F.col("geom")))
+    return got.select("sample_id", "feature_seq", "layer", F.trim("name").alias("name"), "type", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
 
 
 @register("read_relations", "SELECT 's=sample' || sample_id AS sample_id, trim(src_name) AS src_name, trim(dst_name) AS dst_name, rel_type FROM relations", "relations")
@@ -679,6 +708,17 @@ def _(spark, d):
     return _rounded(P.topk_mismatches(_sims(spark, d).toDF("i", "j", "w"), names, names, 3), "best_coupling", digits=5)
 
 
+@register("topk_node_mismatches", """WITH c AS (SELECT a.vec_id AS i, b.vec_id AS j, (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 AS w FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1)
+    SELECT side, index, CASE WHEN index % 3 = 0 THEN side || index ELSE 'v' || index END AS name, round(w, 5) AS best_coupling
+    FROM (SELECT 'a' AS side, i AS index, max(w) AS w FROM c GROUP BY i UNION ALL SELECT 'b', j, max(w) FROM c GROUP BY j)
+    QUALIFY row_number() OVER (PARTITION BY side ORDER BY w, index) <= 20""")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.col("vec_id").alias("sample_id"), F.col("embedding").alias("vec"))
+    sims = M.cosine_pairs(e.where("label = 0"), e.where("label = 1"), rescale=True)
+    names = e.select(F.col("sample_id").alias("node_id"), F.when(F.col("sample_id") % 3 != 0, F.concat(F.lit("v"), F.col("sample_id").cast("string"))).alias("name"))
+    return _rounded(P.topk_mismatches(sims.toDF("i", "j", "w"), names, names), "best_coupling", digits=5)
+
+
 _Z = "WITH z AS (SELECT label, vec_id % 8 AS part, vec_id, embedding::DOUBLE[] AS v FROM embeddings) "
 
 
@@ -709,9 +749,9 @@ def _(spark, d):
 _SCORED = "(SELECT event_id % 9 / 2e0 - 2e0 AS logit, event_id * 37 % 101 / 1e2 AS label FROM events)"
 
 
-def _scored(spark, d):
+def _scored(spark, d, label=None):
     e = F.col("event_id")
-    return spark.read.parquet(f"{d}/events.parquet").select((e % 9 / 2.0 - 2.0).alias("logit"), (e * 37 % 101 / 100.0).alias("label"))
+    return spark.read.parquet(f"{d}/events.parquet").select((e % 9 / 2.0 - 2.0).alias("logit"), (e * 37 % 101 / 100.0 if label is None else label).alias("label"))
 
 
 @register("pair_loss", f"""WITH s AS (SELECT *, 1 / (1 + exp(-logit)) AS s FROM {_SCORED})
@@ -722,11 +762,24 @@ def _(spark, d):
     return _rounded(L.pair_loss(s).unionByName(L.pair_loss(s, "mse")).unionByName(L.pair_loss(s, "margin")), "loss")
 
 
-@register("fit_platt")
+_NEWTON = 30
+_G = f"g AS MATERIALIZED (SELECT logit AS x, count(*)::DOUBLE AS n, sum(CASE WHEN label > 5e-1 THEN 1e0 ELSE 0e0 END) AS k FROM {_SCORED} GROUP BY logit)"
+_TREND = "(event_id * 37 % 101 + event_id % 9 * 12 - (event_id % 9 + 1) % 3 * 20) / 1e2"  # rises with the logit, but not at every step: flat labels would leave the blocks to the last bit
+
+
+# Newton steps of the penalized log likelihood over the counts of each logit
+@register("fit_platt", f"""WITH RECURSIVE {_G}, step(it, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL
+    SELECT it + 1, a - (h22 * ga - h12 * gb) / (h11 * h22 - h12 * h12), b - (h11 * gb - h12 * ga) / (h11 * h22 - h12 * h12) FROM (
+      SELECT it, a, b, sum((n * p - k) * x) + a AS ga, sum(n * p - k) AS gb, sum(n * p * (1 - p) * x * x) + 1 AS h11, sum(n * p * (1 - p) * x) AS h12, sum(n * p * (1 - p)) AS h22
+      FROM (SELECT it, a, b, x, n, k, 1 / (1 + exp(-(a * x + b))) AS p FROM step, g WHERE it < {_NEWTON}) GROUP BY it, a, b))
+    SELECT round(a, 5) AS coef, round(b, 5) AS intercept FROM step WHERE it = {_NEWTON}""")
 def _(spark, d):
-    return P.fit_platt(_scored(spark, d))
+    return _rounded(P.fit_platt(_scored(spark, d)), "coef", "intercept", digits=5)
 
 
-@register("fit_isotonic")
+# the fit at x is the greatest, over all starts up to x, of the least mean up to an end from x on
+@register("fit_isotonic", f"""WITH g AS (SELECT event_id % 9 / 2e0 - 2e0 AS x, count(*)::DOUBLE AS n, avg({_TREND}) AS m FROM events GROUP BY ALL), means AS (SELECT j.x AS a, k.x AS z, sum(g.n * g.m) / sum(g.n) AS m FROM g j JOIN g k ON j.x <= k.x JOIN g ON g.x BETWEEN j.x AND k.x GROUP BY ALL),
+    least AS (SELECT x, a, min(means.m) AS m FROM g JOIN means ON a <= x AND z >= x GROUP BY ALL), fit AS (SELECT x, round(max(m), 12) AS y FROM least GROUP BY x)
+    SELECT DISTINCT unnest([min(x), max(x)]) AS x, round(y, 6) AS y FROM fit GROUP BY fit.y""")
 def _(spark, d):
-    return P.fit_isotonic(_scored(spark, d))
+    return _rounded(P.fit_isotonic(_scored(spark, d, F.expr(_TREND))), "y")

@@ -11,7 +11,8 @@ from skelgraph import registry
 from skelgraph.operators import losses, report
 
 SF = "/root/testdata/sf0.001"
-NEW = ["rotate", "anisotropic_scale", "write_records", "similarity_matrix", "topk_mismatches", "nt_xent", "supcon", "node_align_loss", "pair_loss"]
+NEW = ["rotate", "anisotropic_scale", "write_records", "similarity_matrix", "topk_mismatches", "nt_xent", "supcon", "node_align_loss", "pair_loss",
+       "topk_node_mismatches", "read_realmap", "elastic_waves", "contrastive_norms", "contrastive_turns", "fit_platt", "fit_isotonic"]
 
 
 @pytest.mark.parametrize("name", NEW)
