@@ -8,18 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named, a temporary one for a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = spark.sparkContext.getCheckpointDir()
     return base
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's tables."""
+    return os.path.join(shared_dir(spark), "skelgraph", spark.sparkContext.applicationId)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "skelgraph", uuid.uuid4().hex, name)
+    return os.path.join(session_dir(spark), uuid.uuid4().hex, name)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete the tables that this application wrote in between; results that still read them can no longer be read.
+
+    Other applications that share the folder keep theirs. False if there is nothing to delete.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def written(df: DataFrame, name: str, by=None):
