@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skelgraph.llm import nearcopies, queries, suffix, wordbpe
@@ -61,6 +63,25 @@ def test_passages_of_over_50_words_go(spark, corpus):
     assert packed == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(want)}
 
 
+def test_python_workers_get_batches_of_bounded_bytes(spark, corpus):
+    """4,000 texts of 11 kB in one partition, read in the session of each stage."""
+    def sizes(batches):
+        for rec in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rec.nbytes])], names=["n"])
+
+    docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("some words "), 1000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, before)
+            stage(spark, spark.read.parquet(f"{corpus}/documents.parquet").limit(4), corpus)
+            got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert max(got) < 9 << 20 and sum(got) > 40 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_strings_without_words_go_by_bytes(spark):
     rnd = random.Random(3)
     han = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(300)) for _ in range(3)]
