@@ -188,6 +188,25 @@ def test_packing_schedule_keeps_targets(monkeypatch):
             assert pos[0] == totals[q] // 3 and (np.diff(pos) > 0).all() and (given[window, q] <= pos).all() and (pos < given[window + 1, q]).all()
 
 
+def test_packing_windows_are_counted_together(monkeypatch):
+    """Blocks equal the count window by window, and queues of a token a window or more hardly need it."""
+    rnd = random.Random(4)
+    at_once = packing.Schedule._at_once
+    used = []
+    for totals in ([rnd.randrange(200_000, 900_000) for _ in range(20)], [400_000, 3, 90_000, 0, 50, 1], [700_000]):
+        for weights in (None, [rnd.randrange(8) for _ in totals]):
+            monkeypatch.setattr(packing.Schedule, "_at_once", lambda *a: None)
+            one = packing.Schedule(totals, weights)
+            want = [one.block(b) for b in range(-(-one.windows // packing.BLOCK))]
+            monkeypatch.setattr(packing.Schedule, "_at_once", lambda *a: used.append(at_once(*a)) or used[-1])
+            s = packing.Schedule(totals, weights)
+            used.clear()
+            got = [s.block(b) for b in range(len(want))]
+            assert all((x == y).all() for w, g in zip(want, got) for x, y in zip(w, g))
+            if weights is None and min(totals) > 100_000:
+                assert sum(len(u) - 1 for u in used if u is not None) > 0.9 * s.windows
+
+
 def test_packing_ids_equal_the_library():
     bpe, rnd = wordbpe.model(queries.vocabulary("word_bpe_49k.json")), random.Random(1)
     parts = ["a", "aa", "aaa", "the", "'s", "'S", "'ll", " ", "  ", "\n", "\t", "\u0301", "é", "É", "İ", "ß", "Σ", "ς", "ﬁ", "東京", "0", "½", "٣", "!", "...", "_", "<|endoftext|>", "<|STARTOFTEXT|>",
