@@ -1,6 +1,7 @@
 """Assignment, shortest paths, medians, numbering and graph embedding against brute force and closed forms."""
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skelgraph import store
 from skelgraph.operators import gnn, matching, numbering, paths
 from skelgraph.operators.median import exact_median
 from skelgraph.plans import accuracy
@@ -125,6 +127,24 @@ def test_shortest_paths_equal_floyd_warshall(spark):
         assert all(r.cost == pytest.approx(d[r.i, r.j]) for r in got if r.sample_id == s)
 
 
+def test_small_and_large_maps_take_the_same_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng = random.Random(11)
+    edges = [(s, rng.randrange(n), rng.randrange(n), rng.uniform(0.1, 3)) for s, n in (("a", 9), ("b", 30)) for _ in range(3 * n)]
+    edges = spark.createDataFrame(edges, "sample_id string, src int, dst int, w double")
+    nodes = spark.createDataFrame([(s, k) for s, n in (("a", 9), ("b", 30), ("one", 1)) for k in range(n)], "sample_id string, node_id int")
+
+    def written():
+        return [where for where, _, files in os.walk(tmp_path) if any(f.endswith(".parquet") for f in files)]
+
+    whole = sorted(map(tuple, paths.shortest_path_costs(edges, nodes).collect()))
+    assert len(whole) == 81 + 900 + 1 and written() == []  # nothing is written for maps that a task holds
+    for small in (0, 10):
+        got = sorted(map(tuple, paths.shortest_path_costs(edges, nodes, small).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in whole] and np.allclose([r[3] for r in got], [r[3] for r in whole], rtol=1e-12)
+    assert sorted(os.path.basename(w) for w in written()) == ["distances"] * 2 + ["ranges"] * 2  # what a result reads, not what each round wrote
+
+
 def test_exact_median_of_large_groups(spark):
     rng = random.Random(1)
     rows = [(g, rng.choice([rng.gauss(0, 1), 0.5, -3.0, rng.random() * 1e9])) for g in ("x", "y", None) for _ in range(rng.randrange(150, 300))]
