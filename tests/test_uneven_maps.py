@@ -19,6 +19,14 @@ def test_neighbours_with_outliers_and_clusters(spark):
     assert skeleton.knn_grid(nodes.limit(0)).count() == 0
 
 
+def test_neighbours_on_the_side_of_the_square(spark):
+    rng = random.Random(4)  # one after the other and with rounded differences, so that the last neighbour lies on the square's side or a bit beside it
+    rows = [(f"s{s}", k, (1 - s) * 3 ** rng.uniform(-8, 8), s * 3 ** rng.uniform(-8, 8)) for s in (0, 1) for k in range(100)]
+    nodes = spark.createDataFrame(rows, "sample_id string, node_id int, x double, y double")
+    want = sorted(map(tuple, skeleton.knn(nodes).collect()))
+    assert sorted(map(tuple, skeleton.knn_grid(nodes).select("sample_id", "i", "j", "d", "rk").collect())) == want
+
+
 def shape(kind, points):
     return (kind, [[(float(x), float(y)) for x, y in points]])
 
