@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skelgraph import registry
 from skelgraph.functions import geometry as G
+from skelgraph.functions import scalars as C
 from skelgraph.operators import compare, relations, skeleton
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,12 @@ def test_sectors_at_exact_ties_and_of_a_self_relation(spark):
     assert [got[0, j].sector for j in range(1, 9)] == list(range(8))
     assert got[0, 0].sector == 0 and got[0, 0].d == pytest.approx(1e-6)
     assert got[9, 9].sector == math.floor(-math.atan2(4.5, 3.0) % (2 * math.pi) / (2 * math.pi) * 8)
+
+
+def test_an_angle_just_below_zero_lies_in_the_last_sector(spark):
+    """As numpy's modulus and digitize have it: two pi, clipped to the last sector, or wrapped to the first."""
+    for zero in (1e-16, 1e-3, 0.0):
+        rel = (np.arctan2(0.0, 1.0) - zero) % (2 * np.pi)
+        want = (int(np.clip(np.digitize([rel], np.linspace(0, 2 * np.pi, 9))[0] - 1, 0, 7)), int(np.floor(rel / (2 * np.pi) * 8)) % 8)
+        got = spark.range(1).select(*[C.relative_sector(F.lit(1.0), F.lit(0.0), F.lit(zero), edge=e)["sector"].alias(e) for e in ("clip", "wrap")]).first()
+        assert tuple(got) == want
