@@ -11,6 +11,7 @@ from skelgraph import registry
 from skelgraph.functions import geometry as G
 from skelgraph.functions import scalars as C
 from skelgraph.operators import compare, relations, skeleton
+from skelgraph.plans import graph, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,6 +87,16 @@ def test_sectors_at_exact_ties_and_of_a_self_relation(spark):
     assert got[9, 9].sector == math.floor(-math.atan2(4.5, 3.0) % (2 * math.pi) / (2 * math.pi) * 8)
 
 
+def test_points_and_directions_of_the_table(spark, tmp_path):
+    """Lines of slope one, whose corners are rounded, keep the table's direction and middle to the last bit."""
+    rows = [(77 * k, 0, "signup", k * 0.73, '{"k": %d}' % (k % 90)) for k in range(1, 60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.current_timestamp()).write.parquet(str(tmp_path / "events.parquet"))
+    got = views.nodes(spark, str(tmp_path)).collect()
+    assert len(got) == 59 and all(r.dir == math.atan2(1.0, 1.0) and r.x == r.ax + r.w * 0.5 and r.y == r.ay + r.h * 0.5 for r in got)
+    n = [r for r in graph.nodes_of(views.features(spark, str(tmp_path)).drop("x", "y", "dir")).collect()]
+    assert all(r.dir == pytest.approx(math.pi / 4) and r.x == pytest.approx(r.ax + 0.5) for r in n)
+
+
 def test_an_angle_just_below_zero_lies_in_the_last_sector(spark):
     """As numpy's modulus and digitize have it: two pi, clipped to the last sector, or wrapped to the first."""
     for zero in (1e-16, 1e-3, 0.0):
