@@ -86,6 +86,24 @@ def test_assignment_equals_brute_force(spark, monkeypatch):
     assert scores["seven", "copy"].score == pytest.approx(1, abs=1e-6)
 
 
+def test_assignment_of_one_tile_writes_no_matrix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng = np.random.default_rng(12)
+    sides = {s: rng.normal(size=(n, 3)).round(1).tolist() for s, n in (("a", 4), ("b", 7), ("c", 7))}
+    nodes = spark.createDataFrame([(s, 5 * k, v) for s, vs in sides.items() for k, v in enumerate(vs)], NODE)
+    asked = spark.createDataFrame([(x, y) for x in "abc" for y in "abc"], "sample_a string, sample_b string")
+    names = {}
+    for rows in (2, 128):  # in blocks by rounds, and in one tile
+        monkeypatch.setattr(matching, "ROWS", rows)
+        before = set(os.listdir(tmp_path / "skelgraph" / spark.sparkContext.applicationId)) if names else set()
+        scores, pairs = matching.node_assignment(nodes, nodes, asked)
+        scores = {(r.sample_a, r.sample_b): r.score for r in scores.collect()}
+        assert pairs.count() == 4 * 5 + 7 * 4 and all(got == pytest.approx(best(cosine(sides[x], sides[y])), abs=1e-6) for (x, y), got in scores.items())
+        own = tmp_path / "skelgraph" / spark.sparkContext.applicationId
+        names[rows] = {os.listdir(own / f)[0] for f in set(os.listdir(own)) - before}
+    assert "blocks" in names[2] and names[128] == {"sizes", "matched"}
+
+
 def test_assignment_of_given_similarities(spark):
     rng = random.Random(5)
     rows = [("g", "h", a, b, rng.random()) for a in range(5) for b in range(4)] + [("x", None, 1, 2, 0.5)]
